@@ -32,30 +32,25 @@ def tokens(line: Column) -> Column:
     return F.regexp_replace(clean, VARIABLE, "\x00")
 
 
-def template_keys(masked: Column) -> Column:
-    """Keys (a, b) of the templates that a line belongs to; the first is the
-    whole line, the others leave out one part each."""
-    words = F.split(masked, " ")
+def template_key(words: Column, variant: Column) -> Column:
+    """Key (a, b) of the template in which part ``variant`` of the line, from 1,
+    is left out; variant 0 is the whole line."""
     n = F.size(words)
+    start = F.floor(n * (variant - 1) / F.lit(PARTS)).cast("int")
+    end = F.floor(n * variant / F.lit(PARTS)).cast("int")
+    kept = F.filter(words, lambda w, i: (variant == 0) | (i < start) | (i >= end))
     lead = F.slice(words, 1, DEPTH)
-    cut = [F.lit(0), *[F.floor(n * F.lit(i) / F.lit(PARTS)).cast("int") for i in range(1, PARTS)], n]
-    parts = [F.slice(words, cut[i] + 1, F.greatest(cut[i + 1] - cut[i], F.lit(0))) for i in range(PARTS)]
-
-    def key(left_out: int) -> Column:
-        kept = [p for i, p in enumerate(parts) if i != left_out]
-        return F.struct(F.xxhash64(F.lit(left_out), n, lead, *kept).alias("a"), F.hash(F.lit(left_out), n, *kept, lead).alias("b"))
-
-    whole = F.array(F.struct(F.xxhash64(n, masked).alias("a"), F.hash(masked, n).alias("b")))
-    varied = F.array(*[key(i) for i in range(PARTS)])
-    return F.when(n < LEAST_TOKENS, F.array().cast("array<struct<a:bigint,b:int>>")).when(n < LEAST_VARIED, whole).otherwise(F.concat(whole, varied))
+    return F.struct(F.xxhash64(variant, n, lead, kept).alias("a"), F.hash(variant, n, kept, lead).alias("b"))
 
 
 def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lines): the numbers, from 0, of the lines to drop of each document
     that has any; h is the hash of its text."""
     line = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, LINE)).alias("pos", "line"))
-    keyed = line.select(F.struct("id", "h", "pos").alias("at"), F.explode(template_keys(tokens(F.col("line")))).alias("key"))
-    keyed = keyed.select("at", "key.a", "key.b")
+    words = line.select(F.struct("id", "h", "pos").alias("at"), F.split(tokens(F.col("line")), " ").alias("words"))
+    variants = F.when(F.size("words") < LEAST_TOKENS, F.array().cast("array<int>")).when(F.size("words") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS)))
+    keyed = words.select("at", "words", F.explode(variants).alias("variant"))
+    keyed = keyed.select("at", template_key(F.col("words"), F.col("variant")).alias("key")).select("at", "key.a", "key.b")
     doc = F.struct("at.id", "at.h")
     again = keyed.groupBy("a", "b").agg(F.min("at").alias("first"), F.min(doc).alias("least"), F.max(doc).alias("most")).where(~F.col("least").eqNullSafe(F.col("most")))
     later = keyed.join(again.select("a", "b", "first"), ["a", "b"]).where(~F.col("at").eqNullSafe(F.col("first")))

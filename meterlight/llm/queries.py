@@ -4,18 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import packing
+from meterlight.llm import decontam, linededup, neardup, packing, secrets, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rules of the url query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.col(decontam.FOUND).alias("f"))
+    return found.select(
+        "doc_id", "f.n_words", "f.n_hit", F.size("f.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("f.items", ","), 256).alias("items_sha256"), (F.col("f.n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP1_SQL = """
+WITH dw AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) i FROM (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents)),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') grams
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) s FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+own AS (SELECT doc_id, i, n, grams FROM (SELECT doc_id, i, n, count(*) OVER w AS c, string_agg(word, ' ') OVER w AS grams FROM dw CROSS JOIN lens
+  WINDOW w AS (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) WHERE n = 10 AND c = 10
+  UNION ALL SELECT doc_id, a.i, l.n, array_to_string(a.rest[1:l.n], ' ') FROM (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) rest FROM dw WHERE EXISTS (SELECT 1 FROM lens WHERE n < 10)) a, lens l WHERE l.n < 10 AND len(a.rest) >= l.n),
+occ AS (SELECT o.doc_id, o.i, o.n, win.item_id FROM own o JOIN win USING (n, grams)),
+hit AS (SELECT doc_id, count(DISTINCT j) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) j FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) s FROM occ) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) n_words FROM dw GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.col("__dropped").cast("array<string>"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+OP3_SQL = """
+WITH l AS (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 pos FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, pos, line, string_split(regexp_replace(trim(regexp_replace(line, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', chr(1), 'g'), ' ') w FROM l),
+k AS (SELECT doc_id, pos, unnest(CASE WHEN n < 3 THEN [] WHEN n < 8 THEN ['w' || s] ELSE ['w' || s,
+   '0:' || n || ':' || lead || ':' || array_to_string(w[c1 + 1:], ' '),
+   '1:' || n || ':' || lead || ':' || array_to_string(w[1:c1], ' ') || chr(2) || array_to_string(w[c2 + 1:], ' '),
+   '2:' || n || ':' || lead || ':' || array_to_string(w[1:c2], ' ') || chr(2) || array_to_string(w[c3 + 1:], ' '),
+   '3:' || n || ':' || lead || ':' || array_to_string(w[1:c3], ' ')] END) tpl
+  FROM (SELECT *, len(w) n, array_to_string(w, ' ') s, array_to_string(w[1:2], ' ') lead, len(w) // 4 c1, len(w) * 2 // 4 c2, len(w) * 3 // 4 c3 FROM t)),
+f AS (SELECT tpl, min(doc_id * 1000000 + pos) first FROM k GROUP BY tpl HAVING min(doc_id) <> max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, pos FROM k JOIN f USING (tpl) WHERE doc_id * 1000000 + pos <> first),
+g AS (SELECT doc_id, count(*) n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) dropped FROM gone GROUP BY doc_id),
+kept AS (SELECT l.doc_id, count(*) FILTER (gone.pos IS NULL) n_kept, string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) x, count(*) n FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(kept.n, 0) AS n_lines, coalesce(g.n, 0) AS n_dropped, coalesce(dropped, '') AS dropped, sha256(coalesce(x, '')) AS text_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path FROM pages),
+rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+own AS (SELECT DISTINCT host, path, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) verdict FROM (SELECT DISTINCT host, path FROM p) q
+  JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY host, path),
+link AS (SELECT DISTINCT u src, l dst FROM (SELECT regexp_replace(url, '#.*', '') u, unnest([regexp_extract(html, '(?i)<link rel="canonical" href="([^"]*://[^"#]*)', 1), regexp_extract(html, '(?i)<meta http-equiv="refresh" content="[0-9]+; *url=([^"]*://[^"#]*)', 1)]) l FROM p) WHERE l <> '' AND u <> l),
+two AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link),
+reach AS (WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM two UNION SELECT r.src, b.dst FROM r JOIN two b ON r.dst = b.src) SELECT * FROM r),
+said AS (SELECT src u, max(CASE verdict WHEN 'allow' THEN 1 ELSE 0 END) a FROM reach JOIN (SELECT DISTINCT regexp_replace(url, '#.*', '') dst, verdict FROM p JOIN own USING (host, path)) USING (dst) GROUP BY src)
+SELECT page_id, p.host, p.path, own.rule, coalesce(own.verdict, CASE a WHEN 1 THEN 'allow' WHEN 0 THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN own USING (host, path) LEFT JOIN said ON said.u = regexp_replace(p.url, '#.*', '')
+"""
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ",")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"), 24)
+    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups_of(table(spark, sf_dir, "documents"), length=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+OP7_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+c AS (SELECT w, min(doc_id) id FROM w GROUP BY w),
+s AS (SELECT DISTINCT id, hash(array_to_string(w[i:i + 3], ' ')) g FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) i FROM c WHERE len(w) > 0)),
+n AS (SELECT id, count(*) n FROM s GROUP BY id),
+e AS (SELECT a, b FROM (SELECT x.id a, y.id b, count(*) k FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id) JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, two.b FROM r JOIN two ON r.b = two.a) SELECT * FROM r),
+low AS (SELECT a id, min(b) b FROM reach GROUP BY a),
+out AS (SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE least(c.id, coalesce(low.b, c.id)) END AS component_id
+  FROM w JOIN c ON c.w = w.w LEFT JOIN n ON n.id = c.id LEFT JOIN low ON low.id = c.id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM out
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,8 +139,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_packing,)}
+    return {
+        f.__name__: f
+        for f in (op1_decontamination, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op10_packing)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators that train, test randomness, cut windows of tokens or split trees have no SQL."""
+    return {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_near_duplicates": OP7_SQL}

@@ -125,7 +125,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = base_spans(text)
-    marked = [F.transform(spans, lambda m, i=i, kind=kind: F.struct(m["start"].alias("start"), F.lit(i).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match"))) for i, (kind, spans) in enumerate(kinds.items())]
+
+    def mark(rank: int, kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match")))
+
+    marked = [mark(i, kind, spans) for i, (kind, spans) in enumerate(kinds.items())]
     first = docs.select(F.col(id_col).alias("id"), F.array_sort(F.concat(*marked)).alias("base"), matches(text, CANDIDATE).alias("found"))
     free = F.filter("found", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     prepared = first.withColumn("found", F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), _tests(m["match"]).alias("t"))))
