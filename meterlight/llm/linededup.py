@@ -22,35 +22,39 @@ DEPTH = 2
 #: Tokens from which a line is parsed at all, and from which a part may vary.
 LEAST_TOKENS, LEAST_VARIED = 3, 8
 PARTS = 4
-#: Fixed patterns, the same in Spark and in SQL: line ends, blanks, fields.
-LINE, BLANKS, VARIABLE = r"\n", r"[ \t\r\f\x0B]+", r"[^ ]*[0-9][^ ]*"
+LINE, BLANKS = r"\n", "\t\r\f\x0b"
+#: A token with a digit, from its start, without backtracking.
+VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def tokens(line: Column) -> Column:
     """Tokens of a line as one string, fields replaced by a mark that no text token equals."""
-    clean = F.trim(F.regexp_replace(line, BLANKS, " "))
-    return F.regexp_replace(clean, VARIABLE, "\x00")
+    spaced = F.translate(line, BLANKS, " " * len(BLANKS))
+    clean = F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
+    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, VARIABLE, "\x00")).otherwise(clean)
 
 
-def template_key(words: Column, variant: Column) -> Column:
+def template_key(masked: Column, n: Column, variant: Column) -> Column:
     """Key (a, b) of the template in which part ``variant`` of the line, from 1,
     is left out; variant 0 is the whole line."""
-    n = F.size(words)
-    start = F.floor(n * (variant - 1) / F.lit(PARTS)).cast("int")
-    end = F.floor(n * variant / F.lit(PARTS)).cast("int")
-    kept = F.filter(words, lambda w, i: (variant == 0) | (i < start) | (i >= end))
-    lead = F.slice(words, 1, DEPTH)
-    return F.struct(F.xxhash64(variant, n, lead, kept).alias("a"), F.hash(variant, n, kept, lead).alias("b"))
+    start = F.when(variant == 0, n).otherwise(F.floor(n * (variant - 1) / F.lit(PARTS)).cast("int"))
+    end = F.when(variant == 0, n).otherwise(F.floor(n * variant / F.lit(PARTS)).cast("int"))
+    before = F.call_function("substring_index", masked, F.lit(" "), start)
+    after = F.call_function("substring_index", masked, F.lit(" "), end - n)
+    lead = F.substring_index(masked, " ", DEPTH)
+    return F.struct(F.xxhash64(variant, n, lead, before, after).alias("a"), F.hash(variant, n, after, before, lead).alias("b"))
 
 
 def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lines): the numbers, from 0, of the lines to drop of each document
     that has any; h is the hash of its text."""
     line = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, LINE)).alias("pos", "line"))
-    words = line.select(F.struct("id", "h", "pos").alias("at"), F.split(tokens(F.col("line")), " ").alias("words"))
-    variants = F.when(F.size("words") < LEAST_TOKENS, F.array().cast("array<int>")).when(F.size("words") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS)))
-    keyed = words.select("at", "words", F.explode(variants).alias("variant"))
-    keyed = keyed.select("at", template_key(F.col("words"), F.col("variant")).alias("key")).select("at", "key.a", "key.b")
+    line = line.select(F.struct("id", "h", "pos").alias("at"), tokens(F.col("line")).alias("masked"))
+    spaces = F.octet_length("masked") - F.octet_length(F.translate("masked", " ", ""))
+    line = line.select("at", "masked", (spaces + 1).alias("n"))
+    variants = F.when(F.col("n") < LEAST_TOKENS, F.array().cast("array<int>")).when(F.col("n") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(PARTS + 1))))
+    keyed = line.select("at", "masked", "n", F.explode(variants).alias("variant"))
+    keyed = keyed.select("at", template_key(F.col("masked"), F.col("n"), F.col("variant")).alias("key")).select("at", "key.a", "key.b")
     doc = F.struct("at.id", "at.h")
     again = keyed.groupBy("a", "b").agg(F.min("at").alias("first"), F.min(doc).alias("least"), F.max(doc).alias("most")).where(~F.col("least").eqNullSafe(F.col("most")))
     later = keyed.join(again.select("a", "b", "first"), ["a", "b"]).where(~F.col("at").eqNullSafe(F.col("first")))
