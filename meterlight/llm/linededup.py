@@ -23,6 +23,7 @@ DEPTH = 2
 LEAST_TOKENS, LEAST_VARIED = 3, 8
 PARTS = 4
 LINE, BLANKS = r"\n", "\t\r\f\x0b"
+UNCLEAN = r"[\t\r\f\x0B0-9]|  "
 #: A token with a digit, from its start, without backtracking.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
@@ -30,8 +31,9 @@ VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 def tokens(line: Column) -> Column:
     """Tokens of a line as one string, fields replaced by a mark that no text token equals."""
     spaced = F.translate(line, BLANKS, " " * len(BLANKS))
-    clean = F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
-    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, VARIABLE, "\x00")).otherwise(clean)
+    clean = F.trim(F.regexp_replace(spaced, " {2,}", " "))
+    # One scan tells the lines that need none of this.
+    return F.when(line.rlike(UNCLEAN), F.regexp_replace(clean, VARIABLE, "\x00")).otherwise(F.trim(line))
 
 
 def template_key(masked: Column, n: Column, variant: Column) -> Column:
@@ -50,7 +52,7 @@ def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     that has any; h is the hash of its text."""
     line = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, LINE)).alias("pos", "line"))
     line = line.select(F.struct("id", "h", "pos").alias("at"), tokens(F.col("line")).alias("masked"))
-    spaces = F.octet_length("masked") - F.octet_length(F.translate("masked", " ", ""))
+    spaces = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     line = line.select("at", "masked", (spaces + 1).alias("n"))
     variants = F.when(F.col("n") < LEAST_TOKENS, F.array().cast("array<int>")).when(F.col("n") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(PARTS + 1))))
     keyed = line.select("at", "masked", "n", F.explode(variants).alias("variant"))
