@@ -10,7 +10,9 @@ the same however the tables are partitioned.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import accumulate
 
@@ -20,11 +22,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from meterlight.llm import scratch
+from meterlight.llm.words import NONSPACE, distinct, groups
 
 #: Sources beyond this number share queues by hash.
 MAX_QUEUES = 1024
 #: Cached chunks or words of a task; the cache starts anew beyond it.
 CACHE_ENTRIES = 500_000
+#: Bytes of text encoded together.
+ENCODED_BYTES = 4 << 20
 #: Rows (task, queue) up to which the queues' offsets are broadcast, at 16 bytes each.
 BROADCAST_PARTS = 500_000
 
@@ -47,7 +52,8 @@ class WordEncoder:
 
         self.tokenizer, conf = Tokenizer.from_str(model), json.loads(model)
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.end, self.model = self.packed([end_id]), self.tokenizer.model
         steps = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (conf.get("normalizer") or {}).get("normalizers", [])]
         cuts = (conf.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [(x["type"], x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in cuts]
@@ -65,45 +71,51 @@ class WordEncoder:
     def learn(self, chunk: str) -> bytes:
         import unicodedata
 
-        import numpy as np
-
-        if any(x in chunk for x in self.special):
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        if chunk.isascii() and chunk.isalpha():
+            words = [chunk.lower()]
+        elif any(map(chunk.__contains__, self.special)):
+            self.chunks[chunk] = got = self.packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            return got
         else:
             text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3")
-            out = []
-            for word in self.pattern.findall(text.lower()):
-                ids = self.words.get(word)
-                if ids is None:
-                    shown = word.encode().decode("latin-1").translate(self.letters)
-                    ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
-                out.append(ids)
-            got = b"".join(out)
-        self.chunks[chunk] = got
+            words = self.pattern.findall(text.lower())
+        out = []
+        for word in words:
+            ids = self.words.get(word)
+            if ids is None:
+                shown = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+                ids = self.words[word] = self.packed([t.id for t in self.model.tokenize(shown)])
+            out.append(ids)
+        self.chunks[chunk] = got = b"".join(out)
         return got
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def encode(self, texts) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array, with the end id."""
         import numpy as np
 
         if not self.by_word:
-            return [np.array(e.ids, self.kind).tobytes() + self.end for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for text in texts:
-            # str.split also cuts at four control characters that are not white space.
-            chunks = [] if not text else text.split() if text.isprintable() or not any(c in text for c in "\x1c\x1d\x1e\x1f") else [c for c in text.translate(BLANKS).split(" ") if c]
-            try:
-                ids = [self.chunks[c] for c in chunks]
-            except KeyError:
-                ids = [self.chunks[c] if c in self.chunks else self.learn(c) for c in chunks]
-            out.append(b"".join([*ids, self.end]))
+            for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes() + self.end
+            return
+        for _, data, offsets in groups(texts, ENCODED_BYTES, lower=False):
+            chunks, index, bounds = distinct(data, offsets, NONSPACE)
+            known = [self.chunks[c] if c in self.chunks else self.learn(c) for c in chunks.to_pylist()]
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+            firsts = np.cumsum(sizes) - sizes
+            pool = np.frombuffer(b"".join(known), self.kind)
+            each = sizes[index]
+            after = np.concatenate([[0], np.cumsum(each)])
+            ids = pool[np.repeat(firsts[index] - after[:-1], each) + np.arange(after[-1])]
+            cuts = after[bounds]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                yield ids[low:high].tobytes() + self.end
             if len(self.chunks) > CACHE_ENTRIES:
                 self.chunks = {}
             if len(self.words) > CACHE_ENTRIES:
                 self.words = {}
-        return out
-
-
-BLANKS = str.maketrans("\n\t\r", "   ")
 
 
 class Mixture:
@@ -207,14 +219,18 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_
     )
 
     def run(batches):
+        import gc
+
         import pyarrow as pa
         from pyspark import TaskContext
 
+        gc.set_threshold(200_000)  # the caches hold many objects, none of them in cycles
+
         encoder = WordEncoder(model.value, end_id)
         size, task, taken = encoder.kind.itemsize, TaskContext.get().partitionId(), {}
         for batch in batches:
             befores, counts = [], []
-            ids = encoder.encode(batch.column("text").to_pylist())
+            ids = list(encoder.encode(batch.column("text")))
             for q, x in zip(batch.column("queue").to_pylist(), ids):
                 counts.append(len(x) // size)
                 befores.append(taken.get(q, 0))

@@ -20,6 +20,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes of words: all but space and the ASCII controls from tab to carriage return.
 NONSPACE = np.ones(256, bool)
 NONSPACE[[0x20, *range(0x09, 0x0E)]] = False
+LETTERS, TAILS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+TAILS[list(b".,;:?!")] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,9 +51,9 @@ class Powers:
         return self.up, self.down
 
 
-def groups(texts: pa.Array, limit: int = GROUP_BYTES):
-    """Yield (first row, lower-cased bytes, offsets) over runs of rows of about
-    ``limit`` bytes. Null texts are empty."""
+def groups(texts: pa.Array, limit: int = GROUP_BYTES, lower: bool = True):
+    """Yield (first row, bytes, with A-Z lower-cased if ``lower``, offsets) over
+    runs of rows of about ``limit`` bytes. Null texts are empty."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -64,7 +67,7 @@ def groups(texts: pa.Array, limit: int = GROUP_BYTES):
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
         part = data[offsets[first] : offsets[last]]
-        yield first, LOWER[part], offsets[first : last + 1] - offsets[first]
+        yield first, LOWER[part] if lower else part, offsets[first : last + 1] - offsets[first]
         first = last
 
 
@@ -84,6 +87,20 @@ def split(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def distinct(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word among them, and the
+    number of the first word of each text, with the count of all words at the end.
+    One of ``TAILS`` that ends a word after an ASCII letter is a word of its own."""
+    starts, ends, owner = split(data, offsets, table)
+    cut = (ends - starts > 1) & TAILS[data[ends - 1]] & LETTERS[data[ends - 2]]
+    starts, ends, owner = np.sort(np.concatenate([starts, ends[cut] - 1])), np.sort(np.concatenate([ends - cut, ends[cut]])), np.sort(np.concatenate([owner, owner[cut]]))
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    body = np.ascontiguousarray(data[table[data]])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(body)).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), np.searchsorted(owner, np.arange(len(offsets)))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cache: Powers) -> np.ndarray:
     """A 64-bit hash of each word; it depends on the word's bytes alone."""
     up, down = cache.get(len(data) + 1)
