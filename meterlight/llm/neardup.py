@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 Texts with equal words are one class. Banded signatures bring classes together;
-in each bucket classes are compared with a few leaders at a time, chosen among
-classes that are not connected yet, until every bucket is one component or all
+in each bucket classes are compared with leaders, more of them in each round, chosen
+among classes that are not connected yet, until every bucket is one component or all
 its classes have led. A bucket of n copies so costs about n comparisons, and no
 pair of classes that could still connect two components is left out.
 
@@ -27,7 +27,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each look at the posterior.
 BATCH = 32
-#: Leaders that a bucket compares its classes with in one round.
+#: A bucket compares its classes with one leader, then with up to so many times
+#: more leaders in each round; the rounds grow as the logarithm of what is left.
 LEADERS = 8
 #: Keys of 16 bytes up to which a set of them is broadcast.
 BROADCAST_KEYS = 250_000
@@ -260,8 +261,8 @@ def groups_of(
 
 
 def choose(active: DataFrame, turn: int) -> DataFrame:
-    """(band, lead, lead_root): up to ``LEADERS`` classes of each bucket that have
-    not led yet. In the first round the least class leads; later, classes outside
+    """(band, lead, lead_root): up to ``LEADERS ** turn`` classes of each bucket that
+    have not led yet. In the first round the least class leads; later, classes outside
     the bucket's largest component lead first, as once they have all led, what is
     left is one component."""
     if turn == 0:
@@ -270,6 +271,6 @@ def choose(active: DataFrame, turn: int) -> DataFrame:
     largest = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
     fresh = active.where(~F.col("led")).join(largest, "band")
     order = F.xxhash64(F.lit(turn), "key")
-    slot = F.pmod(F.xxhash64(F.lit(-turn), "key"), F.lit(LEADERS))
+    slot = F.pmod(F.xxhash64(F.lit(-turn), "key"), F.lit(LEADERS**turn))
     picked = fresh.groupBy("band", slot.alias("slot")).agg(F.min(F.struct((F.col("root") == F.col("major")).alias("late"), order.alias("o"), "key", "root")).alias("x"))
     return picked.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))
