@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import decontam, linededup, neardup, packing, secrets, sharding, urlfilter
+from meterlight.llm import decontam, kneserney, linededup, neardup, packing, secrets, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +131,12 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM out
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = kneserney.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.col("__words").alias("n_words"), F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__kept").alias("kept"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -141,7 +147,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op10_packing)
+        for f in (op1_decontamination, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op9_quality, op10_packing)
     }
 
 
