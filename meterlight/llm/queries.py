@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import decontam, kneserney, linededup, neardup, packing, secrets, sharding, urlfilter
+from meterlight.llm import decontam, kneserney, linededup, neardup, packing, pseudolikelihood, secrets, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,11 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JO
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudolikelihood.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "log_probability", (F.col("log_probability") / F.nullif("n_words", F.lit(0))).alias("mean_log_probability"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -147,7 +152,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op9_quality, op10_packing)
+        for f in (op1_decontamination, op2_lm_scoring, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op9_quality, op10_packing)
     }
 
 
