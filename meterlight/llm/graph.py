@@ -1,7 +1,9 @@
-"""Connected components of edge tables by contraction."""
+"""Connected components of edge tables, and links between rows that share buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,51 @@ def components(edges: DataFrame) -> DataFrame:
         current = following
         if not current.limit(1).count():
             return found
+
+
+def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) of keys that share a bucket (band, key): links are the pairs
+    (src, dst) that ``verify`` kept of the pairs it was given, roots the components.
+
+    Each bucket compares its keys with one leader, then with up to ``growth`` times
+    more leaders in each round, until the bucket is one component or all its keys
+    have led. So n keys of one component cost about n pairs, and no pair that could
+    still connect two components is left out.
+    """
+    active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(False).alias("led"))
+    links, tried, turn = None, None, 0
+    while True:
+        leaders = scratch.save(choose(active, turn, growth), "leaders")
+        pairs = active.join(leaders, "band").where("root <> lead_root")
+        pairs = pairs.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
+        pairs = scratch.save(pairs, "pairs")
+        new = scratch.save(verify(pairs), "links")
+        links = new if links is None else scratch.save(links.union(new), "all_links")
+        tried = pairs if tried is None else scratch.save(tried.union(pairs), "tried")
+        roots = components(links)
+        marked = active.join(leaders.select("band", F.col("lead").alias("key"), F.lit(True).alias("leads")), ["band", "key"], "left")
+        marked = marked.select("band", "key", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
+        marked = marked.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"), "led")
+        marked = scratch.save(marked, "marked")
+        open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("led")).alias("c")).where("a <> b and c > 0")
+        active, turn = scratch.save(marked.join(open_.select("band"), "band", "left_semi"), "active"), turn + 1
+        if not active.limit(1).count():
+            return links, roots
+
+
+def choose(active: DataFrame, turn: int, growth: int) -> DataFrame:
+    """(band, lead, lead_root): up to ``growth ** turn`` classes of each bucket that
+    have not led yet. In the first round the least class leads; later, classes outside
+    the bucket's largest component lead first, as once they have all led, what is
+    left is one component."""
+    if turn == 0:
+        return active.groupBy("band").agg(F.min("key").alias("lead")).withColumn("lead_root", F.col("lead"))
+    by_root = active.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    fresh = active.where(~F.col("led")).join(largest, "band")
+    order = F.xxhash64(F.lit(turn), "key")
+    slot = F.pmod(F.xxhash64(F.lit(-turn), "key"), F.lit(growth**turn))
+    picked = fresh.groupBy("band", slot.alias("slot")).agg(F.min(F.struct((F.col("root") == F.col("major")).alias("late"), order.alias("o"), "key", "root")).alias("x"))
+    return picked.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlight.llm import scratch
-from meterlight.llm.graph import components
+from meterlight.llm.graph import connect
 from meterlight.llm.words import NONSPACE, U64, Powers, groups, hashes, mix, split, windows
 
 BANDS, ROWS = 32, 5
@@ -230,47 +230,10 @@ def groups_of(
     wanted = scratch.save(classes.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "id", "signature"), "wanted")
     sets = scratch.save(full_sets(docs, wanted.select("key", "id"), length, id_col, text_col), "sets")
     signatures = wanted.select("key", "signature")
-    active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(False).alias("led"))
-    links, tried, turn = None, None, 0
-    while True:
-        leaders = choose(active, turn)
-        pairs = active.join(leaders, "band").where("root <> lead_root")
-        pairs = pairs.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        close = scratch.save(survivors(pairs, signatures, percent, miss), "close")
-        new = scratch.save(verified(close, sets, percent), "links")
-        links = new if links is None else scratch.save(links.union(new), "all_links")
-        tried = pairs if tried is None else scratch.save(tried.union(pairs), "tried")
-        roots = components(links)
-        marked = active.join(leaders.select("band", F.col("lead").alias("key"), F.lit(True).alias("leads")), ["band", "key"], "left")
-        marked = marked.select("band", "key", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
-        marked = marked.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"), "led")
-        open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("led")).alias("c")).where("a <> b and c > 0")
-        following = scratch.save(marked.join(open_.select("band"), "band", "left_semi"), "active")
-        active, turn = following, turn + 1
-        if not active.limit(1).count():
-            break
+    links, roots = connect(buckets, lambda pairs: verified(scratch.save(survivors(pairs, signatures, percent, miss), "close"), sets, percent), LEADERS)
     ids = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component"))
     degree = links.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     found = scratch.save(ids.join(least, "root").join(degree, "key", "left").select("key", "component", F.coalesce("links", F.lit(0)).alias("links")), "found")
     out = signed.select("id", "key", "n_shingles").join(found, "key", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def choose(active: DataFrame, turn: int) -> DataFrame:
-    """(band, lead, lead_root): up to ``LEADERS ** turn`` classes of each bucket that
-    have not led yet. In the first round the least class leads; later, classes outside
-    the bucket's largest component lead first, as once they have all led, what is
-    left is one component."""
-    if turn == 0:
-        return active.groupBy("band").agg(F.min("key").alias("lead")).withColumn("lead_root", F.col("lead"))
-    by_root = active.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-    fresh = active.where(~F.col("led")).join(largest, "band")
-    order = F.xxhash64(F.lit(turn), "key")
-    slot = F.pmod(F.xxhash64(F.lit(-turn), "key"), F.lit(LEADERS**turn))
-    picked = fresh.groupBy("band", slot.alias("slot")).agg(F.min(F.struct((F.col("root") == F.col("major")).alias("late"), order.alias("o"), "key", "root")).alias("x"))
-    return picked.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import decontam, kneserney, linededup, neardup, packing, pseudolikelihood, secrets, sharding, urlfilter
+from meterlight.llm import decontam, images, kneserney, linededup, neardup, packing, pseudolikelihood, secrets, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +136,12 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM out
 """
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images: each vector is drawn as one."""
+    out = images.copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), render=images.vector_images, id_col="vec_id")
+    return out.select("vec_id", "descriptors", F.col("component").alias("component_id"), F.col("same").alias("equal_images"), (F.col("vec_id") == F.col("component")).alias("kept"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = kneserney.classify(docs, table(spark, sf_dir, "labels"))
@@ -152,7 +158,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op2_lm_scoring, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op9_quality, op10_packing)
+        for f in (op1_decontamination, op2_lm_scoring, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op8_image_copies, op9_quality, op10_packing)
     }
 
 
