@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterlight.llm import queries, scratch
+from meterlight.llm import decontam, kneserney, linededup, neardup, packing, queries, scratch
 
-STAGES = [("packing", lambda spark, docs, sf_dir: docs)]
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    judged = kneserney.classify(docs, queries.table(spark, sf_dir, "labels"))
+    return judged.where("__kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose templates came before."""
+    return linededup.dedup_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates."""
+    found = neardup.groups_of(docs).where("not (id <=> component)").select(F.col("id").alias("__copy")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__copy"]), "left_anti")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without words of a benchmark window."""
+    return decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of tokens, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", token_packing),
+]
 
 #: The stages run a trained model and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
