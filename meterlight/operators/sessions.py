@@ -69,22 +69,13 @@ def descendants(session_rows: DataFrame, events: DataFrame, root: str) -> DataFr
 
 def cycles(edges: DataFrame) -> DataFrame:
     """Sessions (agent, instance, session_id, parent_session_id) that are their own
-    ancestor, found by following parents twice as far each round."""
+    ancestor. Parents are followed twice as far each round; pointers that never end
+    then point at sessions on cycles, and at all of them."""
     at = ["agent_id", "source_instance_id"]
-    start = edges.where("parent_session_id is not null").select(*at, "session_id", F.col("parent_session_id").alias("up"))
-    now, found = save(start, "up"), None
+    now = save(edges.where("parent_session_id is not null").select(*at, "session_id", F.col("parent_session_id").alias("up")), "up")
     reach = 1
-    reached = now
-    while reach < MAX_DEPTH:
-        hits = reached.where("session_id = up").select(*at, "session_id").distinct()
-        found = hits if found is None else found.union(hits).distinct()
-        found = save(found, "cycles")
+    while reach < MAX_DEPTH and now.limit(1).count():
         jump = now.select(*at, F.col("session_id").alias("up"), F.col("up").alias("next"))
-        more = reached.join(jump, [*at, "up"]).select(*at, "session_id", F.col("next").alias("up"))
-        reached = save(reached.union(more).distinct().join(found, [*at, "session_id"], "left_anti"), "reached")
         now = save(now.join(jump, [*at, "up"]).select(*at, "session_id", F.col("next").alias("up")), "up")
         reach *= 2
-        if not now.join(found, [*at, "session_id"], "left_anti").limit(1).count():
-            break
-    hits = reached.where("session_id = up").select(*at, "session_id").distinct()
-    return hits if found is None else found.union(hits).distinct()
+    return now.select(*at, F.col("up").alias("session_id")).distinct()
