@@ -41,8 +41,11 @@ def granularity(start: datetime, end: datetime, free: bool) -> str:
 
 
 def local_bucket(bucket_ms: Column, unit: str, zone: str) -> Column:
-    """The local day or Monday-started week of a UTC hour, as a date."""
-    return F.to_date(F.date_trunc(unit, F.from_utc_timestamp(F.timestamp_millis(bucket_ms), zone)))
+    """The local day or Monday-started week of a UTC hour, as a date, whatever the
+    session's own time zone is."""
+    utc = F.timestamp_add("SECOND", (bucket_ms / 1000).cast("bigint"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return F.to_date(F.date_trunc(unit, local.cast("date")) if unit == "week" else local.cast("date"))
 
 
 def regroup(trend: DataFrame, unit: str, zone: str) -> DataFrame:

@@ -32,7 +32,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size")
     base = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").selectExpr(
         "l_orderkey k", "cast(l_linenumber as bigint) n", "cast(l_quantity as bigint) q", "l_partkey p", "l_suppkey s", "cast(round(l_extendedprice * 100) as bigint) cents",
-        "l_returnflag flag", "unix_millis(l_shipdate) day_ms", "p_brand brand", "p_size",
+        "l_returnflag flag", "unix_date(cast(l_shipdate as date)) * 86400000L day_ms", "p_brand brand", "p_size",
     )
     b = "(k div 64)"
     out = [
