@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 
 from meterlight.llm import scratch
 from meterlight.llm.graph import connect
+from meterlight.llm.words import BYTE_BASE, U64, mix
 
 #: Scales of the pyramid, strongest corners kept on each, radius of a patch.
 SCALES, CORNERS, RADIUS = (1.0, 0.75, 0.5), 24, 7
 #: Bits of a descriptor, substrings it is cut into, and the bits in which matches may differ.
-BITS, TABLES, HAMMING = 256, 8, 24
+BITS, TABLES, HAMMING = 256, 4, 24
 #: Matches that agree on a transform, and the pixels by which they may miss it.
 CONSENSUS, TOLERANCE = 6, 2.0
 #: x, y, scale, angle (float32) and bits of one descriptor.
@@ -163,8 +164,8 @@ def substrings(features: DataFrame) -> DataFrame:
             bands, keys = [], []
             for i, raw in enumerate(batch.column("features").to_pylist()):
                 parts = np.frombuffer(raw, np.uint8).reshape(-1, RECORD)[:, 16:]
-                values = np.ascontiguousarray(parts).view("<u4").astype(np.int64)
-                bands.append(np.unique(values * TABLES + np.arange(TABLES)))
+                values = np.ascontiguousarray(parts).view("<u8")
+                bands.append(np.unique(mix(values + np.arange(1, TABLES + 1, dtype=U64) * U64(BYTE_BASE)).view(np.int64)))
                 keys.append(np.full(len(bands[-1]), i))
             if bands:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), batch.column("key").take(pa.array(np.concatenate(keys)))], names=["band", "key"])
@@ -219,15 +220,17 @@ def copies(images: DataFrame, *, render: Callable = pixels, id_col: str = "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("descriptors", F.lit(0)).alias("descriptors"), F.coalesce("component", "id").alias("component"), F.coalesce("same", F.lit(1)).alias("same"))
 
 
-def vector_images(batch, vector_col: str = "embedding", side: int = 8, zoom: int = 6):
-    """Images of vectors: values as gray cells of a square, enlarged and smoothed."""
+def vector_images(batch, vector_col: str = "embedding", side: int = 56):
+    """Images of vectors: fixed textures, one for each dimension, weighted by the values."""
     import numpy as np
 
+    textures: dict[int, np.ndarray] = {}
     for v in batch.column(vector_col).to_pylist():
-        if not v or None in v:
+        if not v or None in v or not np.isfinite(v).all():
             yield None
             continue
-        cells = np.resize(np.array(v, np.float32), (side, side))
-        spread = float(np.abs(cells).max()) or 1.0
-        gray = np.nan_to_num(128 + 120 * cells / spread, nan=128.0, posinf=255.0, neginf=0.0)
-        yield blur(np.kron(gray, np.ones((zoom, zoom)))).clip(0, 255).astype(np.uint8)
+        if len(v) not in textures:
+            noise = np.random.default_rng(len(v)).standard_normal((len(v), side, side))
+            textures[len(v)] = np.stack([blur(blur(t)) for t in noise])
+        drawn = np.tensordot(np.asarray(v), textures[len(v)], 1)
+        yield (128 + 48 * drawn / (drawn.std() or 1.0)).clip(0, 255).astype(np.uint8)
