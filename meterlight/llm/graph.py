@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from meterlight.llm import scratch
 
+#: Rounds in which a key has one partner.
+LIGHT = 3
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (src, dst); root is the least node
@@ -55,16 +58,20 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth
     """(links, roots) of keys that share a bucket (band, key): links are the pairs
     (src, dst) that ``verify`` kept of the pairs it was given, roots the components.
 
-    Each bucket compares its keys with one leader, then with up to ``growth`` times
-    more leaders in each round, until the bucket is one component or all its keys
+    In the first ``LIGHT`` rounds each key is compared with one leader of all its
+    buckets. Then each bucket compares its keys with up to ``growth`` times more
+    leaders in each round, until it is one component or all its keys
     have led. So n keys of one component cost about n pairs, and no pair that could
     still connect two components is left out.
     """
     active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(False).alias("led"))
     links, tried, turn = None, None, 0
     while True:
-        leaders = scratch.save(choose(active, turn, growth), "leaders")
+        light = turn < LIGHT
+        leaders = scratch.save(one_leader(active, turn) if light else choose(active, turn - LIGHT + 1, growth), "leaders")
         pairs = active.join(leaders, "band").where("root <> lead_root")
+        if light:
+            pairs = pairs.groupBy("key").agg(F.min_by("lead", F.struct(F.xxhash64(F.lit(turn), "lead"), "lead")).alias("lead"))
         pairs = pairs.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["src", "dst"], "left_anti")
@@ -73,8 +80,10 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth
         links = new if links is None else scratch.save(links.union(new), "all_links")
         tried = pairs if tried is None else scratch.save(tried.union(pairs), "tried")
         roots = components(links)
-        marked = active.join(leaders.select("band", F.col("lead").alias("key"), F.lit(True).alias("leads")), ["band", "key"], "left")
-        marked = marked.select("band", "key", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
+        marked = active.drop("root")
+        if not light:
+            marked = marked.join(leaders.select("band", F.col("lead").alias("key"), F.lit(True).alias("leads")), ["band", "key"], "left")
+            marked = marked.select("band", "key", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
         marked = marked.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"), "led")
         marked = scratch.save(marked, "marked")
         open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("led")).alias("c")).where("a <> b and c > 0")
@@ -83,13 +92,17 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth
             return links, roots
 
 
+def one_leader(active: DataFrame, turn: int) -> DataFrame:
+    """(band, lead, lead_root): one key of each bucket, by an order that all buckets
+    share and that changes with the round."""
+    first = active.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "root")).alias("x"))
+    return first.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))
+
+
 def choose(active: DataFrame, turn: int, growth: int) -> DataFrame:
     """(band, lead, lead_root): up to ``growth ** turn`` classes of each bucket that
-    have not led yet. In the first round the least class leads; later, classes outside
-    the bucket's largest component lead first, as once they have all led, what is
-    left is one component."""
-    if turn == 0:
-        return active.groupBy("band").agg(F.min("key").alias("lead")).withColumn("lead_root", F.col("lead"))
+    have not led yet. Keys outside the bucket's largest component lead first, as once
+    they have all led, what is left is one component."""
     by_root = active.groupBy("band", "root").agg(F.count("*").alias("n"))
     largest = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
     fresh = active.where(~F.col("led")).join(largest, "band")
