@@ -188,6 +188,19 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert sum(got[i] for i, _, _ in clean) >= 295
 
 
+def test_quality_rejects_toxic_and_does_not_trust_it(spark):
+    rng = random.Random(8)
+    words = ["the", "of", "and", "river", "stone", "light", "old", "house"]
+    texts = [[rng.choice(words) for _ in range(80)] for _ in range(400)]
+    for i in range(0, 400, 4):
+        texts[i][rng.randrange(80)] = rng.choice(["scum,", "Moron"])
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)] + [(399, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["__kept"] for r in kneserney.classify(docs, labels).collect()}
+    assert not any(got[i] for i in range(0, 400, 4))  # those from 240 on have no label
+    assert sum(got[i] for i in range(400) if i % 4) >= 295
+
+
 def test_language_model_learns_from_both_sides(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"left{k} mid{k} right{k}" for k in (rng.randrange(5) for _ in range(80)))) for i in range(120)]
