@@ -321,12 +321,21 @@ def tool_dedup(m):
     return merge.latest(m.raw, ["agent_id", "source_instance_id", "event_id"], projection.ARRIVAL).select("agent_id", "source_instance_id", "event_id", F.col("arrival_p").alias("p"))
 
 
+def _looped(m):
+    """An edge for the session of each order; four of every ten keys make a cycle."""
+    up = "case when k % 10 < 4 then k - k % 10 + (k % 10 + 1) % 4 else k - 1 end"
+    return m.orders.selectExpr("'a' agent_id", "'i' source_instance_id", "concat('s', k) session_id", f"concat('s', {up}) parent_session_id", "k")
+
+
 @query("WITH RECURSIVE e AS (SELECT k, CASE WHEN k % 10 < 4 THEN k - k % 10 + (k % 10 + 1) % 4 ELSE k - 1 END AS up FROM (SELECT o_orderkey k FROM orders WHERE o_orderkey < 500)), r AS (SELECT k, up FROM e UNION SELECT r.k, e.up FROM r JOIN e ON r.up = e.k) SELECT 'a' AS agent_id, 'i' AS source_instance_id, 's' || k AS session_id FROM r WHERE k = up")
 def session_cycles(m):
-    k = "cast(substring(session_id, 2) as bigint)"
-    rows = m.events.sparkSession.range(500).selectExpr("concat('s', id) session_id")
-    edges = rows.selectExpr("'a' agent_id", "'i' source_instance_id", "session_id", f"concat('s', case when {k} % 10 < 4 then {k} - {k} % 10 + ({k} % 10 + 1) % 4 else {k} - 1 end) parent_session_id")
-    return sessions.cycles(edges)
+    """The sessions below key 500 alone, as in its SQL; ``session_cycles_all`` has no bound."""
+    return sessions.cycles(_looped(m).where("k < 500"))
+
+
+@query()
+def session_cycles_all(m):
+    return sessions.cycles(_looped(m))
 
 
 HASHES = "hs AS (SELECT dedup_key, agent_id, source_instance_id, project_path, project_id, CASE WHEN k % 5 = 0 THEN sha256('repo' || (k // 64 % 12)) WHEN k % 50 = 1 AND k // 64 % 12 = 7 THEN sha256('other') END AS repository_hash FROM ev)"

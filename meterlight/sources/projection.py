@@ -111,6 +111,7 @@ class Model:
     tools: DataFrame
     dispatches: DataFrame
     rates: DataFrame
+    orders: DataFrame
 
 
 def load(spark: SparkSession, sf_dir: str) -> Model:
@@ -118,4 +119,4 @@ def load(spark: SparkSession, sf_dir: str) -> Model:
     raw, of = raw_events(spark, sf_dir), rates(spark)
     events = pricing.estimate(merge.upsert_events(raw, ARRIVAL), of)
     session_rows, turn_rows = sessions(spark, sf_dir), turns(events)
-    return Model(raw, events, session_rows, turn_rows, tools(events), dispatches(turn_rows, session_rows), of)
+    return Model(raw, events, session_rows, turn_rows, tools(events), dispatches(turn_rows, session_rows), of, spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey k"))

@@ -28,6 +28,24 @@ def test_query_equals_sql(spark, name):
     assert sorted(str(tuple(r)) for r in queries.queries()[name](spark, SF).select(*columns).collect()) == want
 
 
+def test_cycles_of_all_sessions_by_brute_force(spark, tmp_path):
+    keys = [*range(60), *range(600, 640), 1001, 1003]
+    path = str(tmp_path)
+    for table in ("lineitem", "part"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(1).write.parquet(f"{path}/{table}.parquet")
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{path}/orders.parquet")
+    up = {k: k - k % 10 + (k % 10 + 1) % 4 if k % 10 < 4 else k - 1 for k in keys}
+    want = set()
+    for k in keys:
+        at = up[k]
+        for _ in keys:
+            if at == k:
+                want.add(f"s{k}")
+            at = up.get(at, -1)
+    assert {r["session_id"] for r in queries.queries()["session_cycles_all"](spark, path).collect()} == want
+    assert any(int(s[1:]) >= 500 for s in want) and "s1001" not in want
+
+
 RATES = "model string, input_rate string, cached_rate string, write_rate string, output_rate string, long_threshold long, long_input string, long_output string"
 EVENT = "normalized_model string, cache_included int, input_reported_value long, uncached_input_value long, cache_read_value long, cache_write_value long, output_value long"
 
