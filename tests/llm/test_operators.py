@@ -201,6 +201,21 @@ def test_quality_rejects_toxic_and_does_not_trust_it(spark):
     assert sum(got[i] for i in range(400) if i % 4) >= 295
 
 
+def test_quality_covers_every_language_and_long_texts(spark):
+    rng = random.Random(9)
+    words = ["the", "of", "and", "river", "stone", "light", "old", "house"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = lambda: " ".join(rng.choice("!@#$%^") * 3 + str(rng.random()) for _ in range(80))
+    rows = [(100 * k + i, text(80), f"l{k}") for k in range(40) for i in range(12)]
+    rows += [(10_000 + i, text(900_000), "long") for i in range(4)]  # over 3 MB each
+    trusted = [i for i, _, _ in rows if i >= 10_000 or i % 100 < 8]
+    rows += [(20_000 + k, junk(), f"l{k}") for k in range(40)] + [(30_000, junk(), "long")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["__kept"] for r in kneserney.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), labels).collect()}
+    assert sum(got[i] for i, _, _ in rows if i >= 20_000) <= 2
+    assert sum(got[100 * k + i] for k in range(40) for i in range(8, 12)) >= 156
+
+
 def test_language_model_learns_from_both_sides(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"left{k} mid{k} right{k}" for k in (rng.randrange(5) for _ in range(80)))) for i in range(120)]
