@@ -47,14 +47,16 @@ def template_key(masked: Column, n: Column, variant: Column) -> Column:
     return F.struct(F.xxhash64(variant, n, lead, before, after).alias("a"), F.hash(variant, n, after, before, lead).alias("b"))
 
 
-def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped(docs: DataFrame, *, least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lines): the numbers, from 0, of the lines to drop of each document
     that has any; h is the hash of its text."""
     line = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, LINE)).alias("pos", "line"))
     line = line.select(F.struct("id", "h", "pos").alias("at"), tokens(F.col("line")).alias("masked"))
     spaces = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     line = line.select("at", "masked", (spaces + 1).alias("n"))
-    variants = F.when(F.col("n") < LEAST_TOKENS, F.array().cast("array<int>")).when(F.col("n") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(PARTS + 1))))
+    # Short lines of fields alone would all be one template.
+    bare = (F.col("n") < LEAST_TOKENS) & F.col("masked").rlike(r"^[\x00 ]*$")
+    variants = F.when((F.col("n") < least_tokens) | bare, F.array().cast("array<int>")).when(F.col("n") < LEAST_VARIED, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(PARTS + 1))))
     keyed = line.select("at", "masked", "n", F.explode(variants).alias("variant"))
     keyed = keyed.select("at", template_key(F.col("masked"), F.col("n"), F.col("variant")).alias("key")).select("at", "key.a", "key.b")
     doc = F.struct("at.id", "at.h")
@@ -63,13 +65,13 @@ def dropped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return later.groupBy("at.id", "at.h").agg(F.array_sort(F.collect_set("at.pos")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with texts without their dropped lines, and the columns __lines
     (lines before) and __dropped (numbers of the dropped ones, from 0).
 
     Lines end at line feeds. Tokens are parted by blanks; a token with a digit is
-    a variable field. Lines with fewer than three tokens always stay. The first
-    line of a template is the one with the least id, then text hash, then number;
+    a variable field. Lines with fewer than ``least_tokens`` tokens always stay,
+    and so do blank ones and those of one or two fields alone. The first line of a template is the one with the least id, then text hash, then number;
     a template that recurs only within one document is left alone. Line feeds
     between the lines that stay are kept.
 
@@ -78,7 +80,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows.
     """
     text = F.col(text_col)
-    drops = dropped(docs, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__dropped"))
+    drops = dropped(docs, least_tokens=least_tokens, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__dropped"))
     hashed = docs.withColumn("__own", F.xxhash64(text_col))
     joined = hashed.join(drops, hashed[id_col].eqNullSafe(drops["__id"]) & (hashed["__own"] == drops["__h"]), "left")
     lines = F.split(text, LINE)

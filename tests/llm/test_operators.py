@@ -101,6 +101,14 @@ def test_line_templates(spark):
     assert got == {1: docs[0][1], 2: "another line of text", 3: docs[2][1], 4: None}
 
 
+def test_short_lines_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = [(1, "Read more\nHome\n\n12\nTop 3"), (2, "Read more\none line\n\n13\nHome\nTop 5"), (3, None)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert got == {1: docs[0][1], 2: "one line\n\n13", 3: None}
+
+
 def test_redirects_carry_blocks_and_allows(spark):
     def page(i, url, canonical=None):
         return (i, url, f'<link rel="canonical" href="{canonical}">' if canonical else "<p>")
