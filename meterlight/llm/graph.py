@@ -1,16 +1,19 @@
-"""Connected components of edge tables, and links between rows that share buckets."""
+"""Connected components of edge tables, and of links between rows that share buckets."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.llm import scratch
 
-#: Rounds in which a key has one partner.
-LIGHT = 3
+#: Keys of a bucket up to which all of them lead at once, so a key meets at most so many.
+SMALL = 8
+#: Times more leaders of a bucket in each round; rounds after which buckets are dealt anew.
+GROWTH, DEALS = 8, 5
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,59 +57,113 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) of keys that share a bucket (band, key): links are the pairs
-    (src, dst) that ``verify`` kept of the pairs it was given, roots the components.
-
-    In the first ``LIGHT`` rounds each key is compared with one leader of all its
-    buckets. Then each bucket compares its keys with up to ``growth`` times more
-    leaders in each round, until it is one component or all its keys
-    have led. So n keys of one component cost about n pairs, and no pair that could
+def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, percent: int = 80) -> DataFrame:
+    """(node, root) of the keys that are linked with others; buckets are (band, key),
+    and ``verify`` keeps the links of pairs (src, dst). No pair of a bucket that could
     still connect two components is left out.
+
+    First each key meets one hub, the key of its buckets that shares most buckets with
+    others. Buckets that still hold several components then compare their keys with
+    leaders, which leave the bucket: all keys, if they are at most ``SMALL``, else one
+    hub, and ``GROWTH`` times more in each round, those outside the largest component first.
+
+    ``refine`` deals such buckets anew: of rows (key, root, lead) it makes rows (band,
+    key, root, ask, n, i, e, lead), smaller buckets in which every pair meets that can
+    still be a link, given how both compare with the hub ``lead``, and one row without
+    a band for each row it was given. ``ask`` marks keys that aren't linked with the hub,
+    of which any such pair has one; n and i are a key's size and its overlap with the
+    hub, e what keys of the bucket may share outside it, for links of at least ``percent`` of the union in common. It deals all buckets
+    after the first round, by the best hub of their keys, and later those that a hub
+    of theirs explains better. So n keys around one hub cost about n pairs.
     """
-    active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(False).alias("led"))
-    links, tried, turn = None, None, 0
-    while True:
-        light = turn < LIGHT
-        leaders = scratch.save(one_leader(active, turn) if light else choose(active, turn - LIGHT + 1, growth), "leaders")
-        pairs = active.join(leaders, "band").where("root <> lead_root")
-        if light:
-            pairs = pairs.groupBy("key").agg(F.min_by("lead", F.struct(F.xxhash64(F.lit(turn), "lead"), "lead")).alias("lead"))
-        pairs = pairs.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
+    active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(True).alias("ask"), *[F.lit(None).cast("long").alias(c) for c in ("n", "i", "e")])
+    roots = None
+    for turn in count():
+        leaders = scratch.save(leading(active, turn), "leaders")
+        met = active.join(leaders, "band")
+        if turn:
+            met = met.where("root <> lead_root and (ask or lead_ask) and (not every or key < lead)")
+            # Both are known against one hub: an overlap is at most that inside it and that outside.
+            common = F.least("i", "lead_i") + F.least("e", "lead_e")
+            met = met.where(F.coalesce((100 + percent) * common >= percent * (F.col("n") + F.col("lead_n")), F.lit(True)))
+        else:
+            hubs = scratch.save(met.groupBy("key").agg(F.max(F.struct("weight", "lead")).alias("hub")), "hubs")
+            met = hubs.select("key", "hub.lead").where("key <> lead")
+        pairs = scratch.save(met.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct(), "pairs")
         new = scratch.save(verify(pairs), "links")
-        links = new if links is None else scratch.save(links.union(new), "all_links")
-        tried = pairs if tried is None else scratch.save(tried.union(pairs), "tried")
-        roots = components(links)
-        marked = active.drop("root")
-        if not light:
-            marked = marked.join(leaders.select("band", F.col("lead").alias("key"), F.lit(True).alias("leads")), ["band", "key"], "left")
-            marked = marked.select("band", "key", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
-        marked = marked.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"), "led")
-        marked = scratch.save(marked, "marked")
-        open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count_if(~F.col("led")).alias("c")).where("a <> b and c > 0")
-        active, turn = scratch.save(marked.join(open_.select("band"), "band", "left_semi"), "active"), turn + 1
+        roots = joined(roots, new)
+        rest = active
+        if turn:
+            rest = rest.join(leaders.where("every").select("band").distinct(), "band", "left_anti")
+            rest = rest.join(leaders.where("not every").select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti")
+        rest = scratch.save(relabelled(rest, roots), "rest")
+        left = scratch.save(rest.join(undecided(rest), "band", "left_semi"), "left")
+        following = left
+        if refine and turn < DEALS and left.limit(1).count():
+            best = left.join(hubs, "key").select("band", "hub") if not turn else leaders.select("band", F.struct("weight", "lead").alias("hub"))
+            members = left.join(best.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.lead"), "band")
+            members = scratch.save(members, "members")
+            dealt = scratch.save(refine(members.select("key", "root", "lead").distinct()), "dealt")
+            known = dealt.where("band is null")
+            roots = joined(roots, known.where("not ask and key <> lead").select(F.col("key").alias("src"), F.col("lead").alias("dst")))
+            if turn:
+                now = known.select("key", "lead", F.col("i").alias("now"))
+                better = members.join(now, ["key", "lead"]).groupBy("band").agg(F.sum("now").alias("now"), F.sum("i").alias("was")).where("now > was").select("band")
+                following = relabelled(left.join(better, "band", "left_anti"), roots)
+                wanted = members.join(better, "band", "left_semi").select("key", "lead").distinct()
+                dealt = dealt.join(wanted, ["key", "lead"], "left_semi")
+            else:
+                following = relabelled(left.where("false"), roots)
+            fresh = dealt.where("band is not null").groupBy("band", "key").agg(F.max("root").alias("root"), F.max("ask").alias("ask"), *[F.max(c).alias(c) for c in ("n", "i", "e")])
+            fresh = relabelled(fresh, roots)
+            following = following.unionByName(fresh.join(undecided(fresh), "band", "left_semi").select(*following.columns))
+        following = scratch.save(following.select("band", "key", "root", "ask", "n", "i", "e"), "active")
+        for table in (leaders, pairs, new, rest, left):
+            scratch.discard(table)
+        active = following
         if not active.limit(1).count():
-            return links, roots
-
-
-def one_leader(active: DataFrame, turn: int) -> DataFrame:
-    """(band, lead, lead_root): one key of each bucket, by an order that all buckets
-    share and that changes with the round."""
-    first = active.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "root")).alias("x"))
-    return first.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))
-
-
-def choose(active: DataFrame, turn: int, growth: int) -> DataFrame:
-    """(band, lead, lead_root): up to ``growth ** turn`` classes of each bucket that
-    have not led yet. Keys outside the bucket's largest component lead first, as once
-    they have all led, what is left is one component."""
-    by_root = active.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-    fresh = active.where(~F.col("led")).join(largest, "band")
-    order = F.xxhash64(F.lit(turn), "key")
-    slot = F.pmod(F.xxhash64(F.lit(-turn), "key"), F.lit(growth**turn))
-    picked = fresh.groupBy("band", slot.alias("slot")).agg(F.min(F.struct((F.col("root") == F.col("major")).alias("late"), order.alias("o"), "key", "root")).alias("x"))
-    return picked.select("band", F.col("x.key").alias("lead"), F.col("x.root").alias("lead_root"))
+            return roots
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (src, dst) between nodes: components of
+    what the links join, which are few once most links are known."""
+    if roots is None:
+        return components(links)
+    up = roots.select(F.col("node").alias("src"), F.col("root").alias("s"))
+    ends = links.join(up, "src", "left").join(up.toDF("dst", "d"), "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"))
+    more = components(ends)
+    known = roots.join(more.toDF("root", "end"), "root", "left").select("node", F.coalesce("end", "root").alias("root"))
+    fresh = more.join(roots, "node", "left_anti").select("node", "root")
+    return scratch.save(known.unionByName(fresh), "roots")
+
+
+def relabelled(active: DataFrame, roots: DataFrame) -> DataFrame:
+    return active.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def undecided(active: DataFrame) -> DataFrame:
+    """The bands of several components, with a key that asks."""
+    return active.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("ask").alias("c")).where("a <> b and c").select("band")
+
+
+def leading(active: DataFrame, turn: int) -> DataFrame:
+    """(band, lead, lead_root, lead_ask, lead_n, lead_i, lead_e, weight, every): the leaders of
+    each bucket; ``every`` marks buckets all of whose keys lead."""
+    sizes = active.groupBy("band").agg(F.count("*").alias("size"), F.count_if("ask").alias("askers"))
+    sized = active.join(sizes, "band")
+    known = sized.join(sized.groupBy("key").agg(F.sum("size").alias("weight")), "key")
+    if turn:
+        shares = active.groupBy("band", "root").agg(F.count("*").alias("share"))
+        largest = shares.groupBy("band").agg(F.max_by("root", F.struct("share", "root")).alias("major"))
+        known = known.join(largest, "band").withColumn("every", F.col("size") <= SMALL)
+    else:
+        known = known.withColumns({"major": F.lit(None).cast("binary"), "every": F.lit(False)})
+    # Once all keys outside one component have led, what is left is one component.
+    late = turn > 1
+    slot = F.pmod(F.xxhash64(F.lit(turn), "key"), F.lit(GROWTH ** max(0, turn - 1)))
+    order = F.struct((F.col("ask") & (F.col("askers") == 1)).alias("alone"), (F.lit(late) & (F.col("root") != F.col("major"))).alias("outside"), "weight", "key")
+    columns = ["key", "root", "ask", "n", "i", "e", "weight", "every"]
+    picked = known.where("not every").groupBy("band", slot.alias("slot")).agg(F.max_by(F.struct(*columns), order).alias("x")).select("band", "x.*")
+    picked = picked.unionByName(known.where("every").select("band", *columns))
+    return picked.select("band", F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("ask").alias("lead_ask"), *[F.col(c).alias(f"lead_{c}") for c in ("n", "i", "e")], "weight", "every")

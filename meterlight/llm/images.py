@@ -212,7 +212,7 @@ def copies(images: DataFrame, *, render: Callable = pixels, id_col: str = "id")
         one, two = features.toDF("src", "a"), features.toDF("dst", "b")
         return pairs.join(two, "dst").join(one, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
 
-    _, roots = connect(buckets, verify)
+    roots = connect(buckets, verify)
     ids = classes.select("key", "id", "same").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "same", F.coalesce("root", "key").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component"))
     found = scratch.save(ids.join(least, "root").select("key", "same", "component"), "found")

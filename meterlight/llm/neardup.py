@@ -1,10 +1,12 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
-Texts with equal words are one class. Banded signatures bring classes together;
-in each bucket classes are compared with leaders, more of them in each round, chosen
-among classes that are not connected yet, until every bucket is one component or all
-its classes have led. A bucket of n copies so costs about n comparisons, and no
-pair of classes that could still connect two components is left out.
+Texts with equal words are one class. Banded signatures bring classes together.
+Each bucket compares its classes with a hub. Classes that stay apart in a bucket can
+be linked only if they have shingles in common that the hub lacks, or if one is so
+short that what both share with the hub is enough; buckets of such shingles and
+sizes follow, with hubs of their own. A bucket of n copies so costs about n
+comparisons, and no pair of classes that could still connect two components is left
+out.
 
 A comparison reads the signatures batch by batch and stops once the posterior
 probability of the wanted similarity falls under the chosen miss probability.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +29,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each look at the posterior.
 BATCH = 32
-#: A bucket compares its classes with one leader, then with up to so many times
-#: more leaders in each round; the rounds grow as the logarithm of what is left.
-LEADERS = 8
+#: Sets up to this size are told apart by size, larger ones by steps of ``STEP``.
+EXACT_SIZES, STEP = 512, 1.002
 #: Keys of 16 bytes up to which a set of them is broadcast.
 BROADCAST_KEYS = 250_000
 
@@ -78,12 +79,18 @@ def shingles(texts, length: int, cache: Powers):
                 yield words, np.unique(rolled[low : high - length + 1])
 
 
+def text_hash(text: Column) -> Column:
+    """What tells texts apart: 160 bits of hash."""
+    return F.coalesce(F.sha1(text), F.lit(""))
+
+
 def sign(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the words; null without words), n_shingles, bands
-    and signature (16 bits of each minimum, little-endian) of each row."""
+    """id, hash (of the text), key (128-bit hash of the words; null without words),
+    n_shingles, bands and signature (16 bits of each minimum, little-endian) of each row."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
+            T.StructField("hash", T.StringType()),
             T.StructField("key", T.BinaryType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
@@ -118,11 +125,11 @@ def sign(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
                 bands.append(mix((low.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=U64) + names).view(np.int64))
                 signatures.append((low & U64(0xFFFF)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                [batch.column("id"), batch.column("hash"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
                 names=schema.names,
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def survivors(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -199,27 +206,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "dst").join(one, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
 
 
-def groups_of(
-    docs: DataFrame,
-    *,
-    length: int = 5,
-    percent: int = 80,
-    miss: float = 1e-9,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """id, n_shingles, component (least id of the near-duplicate group) and
-    links (other classes of text that the row's class was compared with and found
-    similar to; for the report only) for each row of ``docs``.
+def size_class(n):
+    import numpy as np
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; documents
-    whose sets of ``length``-word shingles have ``percent`` of their union in
-    common are linked, and links are transitive.
+    return np.where(n < EXACT_SIZES, n, EXACT_SIZES + np.floor(np.log(np.maximum(n, EXACT_SIZES) / EXACT_SIZES) / np.log(STEP)).astype(np.int64))
 
-    A null, empty or blank text has no shingles and is alone, with its own id as
-    component. Rows that repeat an id come out each time. Null ids are never the
-    least of a group with other ids. An empty table gives no rows.
+
+def dealt(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The buckets (band, key, root, ask, n, i, e) of classes (key, root, lead) of which
+    those of one hub ``lead`` may be links, and without a band what each was given.
+
+    What a and b have in common lies inside the hub, where it is at most the
+    smaller of their overlaps with it, or outside. So a link either has common
+    shingles outside, at least as many as the class a lacks to ``percent`` of its own
+    size; then the first of its outer shingles, all but one less than those, hold
+    one of them, in any order that both follow. Or it has none there, and
+    b's size is at most what a's overlap allows. Classes linked with the hub are one
+    component, so one of a and b asks.
     """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bands, at, facts, known = [], [], [], []
+            for row, (a, b, lead) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "lead")))):
+                a, b = np.frombuffer(a, U64), np.frombuffer(b, U64)
+                name = U64(int.from_bytes(lead[:8], "little"))
+                outer = np.setdiff1d(a, b, assume_unique=True)
+                n, i = len(a), len(a) - len(outer)
+                linked = 100 * i >= percent * (n + len(b) - i)
+                lacks = max(1, -(-percent * n // 100) - i)
+                first = np.sort(mix(outer + name))[: max(0, len(outer) - lacks + 1)]
+                least, most = -(-percent * n // 100), min(100 * n // percent, (100 + percent) * i // percent - n)
+                own = size_class(np.array([n]))
+                sizes = np.arange(size_class(np.array(least)), size_class(np.array(most)) + 1) if not linked and least <= most else own[:0]
+                # A class lies in the bucket of its own size, and asks in those that its links may have.
+                sized = np.concatenate([own, sizes]).astype(U64)
+                bands.append(np.concatenate([first, mix(mix(sized + U64(1)) ^ name)]).view(np.int64))
+                at.append(np.full(len(bands[-1]), row))
+                asks = np.full(len(bands[-1]), not linked)
+                asks[len(first)] = False
+                outside = np.full(len(asks), len(outer))
+                outside[len(first) :] = 0
+                facts.append(np.stack([asks, np.full(len(asks), n), np.full(len(asks), i), outside]))
+                known.append((not linked, n, i, len(outer)))
+            if not bands:
+                continue
+            at, facts = np.concatenate([*at, np.arange(len(known))]), np.concatenate([*facts, np.array(known).T], axis=1)
+            bands, at = pa.concat_arrays([pa.array(np.concatenate(bands)), pa.nulls(len(known), pa.int64())]), pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [bands, batch.column("key").take(at), batch.column("root").take(at), pa.array(facts[0].astype(bool)), pa.array(facts[1]), pa.array(facts[2]), pa.array(facts[3]), batch.column("lead").take(at)],
+                names=["band", "key", "root", "ask", "n", "i", "e", "lead"],
+            )
+
+    wanted = sets.join(bounded(members.select(F.explode(F.array("key", "lead")).alias("key")).distinct()), "key", "left_semi")
+    one, two = wanted.select("key", F.col("set").alias("a")), wanted.select(F.col("key").alias("lead"), F.col("set").alias("b"))
+    rows = members.join(two, "lead").join(one, "key").select("key", "root", "lead", "a", "b")
+    return rows.mapInArrow(run, "band long, key binary, root binary, ask boolean, n long, i long, e long, lead binary")
+
+
+def classes_of(docs: DataFrame, *, length: int = 5, percent: int = 80, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): id, hash (of the text), key (of its words; null without any) and
+    n_shingles of each row, and the component, a key, of each key."""
     signed = scratch.save(sign(docs, length, id_col, text_col), "signed")
     worded = signed.where("key is not null")
     classes = scratch.save(worded.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
@@ -230,10 +280,54 @@ def groups_of(
     wanted = scratch.save(classes.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "id", "signature"), "wanted")
     sets = scratch.save(full_sets(docs, wanted.select("key", "id"), length, id_col, text_col), "sets")
     signatures = wanted.select("key", "signature")
-    links, roots = connect(buckets, lambda pairs: verified(scratch.save(survivors(pairs, signatures, percent, miss), "close"), sets, percent), LEADERS)
-    ids = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
-    least = ids.groupBy("root").agg(F.min("id").alias("component"))
-    degree = links.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    found = scratch.save(ids.join(least, "root").join(degree, "key", "left").select("key", "component", F.coalesce("links", F.lit(0)).alias("links")), "found")
-    out = signed.select("id", "key", "n_shingles").join(found, "key", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(scratch.save(survivors(pairs, signatures, percent, miss), "close"), sets, percent)
+
+    roots = connect(buckets, verify, lambda members: dealt(members, sets, percent), percent)
+    groups = classes.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("component"))
+    groups = scratch.save(groups, "groups")
+    for table in (buckets, wanted, sets, classes):
+        scratch.discard(table)
+    return signed.select("id", "hash", "key", "n_shingles"), groups
+
+
+def groups_of(docs: DataFrame, **options) -> DataFrame:
+    """id, n_shingles and component (least id of the near-duplicate group) of each
+    row of ``docs``. Options: those of ``classes_of``.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; documents
+    whose sets of ``length``-word shingles have ``percent`` of their union in
+    common are linked, and links are transitive.
+
+    A null, empty or blank text has no shingles and is alone, with its own id as
+    component. Rows that repeat an id come out each time. Null ids are never the
+    least of a group with other ids. An empty table gives no rows.
+    """
+    rows, groups = classes_of(docs, **options)
+    placed = rows.join(groups, "key", "left")
+    least = placed.groupBy("component").agg(F.min("id").alias("least"))
+    known = scratch.save(groups.join(least, "component").select("key", "least"), "found")
+    return rows.join(known, "key", "left").select("id", "n_shingles", F.coalesce("least", "id").alias("component"))
+
+
+def distinct(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group one row stays, that
+    of the least id, then text hash; null ids come last. Rows without words all stay.
+    Of rows equal in id and text any one stays; rows that share only an id are
+    judged each by its own text. Options: those of ``classes_of``."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    rows, groups = classes_of(docs, **options)
+    placed = scratch.save(rows.join(groups, "key").select("component", F.struct(F.col("id").isNull().alias("late"), "id", "hash").alias("row")), "placed")
+    per_row = placed.groupBy("component", "row").agg(F.count("*").alias("n"))
+    first = placed.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("all")).where("all > 1")
+    # Only rows of groups are looked at, so that other texts needn't be shuffled.
+    grouped = scratch.save(per_row.join(first, "component").select("row.id", "row.hash", (F.col("row") == F.col("first")).alias("stays"), "n"), "grouped")
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("hash"))
+    same = marked["id"].eqNullSafe(grouped["id"]) & (marked["hash"] == grouped["hash"])
+    out = marked.join(bounded(grouped.where("not stays").select("id", "hash")), same, "left_anti")
+    twice = grouped.where("stays and n > 1").select("id", "hash")
+    if twice.limit(1).count():
+        kept = out.join(bounded(twice), same, "left_semi").groupBy("id", "hash").agg(F.first("doc").alias("doc")).select("id", "hash", "doc")
+        out = out.join(bounded(twice), same, "left_anti").select("id", "hash", "doc").union(kept)
+    return out.select("doc.*")
