@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meterlight.llm import decontam, kneserney, linededup, neardup, packing, queries, scratch
 
@@ -22,8 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates."""
-    found = neardup.groups_of(docs).where("not (id <=> component)").select(F.col("id").alias("__copy")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__copy"]), "left_anti")
+    return neardup.distinct(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
