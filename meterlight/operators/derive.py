@@ -9,12 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterlight.functions.identity import nocase
+
 DAYS = {"today": 1, "7d": 7, "30d": 30, "90d": 90}
 
 
-def period(name: str, zone: str, today: date) -> tuple[datetime, datetime]:
-    """UTC bounds of the last local calendar days, today included."""
-    tz, n = ZoneInfo(zone), DAYS[name]
+def period(name: str, zone: str, today: date, first_ms: int | None = None) -> tuple[datetime, datetime]:
+    """UTC bounds of the last local calendar days, today included; ``all`` starts on
+    the local day of the first event (``first_ms``; without any, today)."""
+    tz = ZoneInfo(zone)
+    if name == "all":
+        first = today if first_ms is None else (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=first_ms)).astimezone(tz).date()
+        n = max(1, (today - first).days + 1)
+    else:
+        n = DAYS[name]
     start, end = today - timedelta(days=n - 1), today + timedelta(days=1)
     return tuple(datetime(d.year, d.month, d.day, tzinfo=tz).astimezone(UTC) for d in (start, end))
 
@@ -63,8 +71,51 @@ def fill(rows: DataFrame, start: date, end: date, step: str, zeros: list[str]) -
     return dates.join(rows, "bucket", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
 
 
+def fill_known(rows: DataFrame, start: date, end: date, step: str, key: str, values: list[str]) -> DataFrame:
+    """Every bucket of each key: missing ones are 0 in a value that the key knows in any
+    bucket, else null."""
+    spark = rows.sparkSession
+    dates = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end - timedelta(days=1)), F.expr(f"interval 1 {step}"))).alias("bucket"))
+    keys = rows.groupBy(key).agg(*[F.max(F.col(v).isNotNull()).alias(f"__{v}") for v in values])
+    # As many dates as the range has, for each key.
+    grid = keys.withColumn("bucket", F.explode(F.array(*[F.lit(r["bucket"]) for r in dates.collect()])))
+    joined = grid.join(rows, [key, "bucket"], "left")
+    return joined.withColumns({v: F.coalesce(v, F.when(F.col(f"__{v}"), F.lit(0))) for v in values}).drop(*[f"__{v}" for v in values])
+
+
+def merge_pricing(rows: DataFrame, *keys: str) -> DataFrame:
+    """Partial price sums (cost, counts by status, missing) as one by key."""
+    return rows.groupBy(*keys).agg(F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in ("priced", "partly_priced", "unpriced")], F.bit_or("missing").alias("missing"))
+
+
+def daily_average(total: Column, start: Column, end: Column, zone: str) -> Column:
+    """A total over the local days that a range of milliseconds touches."""
+    days = F.datediff(local_bucket(end - 1, "day", zone), local_bucket(start, "day", zone)) + 1
+    return F.when(days > 0, F.call_function("floor", total / days).cast("bigint"))
+
+
+def pinned_day(day: date, start: date, end: date) -> date:
+    """A chosen local day within [start, end): the nearest one inside."""
+    return min(max(day, start), end - timedelta(days=1))
+
+
+def ordered(projects: DataFrame, by: str) -> DataFrame:
+    """Projects with their place (rank, from 1) by recent, tokens (known ones first) or name."""
+    orders = {"recent": [F.desc_nulls_last("last_ms")], "tokens": [F.desc_nulls_last("normalized_total")], "name": []}
+    place = Window.orderBy(*orders[by], nocase(F.coalesce("path", "project")), "project")
+    return projects.withColumn("rank", F.row_number().over(place))
+
+
+def shown_price(amount: Column, coverage: Column) -> Column:
+    """An amount as text: two places, four below a cent, a sign that parts are unknown,
+    and nothing where all is."""
+    text = F.when(amount == 0, "$0.00").when(amount < F.lit("0.01").cast("decimal(3,2)"), F.concat(F.lit("$"), F.format_string("%.4f", amount.cast("double")))).otherwise(F.concat(F.lit("$"), F.format_number(amount, 2)))
+    return F.when(coverage == 2, F.concat(F.lit("≥ "), text)).when(coverage == 1, text)
+
+
 def heat_level(value: Column) -> Column:
-    """0 without tokens, else 1 to 4 by quarters of the largest value."""
+    """0 without tokens, else 1 to 4 by quarters of the largest value; of days of one
+    calendar, a year or so of rows."""
     top = F.max(value).over(Window.partitionBy())
     return F.when(F.coalesce(value, F.lit(0)) <= 0, 0).when(value * 4 <= top, 1).when(value * 2 <= top, 2).when(value * 4 <= top * 3, 3).otherwise(4)
 
@@ -87,15 +138,18 @@ def most_active(days: DataFrame, value: str) -> DataFrame:
 
 def project_stats(days: DataFrame, key: str, value: str, end: date) -> DataFrame:
     """Active days, the run of active days up to the range's end, and the peak day of
-    each key; ``days`` has a row for each active key and day (bucket)."""
-    active = days.where(F.col(value) > 0)
+    each key; ``days`` has a row for each key and day (bucket) with events. All are
+    null where the tokens of any such day are unknown."""
+    whole = days.groupBy(key).agg(F.max(F.col(value).isNull()).alias("unknown"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("bucket")))
-    ranked = active.withColumn("__rank", rank)
+    ranked = days.where(F.col(value) > 0).withColumn("__rank", rank)
     trailing = F.date_add("bucket", F.col("__rank")) == F.lit(end)
-    return ranked.groupBy(key).agg(
+    stats = ranked.groupBy(key).agg(
         F.count("*").alias("active_days"), F.count_if(trailing).alias("streak"),
         F.min_by("bucket", F.struct((-F.col(value)).alias("v"), "bucket")).alias("peak_day"), F.max(value).alias("peak"),
     )
+    known = lambda c, zero: F.when(~F.col("unknown"), F.coalesce(c, F.lit(zero)) if zero is not None else F.col(c)).alias(c)
+    return whole.join(stats, key, "left").select(key, known("active_days", 0), known("streak", 0), known("peak_day", None), known("peak", None))
 
 
 def tool_frequency(tools: DataFrame) -> DataFrame:

@@ -63,11 +63,12 @@ class UsageFilter:
         return out
 
     def apply(self, events: DataFrame, session_rows: DataFrame | None = None, ignore: str | None = None) -> DataFrame:
+        """Events that fit; a session filter takes that session, a root or not, and all
+        below it, for which ``session_rows`` are needed."""
         out = events.where(self.predicate(ignore))
         if self.root_session:
-            tree = sessions.tree(session_rows, events)
-            below = tree.where(F.col("root_session_id") == self.root_session)
-            if self.root_agent:
-                below = below.where((F.col("agent_id") == self.root_agent) & (F.col("source_instance_id") == self.root_instance))
+            if session_rows is None:
+                raise ValueError("a filter by session needs the session rows")
+            below = sessions.descendants(session_rows, events, self.root_session, self.root_agent, self.root_instance)
             out = out.join(below.select(*SESSION_KEY), list(SESSION_KEY), "left_semi")
         return out

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterlight.functions.identity import nocase
 from meterlight.schema import EVENT_KEY, RELATION_CONFIRMED, RELATION_NONE, RELATION_UNCERTAIN, SESSION_KEY, TURN_KEY
 
 
+#: Entities up to which their marks are broadcast, at some hundred bytes each.
+BROADCAST_MARKS = 100_000
+
+
 def upsert_events(arrivals: DataFrame, order: list[str]) -> DataFrame:
     """One row for each event key: the highest completion state, then revision, then
     the first to arrive by ``order``."""
@@ -36,6 +41,8 @@ def merge_sessions(observed: DataFrame) -> DataFrame:
         F.greatest(F.max("compatibility"), F.coalesce((F.min(confirmed) != F.max(confirmed)).cast("int"), F.lit(0))).alias("compatibility"),
         F.coalesce(F.max_by("session_role", F.when(F.col("session_role") != 0, F.col("arrival"))), F.lit(0)).alias("session_role"),
         _last("project_id").alias("project_id"),
+        *[F.when(F.min(c) == F.max(c), F.max(c)).alias(c) for c in ("forked_from_session_id",) if c in observed.columns],
+        *[_last(c).alias(c) for c in ("agent_path_hash", "agent_leaf_hash", "repository_hash") if c in observed.columns],
         F.max_by("session_name", F.when(F.col("session_name").isNotNull(), F.struct("name_ms", "arrival"))).alias("session_name"),
         F.min("first_ms").alias("first_ms"),
         F.max("last_ms").alias("last_ms"),
@@ -63,7 +70,7 @@ def reconcile_projects(rows: DataFrame) -> DataFrame:
     """``rows`` (project_path, repository_hash, project_id) where a path, ASCII case
     ignored, with exactly one valid hash gives it, and its first 24 digits as id, to
     rows that have none or the same."""
-    path = F.lower("project_path")
+    path = nocase(F.col("project_path"))
     valid = F.when(F.col("repository_hash").rlike("^[0-9a-f]{64}$"), F.col("repository_hash"))
     known = rows.where(valid.isNotNull() & F.col("project_path").isNotNull()).groupBy(path.alias("__path")).agg(F.min(valid).alias("__one"), F.max(valid).alias("__two")).where("__one = __two")
     joined = rows.join(known.select("__path", "__one"), path == F.col("__path"), "left")
@@ -87,18 +94,20 @@ def preserve_prices(staged: DataFrame, stored: DataFrame) -> DataFrame:
     return staged.join(best, [*at, "dedup_key"], "left").withColumns({n: F.when(F.col("price").isNotNull(), F.col(f"price.{n}")).otherwise(F.col(n)) for n in names}).drop("price")
 
 
-def merge_staged(stored: DataFrame, staged: DataFrame, high_water: int) -> DataFrame:
+def merge_staged(stored: DataFrame, staged: DataFrame, marks: DataFrame) -> DataFrame:
     """Stored events without those that the stage has under another key or has
-    dropped up to its revision ``high_water``, and with all staged ones."""
+    dropped up to the high-water revision that ``marks`` (agent_id, source_instance_id,
+    source_entity_id, high_water) gives its entity, and with all staged ones."""
     at = ["agent_id", "source_instance_id", "source_entity_id"]
     left = stored
     for on in ("event_id", "source_revision"):
-        other = staged.select(*at, on, F.col("dedup_key").alias("__other"))
-        left = left.join(other, [*at, on], "left").groupBy(*stored.columns).agg(F.max((F.col("__other") != F.col("dedup_key")).cast("int")).alias("__moved")).where("coalesce(__moved, 0) = 0").select(*stored.columns)
-    known = staged.select(*at, "source_revision").distinct()
-    gone = left.where(F.col("source_revision") <= high_water).join(staged.select(*at).distinct(), at, "left_semi").join(known, [*at, "source_revision"], "left_anti")
-    left = left.join(gone.select(*EVENT_KEY), list(EVENT_KEY), "left_anti").join(staged.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
-    return left.unionByName(staged.select(*stored.columns))
+        # Of the stage's keys for one id the least and the greatest tell whether any differs.
+        other = staged.groupBy(*at, on).agg(F.min("dedup_key").alias("__a"), F.max("dedup_key").alias("__b"))
+        left = left.join(other, [*at, on], "left").where("__a is null or (__a = dedup_key and __b = dedup_key)").select(*stored.columns)
+    known = staged.select(*at, "source_revision").distinct().withColumn("__known", F.lit(True))
+    left = left.join(F.broadcast(marks) if marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS else marks, at, "left").join(known, [*at, "source_revision"], "left")
+    left = left.where("high_water is null or source_revision > high_water or __known").select(*stored.columns)
+    return left.join(staged.select(*EVENT_KEY), list(EVENT_KEY), "left_anti").unionByName(staged.select(*stored.columns))
 
 
 def replace_instances(stored: DataFrame, staged: DataFrame) -> DataFrame:

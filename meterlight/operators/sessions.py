@@ -13,6 +13,8 @@ KEY = list(SESSION_KEY)
 
 def all_sessions(session_rows: DataFrame, events: DataFrame) -> DataFrame:
     """Session rows, and the sessions that only events name (codes 0)."""
+    if "relation_state" not in session_rows.columns:  # a tree made before: its links are confirmed
+        session_rows = session_rows.withColumn("relation_state", F.when(F.col("depth") > 0, RELATION_CONFIRMED).otherwise(0))
     rows = session_rows.select(*KEY, "parent_session_id", "relation_state", "session_kind", "session_role")
     only = events.where("session_id is not null").select(*KEY).distinct().join(rows, KEY, "left_anti")
     zero = F.lit(0)
@@ -51,11 +53,14 @@ def tree(session_rows: DataFrame, events: DataFrame) -> DataFrame:
     return every.select(*KEY, "session_kind", "session_role", "parent_session_id").join(found, KEY)
 
 
-def descendants(session_rows: DataFrame, events: DataFrame, root: str) -> DataFrame:
-    """The sessions below ``root`` (itself included) in any agent and instance, also
-    where it isn't a root; a frontier join ends at cycles."""
+def descendants(session_rows: DataFrame, events: DataFrame, root: str, agent: str | None = None, instance: str | None = None) -> DataFrame:
+    """The sessions below ``root`` (itself included), in any agent and instance or in
+    the given ones, also where it isn't a root; a frontier join ends at cycles."""
     every = save(all_sessions(session_rows, events), "sessions")
-    found = save(every.where(F.col("session_id") == root).select(*KEY), "frontier")
+    first = F.col("session_id") == root
+    if agent:
+        first &= (F.col("agent_id") == agent) & (F.col("source_instance_id") == instance)
+    found = save(every.where(first).select(*KEY), "frontier")
     frontier = found
     for _ in range(MAX_DEPTH):
         up = frontier.select("agent_id", "source_instance_id", F.col("session_id").alias("parent_session_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.functions import expressions as E
-from meterlight.operators import attribution, derive, merge, pricing, sessions, usage
+from meterlight.operators import attribution, derive, merge, pricing, sessions, usage, writes
 from meterlight.operators.filters import UsageFilter
 from meterlight.plans.tables import save
 from meterlight.schema import EVENT_KEY, METRICS, SESSION_KEY
@@ -27,7 +27,11 @@ SQL: dict[str, str] = {}
 # --- SQL of the projected tables ---------------------------------------------
 
 _B = "(k // 64)"
-_VALUES = {m: v.replace(" div ", " // ") for m, v in projection.VALUES.items()}
+_IN, _OUT = "q * 1000 + p % 997", "q * 37 + s % 11"
+_VALUES = {
+    "input_reported": _IN, "uncached_input": f"({_IN}) - ({_IN}) * (s % 4) // 8", "cache_read": f"({_IN}) * (s % 4) // 8", "cache_write": "p % 50", "output": _OUT, "reasoning": f"({_OUT}) // 4", "tool": "s % 3",
+    "reported_total": f"({_IN}) + ({_OUT})", "normalized_total": f"({_IN}) + ({_OUT})",
+}
 _METRIC_COLUMNS = ", ".join(
     f"CASE WHEN (k + n + {i}) % 13 = 0 OR (k + n + {i}) % 17 = 0 THEN NULL ELSE {_VALUES[m]} END AS {m}_value, CASE WHEN (k + n + {i}) % 13 = 0 THEN 0 WHEN (k + n + {i}) % 17 = 0 THEN 6 ELSE 1 END AS {m}_origin"
     for i, m in enumerate(METRICS)
@@ -97,9 +101,11 @@ def pico(df: DataFrame) -> DataFrame:
     return df.withColumns({c: (F.col(c) * 1_000_000_000_000).cast("bigint") for c in names}) if names else df
 
 
-def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+def query(sql: str | None = None, stored: bool = False) -> Callable[[Callable], Callable]:
+    """Register a query and its SQL; ``stored`` if it reads merged events more than once."""
+
     def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: pico(f(projection.load(spark, sf_dir)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: pico(f(projection.load(spark, sf_dir, stored)))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -108,14 +114,14 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def _tree(m: projection.Model) -> DataFrame:
-    return sessions.tree(m.sessions, m.events)
+    # Merging events changes no session's name, so the arrivals tell which there are.
+    return sessions.tree(m.sessions, m.raw)
 
 
 def _attributed(m: projection.Model) -> DataFrame:
-    events = save(m.events, "events")
-    turn_rows = projection.turns(events)
-    known = attribution.attribute(save(turn_rows, "turn_rows"), m.sessions, projection.dispatches(turn_rows, m.sessions))
-    return attribution.attributed(events, sessions.tree(m.sessions, events), known)
+    turn_rows = save(m.turns, "turn_rows")
+    known = attribution.attribute(turn_rows, m.sessions, projection.dispatches(turn_rows, m.sessions))
+    return attribution.attributed(m.events, _tree(m), known)
 
 
 # --- totals and breakdowns ----------------------------------------------------
@@ -327,17 +333,21 @@ def _looped(m):
     return m.orders.selectExpr("'a' agent_id", "'i' source_instance_id", "concat('s', k) session_id", f"concat('s', {up}) parent_session_id", "k")
 
 
-@query("WITH RECURSIVE e AS (SELECT k, CASE WHEN k % 10 < 4 THEN k - k % 10 + (k % 10 + 1) % 4 ELSE k - 1 END AS up FROM (SELECT o_orderkey k FROM orders WHERE o_orderkey < 500)), r AS (SELECT k, up FROM e UNION SELECT r.k, e.up FROM r JOIN e ON r.up = e.k) SELECT 'a' AS agent_id, 'i' AS source_instance_id, 's' || k AS session_id FROM r WHERE k = up")
-def session_cycles(m):
-    """The sessions below key 500 alone, as in its SQL; ``session_cycles_all`` has no bound."""
-    return sessions.cycles(_looped(m).where("k < 500"))
+LOOPED = "e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 4 THEN o_orderkey - o_orderkey % 10 + (o_orderkey % 10 + 1) % 4 ELSE o_orderkey - 1 END AS up FROM orders), ring AS (SELECT a.k FROM e a JOIN e b ON b.k = a.up JOIN e c ON c.k = b.up JOIN e d ON d.k = c.up WHERE d.up = a.k)"
 
 
-@query()
-def session_cycles_all(m):
+@query(f"WITH {LOOPED} SELECT 'a' AS agent_id, 'i' AS source_instance_id, 's' || k AS session_id FROM ring")
+def session_cycles(m):
+    """Of every session; by the way that edges are made, cycles have four."""
     return sessions.cycles(_looped(m))
 
 
+@query(f"WITH {LOOPED} SELECT 's' || e.k AS session_id, CASE WHEN ring.k IS NOT NULL AND e.k % 10 = 2 THEN NULL ELSE 's' || up END AS parent_session_id, CASE WHEN ring.k IS NOT NULL AND e.k % 10 = 2 THEN 2 ELSE 1 END AS relation_state FROM e LEFT JOIN ring USING (k)")
+def cycle_cut(m):
+    """The edge of a cycle that came last, that of its third session, is cut."""
+    return writes.cut_cycles(_looped(m).withColumn("arrival", F.expr("k % 10 * 3 % 7"))).select("session_id", "parent_session_id", "relation_state")
+
+
 HASHES = "hs AS (SELECT dedup_key, agent_id, source_instance_id, project_path, project_id, CASE WHEN k % 5 = 0 THEN sha256('repo' || (k // 64 % 12)) WHEN k % 50 = 1 AND k // 64 % 12 = 7 THEN sha256('other') END AS repository_hash FROM ev)"
 
 
@@ -362,7 +372,8 @@ def _staged(m):
 @query(
     f"WITH {EV}, {STAGED}, hit AS (SELECT s.agent_id, s.source_instance_id, s.dedup_key, e.pico, CASE WHEN e.dedup_key = s.dedup_key THEN 0 WHEN e.event_id = s.event_id THEN 1 ELSE 2 END AS rank, e.dedup_key AS src FROM staged s JOIN ev e ON e.agent_id = s.agent_id AND e.source_instance_id = s.source_instance_id AND e.pricing_status <> 0 "
     "AND (e.dedup_key = s.dedup_key OR e.source_entity_id = s.source_entity_id AND (e.event_id = s.event_id OR e.source_revision = s.source_revision))) "
-    "SELECT s.agent_id, s.source_instance_id, s.dedup_key, h.pico AS estimated_cost FROM staged s LEFT JOIN (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY agent_id, source_instance_id, dedup_key ORDER BY rank, src) = 1) h USING (agent_id, source_instance_id, dedup_key)"
+    "SELECT s.agent_id, s.source_instance_id, s.dedup_key, h.pico AS estimated_cost FROM staged s LEFT JOIN (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY agent_id, source_instance_id, dedup_key ORDER BY rank, src) = 1) h USING (agent_id, source_instance_id, dedup_key)",
+    stored=True,
 )
 def staged_preserve_price(m):
     bare = _staged(m).withColumns({"estimated_cost": F.lit(None).cast("decimal(38,15)"), "pricing_status": F.lit(0), "pricing_missing": F.lit(1)})
@@ -371,11 +382,12 @@ def staged_preserve_price(m):
 
 @query(
     f"WITH {EV}, {STAGED} SELECT agent_id, source_instance_id, dedup_key FROM staged UNION SELECT agent_id, source_instance_id, dedup_key FROM ev e WHERE NOT EXISTS (SELECT 1 FROM staged s WHERE s.source_entity_id = e.source_entity_id AND s.agent_id = e.agent_id AND s.source_instance_id = e.source_instance_id AND s.dedup_key <> e.dedup_key AND (s.event_id = e.event_id OR s.source_revision = e.source_revision)) "
-    "AND NOT (e.source_revision <= 1000 AND EXISTS (SELECT 1 FROM staged s WHERE s.source_entity_id = e.source_entity_id) AND NOT EXISTS (SELECT 1 FROM staged s WHERE s.source_entity_id = e.source_entity_id AND s.source_revision = e.source_revision))"
+    "AND NOT (e.source_revision <= e.k // 64 % 7 * 300 AND NOT EXISTS (SELECT 1 FROM staged s WHERE s.source_entity_id = e.source_entity_id AND s.source_revision = e.source_revision))",
+    stored=True,
 )
 def staged_merge_events(m):
-    stored = save(m.events, "stored")
-    return merge.merge_staged(stored, save(_staged(m), "staged"), 1000).select(*EVENT_KEY)
+    marks = m.events.select("agent_id", "source_instance_id", "source_entity_id").distinct().withColumn("high_water", F.expr("cast(substring(source_entity_id, 2) as bigint) % 7 * 300"))
+    return merge.merge_staged(m.events, save(_staged(m), "staged"), marks).select(*EVENT_KEY)
 
 
 @query(f"WITH {EV}, staged AS (SELECT * FROM ev WHERE agent_id = 'agent-1' AND source_revision % 2 = 0) SELECT agent_id, source_instance_id, dedup_key FROM staged UNION ALL SELECT agent_id, source_instance_id, dedup_key FROM ev WHERE source_instance_id NOT IN (SELECT source_instance_id FROM staged)")
@@ -386,7 +398,7 @@ def staged_replace(m):
 # --- prompts --------------------------------------------------------------------
 
 
-@query(f"WITH {EV}, {TREE}, {ATTR} SELECT * FROM attr")
+@query(f"WITH {EV}, {TREE}, {ATTR} SELECT * FROM attr", stored=True)
 def turn_attribution(m):
     turn_rows = save(m.turns, "turn_rows")
     return attribution.attribute(turn_rows, m.sessions, projection.dispatches(turn_rows, m.sessions))
@@ -394,23 +406,24 @@ def turn_attribution(m):
 
 @query(
     f"WITH {EV}, {TREE}, {ATTR}, {TOOLS}, g AS (SELECT {ROOT}, prompt_turn, {U}, {SPAN}, coalesce(CAST(sum(nt) AS BIGINT), 0) AS tools FROM at_ev LEFT JOIN (SELECT agent_id, source_instance_id, dedup_key, count(*) AS nt FROM tool GROUP BY ALL) USING (agent_id, source_instance_id, dedup_key) WHERE prompt_turn IS NOT NULL AND {IN} GROUP BY {ROOT}, prompt_turn) "
-    f"SELECT g.*, coalesce(turn.start_ms, g.first_ms) AS start_ms, 'prompt ' || turn.turn_id AS preview, turn.user_messages, max(coalesce(normalized_total, 0)) OVER (PARTITION BY g.agent_id, g.source_instance_id, g.root_session_id) AS largest FROM g LEFT JOIN turn ON turn.session_id = g.root_session_id AND turn.turn_id = g.prompt_turn"
+    f"SELECT g.*, coalesce(turn.start_ms, g.first_ms) AS start_ms, 'prompt ' || turn.turn_id AS preview, turn.user_messages, max(coalesce(normalized_total, 0)) OVER (PARTITION BY g.agent_id, g.source_instance_id, g.root_session_id) AS largest FROM g LEFT JOIN turn ON turn.session_id = g.root_session_id AND turn.turn_id = g.prompt_turn",
+    stored=True,
 )
 def turns(m):
     return usage.turns(_attributed(m), m.turns, m.tools, TWO_YEARS)
 
 
-@query(f"WITH {EV}, {TREE}, {ATTR} SELECT {ROOT}, count(*) AS calls, count(prompt_turn) AS attributed, count(DISTINCT prompt_turn) AS prompts, CASE WHEN count(prompt_turn) = count(*) THEN 1 WHEN count(prompt_turn) = 0 THEN 3 ELSE 2 END AS status FROM at_ev WHERE {IN} GROUP BY {ROOT}")
+@query(f"WITH {EV}, {TREE}, {ATTR} SELECT {ROOT}, count(*) AS calls, count(prompt_turn) AS attributed, count(DISTINCT prompt_turn) AS prompts, CASE WHEN count(prompt_turn) = count(*) THEN 1 WHEN count(prompt_turn) = 0 THEN 3 ELSE 2 END AS status FROM at_ev WHERE {IN} GROUP BY {ROOT}", stored=True)
 def turn_coverage(m):
     return usage.turn_coverage(_attributed(m), TWO_YEARS)
 
 
-@query(f"WITH {EV}, {TREE}, {ATTR} SELECT {ROOT}, {U} FROM at_ev WHERE {IN} AND prompt_turn IS NULL GROUP BY {ROOT}")
+@query(f"WITH {EV}, {TREE}, {ATTR} SELECT {ROOT}, {U} FROM at_ev WHERE {IN} AND prompt_turn IS NULL GROUP BY {ROOT}", stored=True)
 def unattributed(m):
     return usage.unattributed(_attributed(m), TWO_YEARS)
 
 
-@query(f"WITH {EV}, {TREE}, {ATTR}, {TOOLS} SELECT {ROOT}, prompt_turn, at_ev.dedup_key, occurred_ms, {MODEL} AS model, coalesce(x.tools, '') AS tools FROM at_ev LEFT JOIN (SELECT dedup_key, string_agg(tool_name, ',' ORDER BY ordinal) AS tools FROM tool GROUP BY 1) x USING (dedup_key) WHERE {IN} AND prompt_turn IS NOT NULL")
+@query(f"WITH {EV}, {TREE}, {ATTR}, {TOOLS} SELECT {ROOT}, prompt_turn, at_ev.dedup_key, occurred_ms, {MODEL} AS model, coalesce(x.tools, '') AS tools FROM at_ev LEFT JOIN (SELECT dedup_key, string_agg(tool_name, ',' ORDER BY ordinal) AS tools FROM tool GROUP BY 1) x USING (dedup_key) WHERE {IN} AND prompt_turn IS NOT NULL", stored=True)
 def turn_calls(m):
     calls = usage.turn_calls(_attributed(m), m.tools, TWO_YEARS)
     return calls.select("agent_id", "source_instance_id", "root_session_id", "prompt_turn", "dedup_key", "occurred_ms", "model", F.array_join("tools", ",").alias("tools"))
@@ -456,9 +469,10 @@ def heatmap(m):
     return days.select("bucket", "normalized_total", derive.heat_level(F.col("normalized_total")).alias("level"))
 
 
-@query(f"WITH {EV}, {DAYS} SELECT bucket, requests, normalized_total // requests AS average, CASE WHEN cache_read_available = requests AND uncached_input_available = requests AND cache_read + uncached_input > 0 THEN cache_read * 1000000 // (cache_read + uncached_input) END AS cache_hit FROM days")
+@query(f"WITH {EV}, {DAYS} SELECT bucket, coalesce(requests, 0) AS requests, normalized_total // requests AS average, CASE WHEN cache_read_available = requests AND uncached_input_available = requests AND cache_read + uncached_input > 0 THEN cache_read * 1000000 // (cache_read + uncached_input) END AS cache_hit FROM calendar LEFT JOIN days USING (bucket)")
 def daily_table(m):
-    return _days(m).select("bucket", "requests", F.expr("normalized_total div requests").alias("average"), E.cache_hit().alias("cache_hit"))
+    days = derive.fill(_days(m), date(1996, 1, 1), date(1998, 1, 1), "day", ["requests"])
+    return days.select("bucket", "requests", F.expr("normalized_total div nullif(requests, 0)").alias("average"), E.cache_hit().alias("cache_hit"))
 
 
 @query(f"WITH {EV}, a AS (SELECT agent_id, CAST(sum(normalized_total_value) AS BIGINT) AS v FROM ev WHERE {IN} GROUP BY 1) SELECT agent_id, v, v * 1000000 // (SELECT CAST(sum(v) AS BIGINT) FROM a) AS share FROM a ORDER BY v DESC, agent_id LIMIT 4")
@@ -473,17 +487,22 @@ def most_active_day(m):
 
 
 @query(
-    f"WITH {EV}, d AS (SELECT project_id AS project, CAST(to_timestamp(occurred_ms // 1000) AS DATE) AS bucket, CAST(sum(normalized_total_value) AS BIGINT) AS v FROM ev WHERE {IN} AND project_id IS NOT NULL GROUP BY 1, 2 HAVING sum(normalized_total_value) > 0), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY bucket DESC) AS i FROM d) SELECT project, count(*) AS active_days, count_if(bucket + CAST(i AS INT) = DATE '1998-01-01') AS streak, arg_min(bucket, -v * 100000 + epoch(bucket) // 86400) AS peak_day, max(v) AS peak FROM r GROUP BY 1"
+    f"WITH {EV}, d AS (SELECT project_id AS project, CAST(to_timestamp(occurred_ms // 1000) AS DATE) AS bucket, CAST(sum(tool_value) AS BIGINT) AS v FROM ev WHERE {IN} AND project_id IS NOT NULL GROUP BY 1, 2), w AS (SELECT project, bool_or(v IS NULL) AS u FROM d GROUP BY 1), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY bucket DESC) AS i FROM d WHERE v > 0), g AS (SELECT project, count(*) AS active_days, count_if(bucket + CAST(i AS INT) = DATE '1998-01-01') AS streak, arg_min(bucket, -v * 100000 + epoch(bucket) // 86400) AS peak_day, max(v) AS peak FROM r GROUP BY 1) "
+    "SELECT project, CASE WHEN NOT u THEN coalesce(active_days, 0) END AS active_days, CASE WHEN NOT u THEN coalesce(streak, 0) END AS streak, CASE WHEN NOT u THEN peak_day END AS peak_day, CASE WHEN NOT u THEN peak END AS peak FROM w LEFT JOIN g USING (project)"
 )
 def project_streak(m):
-    days = TWO_YEARS.apply(m.events).where("project_id is not null").groupBy(F.col("project_id").alias("project"), derive.local_bucket(F.col("occurred_ms"), "day", "UTC").alias("bucket")).agg(F.sum("normalized_total_value").alias("v"))
+    days = TWO_YEARS.apply(m.events).where("project_id is not null").groupBy(F.col("project_id").alias("project"), derive.local_bucket(F.col("occurred_ms"), "day", "UTC").alias("bucket")).agg(F.sum("tool_value").alias("v"))
     return derive.project_stats(days, "project", "v", date(1998, 1, 1))
 
 
 def queries() -> dict[str, Query]:
+    from meterlight.plans import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from meterlight.plans import more  # noqa: F401
+
     return dict(SQL)

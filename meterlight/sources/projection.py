@@ -26,14 +26,18 @@ VALUES = {
 }
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals of events, with keys that repeat."""
+def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders with their part's brand and size, under short names."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size")
-    base = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").selectExpr(
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").selectExpr(
         "l_orderkey k", "cast(l_linenumber as bigint) n", "cast(l_quantity as bigint) q", "l_partkey p", "l_suppkey s", "cast(round(l_extendedprice * 100) as bigint) cents",
         "l_returnflag flag", "unix_date(cast(l_shipdate as date)) * 86400000L day_ms", "p_brand brand", "p_size",
     )
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of events, with keys that repeat."""
     b = "(k div 64)"
     out = [
         f"{AGENT} agent_id", f"{INSTANCE} source_instance_id", "concat('s', k) session_id", "concat('t', k, ':', n div 3) turn_id", "concat(k, ':', n) dedup_key",
@@ -46,7 +50,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, m in enumerate(METRICS):
         gone, unknown = f"(k + n + {i}) % 13 = 0", f"(k + n + {i}) % 17 = 0"
         out += [f"case when {gone} or {unknown} then null else {VALUES[m]} end {m}_value", f"case when {gone} then 0 when {unknown} then 6 else 1 end {m}_origin"]
-    return base.selectExpr(*out)
+    return base_rows(spark, sf_dir).selectExpr(*out)
 
 
 ARRIVAL = ["arrival_p", "arrival_s", "arrival_c"]
@@ -112,11 +116,21 @@ class Model:
     dispatches: DataFrame
     rates: DataFrame
     orders: DataFrame
+    numbered: DataFrame
+    conversations: DataFrame
+    logged: DataFrame
+    path: str
+
 
+def load(spark: SparkSession, sf_dir: str, stored: bool = False) -> Model:
+    """All tables; events are merged and priced, and kept where ``stored`` says that
+    a query reads them more than once."""
+    from meterlight.plans.tables import save
+    from meterlight.sources import samples
 
-def load(spark: SparkSession, sf_dir: str) -> Model:
-    """All tables; events are merged and priced."""
     raw, of = raw_events(spark, sf_dir), rates(spark)
     events = pricing.estimate(merge.upsert_events(raw, ARRIVAL), of)
+    events = save(events, "events") if stored else events
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     session_rows, turn_rows = sessions(spark, sf_dir), turns(events)
-    return Model(raw, events, session_rows, turn_rows, tools(events), dispatches(turn_rows, session_rows), of, spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey k"))
+    return Model(raw, events, session_rows, turn_rows, tools(events), dispatches(turn_rows, session_rows), of, read("orders").selectExpr("o_orderkey k"), samples.numbered(spark, sf_dir), read("conversations"), read("events"), sf_dir)

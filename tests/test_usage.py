@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 def test_cycles_of_all_sessions_by_brute_force(spark, tmp_path):
     keys = [*range(60), *range(600, 640), 1001, 1003]
     path = str(tmp_path)
-    for table in ("lineitem", "part"):
+    for table in ("lineitem", "part", "conversations", "events"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(1).write.parquet(f"{path}/{table}.parquet")
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{path}/orders.parquet")
     up = {k: k - k % 10 + (k % 10 + 1) % 4 if k % 10 < 4 else k - 1 for k in keys}
@@ -42,7 +42,7 @@ def test_cycles_of_all_sessions_by_brute_force(spark, tmp_path):
             if at == k:
                 want.add(f"s{k}")
             at = up.get(at, -1)
-    assert {r["session_id"] for r in queries.queries()["session_cycles_all"](spark, path).collect()} == want
+    assert {r["session_id"] for r in queries.queries()["session_cycles"](spark, path).collect()} == want
     assert any(int(s[1:]) >= 500 for s in want) and "s1001" not in want
 
 
