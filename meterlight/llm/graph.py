@@ -31,11 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     current = scratch.save(both.distinct(), "edges")
     found = None
     while True:
+        near = scratch.near(current)
         up = current.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("root"))
         up = scratch.save(up, "pointers")
         while True:
             jump = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            moved = scratch.save(up.join(jump, "root", "left").select("node", "root", F.coalesce("end", "root").alias("end")), "jumps")
+            moved = scratch.save(up.join(near(jump), "root", "left").select("node", "root", F.coalesce("end", "root").alias("end")), "jumps")
             changed = moved.where("end <> root").limit(1).count()
             scratch.discard(up)
             up = moved.select("node", F.col("end").alias("root"))
@@ -45,11 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
             total = up
         else:
             ends = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            total = scratch.save(found.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "labels")
+            total = scratch.save(found.join(near(ends), "root", "left").select("node", F.coalesce("end", "root").alias("root")), "labels")
         found = total
         a = up.select(F.col("node").alias("src"), F.col("root").alias("s"))
         b = up.select(F.col("node").alias("dst"), F.col("root").alias("d"))
-        left = current.join(a, "src").join(b, "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
+        left = current.join(near(a), "src").join(near(b), "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
         following = scratch.save(left, "edges")
         scratch.discard(current)
         current = following
@@ -79,8 +80,9 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
     active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(True).alias("ask"), *[F.lit(None).cast("long").alias(c) for c in ("n", "i", "e")])
     roots = None
     for turn in count():
-        leaders = scratch.save(leading(active, turn), "leaders")
-        met = active.join(leaders, "band")
+        near = scratch.near(active)
+        leaders = scratch.save(leading(active, turn, near), "leaders")
+        met = active.join(near(leaders), "band")
         if turn:
             met = met.where("root <> lead_root and (ask or lead_ask) and (not every or key < lead)")
             # Both are known against one hub: an overlap is at most that inside it and that outside.
@@ -94,29 +96,29 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
         roots = joined(roots, new)
         rest = active
         if turn:
-            rest = rest.join(leaders.where("every").select("band").distinct(), "band", "left_anti")
-            rest = rest.join(leaders.where("not every").select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti")
+            rest = rest.join(near(leaders.where("every").select("band")), "band", "left_anti")
+            rest = rest.join(near(leaders.where("not every").select("band", F.col("lead").alias("key"))), ["band", "key"], "left_anti")
         rest = scratch.save(relabelled(rest, roots), "rest")
-        left = scratch.save(rest.join(undecided(rest), "band", "left_semi"), "left")
+        left = scratch.save(rest.join(near(undecided(rest)), "band", "left_semi"), "left")
         following = left
         if refine and turn < DEALS and left.limit(1).count():
-            best = left.join(hubs, "key").select("band", "hub") if not turn else leaders.select("band", F.struct("weight", "lead").alias("hub"))
-            members = left.join(best.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.lead"), "band")
+            best = left.join(near(hubs), "key").select("band", "hub") if not turn else leaders.select("band", F.struct("weight", "lead").alias("hub"))
+            members = left.join(near(best.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.lead")), "band")
             members = scratch.save(members, "members")
             dealt = scratch.save(refine(members.select("key", "root", "lead").distinct()), "dealt")
             known = dealt.where("band is null")
             roots = joined(roots, known.where("not ask and key <> lead").select(F.col("key").alias("src"), F.col("lead").alias("dst")))
             if turn:
                 now = known.select("key", "lead", F.col("i").alias("now"))
-                better = members.join(now, ["key", "lead"]).groupBy("band").agg(F.sum("now").alias("now"), F.sum("i").alias("was")).where("now > was").select("band")
-                following = relabelled(left.join(better, "band", "left_anti"), roots)
-                wanted = members.join(better, "band", "left_semi").select("key", "lead").distinct()
-                dealt = dealt.join(wanted, ["key", "lead"], "left_semi")
+                better = members.join(near(now), ["key", "lead"]).groupBy("band").agg(F.sum("now").alias("now"), F.sum("i").alias("was")).where("now > was").select("band")
+                following = relabelled(left.join(near(better), "band", "left_anti"), roots)
+                wanted = members.join(near(better), "band", "left_semi").select("key", "lead").distinct()
+                dealt = dealt.join(near(wanted), ["key", "lead"], "left_semi")
             else:
                 following = relabelled(left.where("false"), roots)
             fresh = dealt.where("band is not null").groupBy("band", "key").agg(F.max("root").alias("root"), F.max("ask").alias("ask"), *[F.max(c).alias(c) for c in ("n", "i", "e")])
-            fresh = relabelled(fresh, roots)
-            following = following.unionByName(fresh.join(undecided(fresh), "band", "left_semi").select(*following.columns))
+            fresh = scratch.save(relabelled(fresh, roots), "fresh")
+            following = following.unionByName(fresh.join(scratch.near(fresh)(undecided(fresh)), "band", "left_semi").select(*following.columns))
         following = scratch.save(following.select("band", "key", "root", "ask", "n", "i", "e"), "active")
         for table in (leaders, pairs, new, rest, left):
             scratch.discard(table)
@@ -130,16 +132,22 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     what the links join, which are few once most links are known."""
     if roots is None:
         return components(links)
-    up = roots.select(F.col("node").alias("src"), F.col("root").alias("s"))
-    ends = links.join(up, "src", "left").join(up.toDF("dst", "d"), "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"))
+    if not links.limit(1).count():
+        return roots
+    near = scratch.near(links)
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    up = scratch.save(nodes.join(roots.join(near(nodes), "node", "left_semi"), "node", "left").select("node", "root"), "up")
+    of = up.select("node", F.coalesce("root", "node").alias("end"))
+    ends = links.join(near(of.toDF("src", "s")), "src").join(near(of.toDF("dst", "d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
     more = components(ends)
-    known = roots.join(more.toDF("root", "end"), "root", "left").select("node", F.coalesce("end", "root").alias("root"))
-    fresh = more.join(roots, "node", "left_anti").select("node", "root")
+    known = roots.join(near(more.toDF("root", "end")), "root", "left").select("node", F.coalesce("end", "root").alias("root"))
+    fresh = more.join(near(up.where("root is null").select("node")), "node", "left_semi").select("node", "root")
     return scratch.save(known.unionByName(fresh), "roots")
 
 
 def relabelled(active: DataFrame, roots: DataFrame) -> DataFrame:
-    return active.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = scratch.near(roots)(roots).withColumnRenamed("node", "key")
+    return active.drop("root").join(own, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def undecided(active: DataFrame) -> DataFrame:
@@ -147,16 +155,16 @@ def undecided(active: DataFrame) -> DataFrame:
     return active.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("ask").alias("c")).where("a <> b and c").select("band")
 
 
-def leading(active: DataFrame, turn: int) -> DataFrame:
+def leading(active: DataFrame, turn: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(band, lead, lead_root, lead_ask, lead_n, lead_i, lead_e, weight, every): the leaders of
     each bucket; ``every`` marks buckets all of whose keys lead."""
     sizes = active.groupBy("band").agg(F.count("*").alias("size"), F.count_if("ask").alias("askers"))
-    sized = active.join(sizes, "band")
-    known = sized.join(sized.groupBy("key").agg(F.sum("size").alias("weight")), "key")
+    sized = active.join(near(sizes), "band")
+    known = sized.join(near(sized.groupBy("key").agg(F.sum("size").alias("weight"))), "key")
     if turn:
         shares = active.groupBy("band", "root").agg(F.count("*").alias("share"))
         largest = shares.groupBy("band").agg(F.max_by("root", F.struct("share", "root")).alias("major"))
-        known = known.join(largest, "band").withColumn("every", F.col("size") <= SMALL)
+        known = known.join(near(largest), "band").withColumn("every", F.col("size") <= SMALL)
     else:
         known = known.withColumns({"major": F.lit(None).cast("binary"), "every": F.lit(False)})
     # Once all keys outside one component have led, what is left is one component.

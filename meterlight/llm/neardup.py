@@ -323,11 +323,12 @@ def distinct(docs: DataFrame, **options) -> DataFrame:
     first = placed.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("all")).where("all > 1")
     # Only rows of groups are looked at, so that other texts needn't be shuffled.
     grouped = scratch.save(per_row.join(first, "component").select("row.id", "row.hash", (F.col("row") == F.col("first")).alias("stays"), "n"), "grouped")
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("hash"))
+    plain, own_id, own_text = scratch.renamed(docs, id_col, text_col)
+    marked = plain.withColumns({"id": F.col(own_id), "hash": text_hash(F.col(own_text))})
     same = marked["id"].eqNullSafe(grouped["id"]) & (marked["hash"] == grouped["hash"])
     out = marked.join(bounded(grouped.where("not stays").select("id", "hash")), same, "left_anti")
     twice = grouped.where("stays and n > 1").select("id", "hash")
     if twice.limit(1).count():
-        kept = out.join(bounded(twice), same, "left_semi").groupBy("id", "hash").agg(F.first("doc").alias("doc")).select("id", "hash", "doc")
-        out = out.join(bounded(twice), same, "left_anti").select("id", "hash", "doc").union(kept)
-    return out.select("doc.*")
+        once = out.join(bounded(twice), same, "left_semi").groupBy("id", "hash").agg(F.first(F.struct(*plain.columns)).alias("row"))
+        out = out.join(bounded(twice), same, "left_anti").select(*plain.columns).union(once.select("row.*"))
+    return scratch.restored(out, docs.columns)

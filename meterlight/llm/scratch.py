@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +36,27 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/meterlight-" in f}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows up to which tables of keys, some 40 bytes a row, are broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def near(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join tables that have no more rows than ``table``, one made by ``save``:
+    broadcast if that is few rows, as they are otherwise."""
+    return F.broadcast if table.count() <= BROADCAST_ROWS else lambda df: df
+
+
+def renamed(docs: DataFrame, *wanted: str) -> tuple:
+    """``docs`` with columns named c0, c1, ..., and those names of the wanted columns,
+    so that no name of a caller's column meets one of ours. ``restored`` undoes it."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip((c.lower() for c in docs.columns), names))
+    return docs.toDF(*names), *(of[w.lower()] for w in wanted)
+
+
+def restored(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that ``renamed`` had, and ``more``, which replace columns of their names."""
+    replaced = {m.lower() for m in more}
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in replaced], *more)
