@@ -29,31 +29,41 @@ FOUND_TYPE = T.StructType(
 
 
 class Items:
-    """The windows of some items, looked up by hash and then by their words."""
+    """The windows of some items, looked up by hash and then by their words: for each
+    length the sorted hashes, and where in the items' words each window starts."""
 
     def __init__(self, rows: list[tuple[str, str | None]], length: int) -> None:
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        pattern = re.compile(rb"[0-9a-z\x80-\xff]+")
-        self.by_words: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in rows:
-            words = pattern.findall((text or "").encode().lower())
-            n = min(length, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                self.by_words.setdefault(tuple(words[i : i + n]), set()).add(item)
-        self.hashes: dict[int, np.ndarray] = {}
-        cache = Powers()
-        for n in sorted({len(k) for k in self.by_words}):
-            texts = pa.array([b" ".join(k).decode() for k in self.by_words if len(k) == n], pa.large_string())
-            got = []
-            for _, data, offsets in groups(texts):
-                starts, ends, owner = split(data, offsets, ALNUM)
-                rolled = windows(hashes(data, starts, ends, cache), n)
-                got.append(rolled[owner[: len(rolled)] == owner[n - 1 :]])
-            self.hashes[n] = np.unique(np.concatenate(got))
+        self.names = [name for name, _ in rows]
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cache, found = Powers(), {}
+        for first, data, offsets in groups(pa.array([text or "" for _, text in rows], pa.large_string())):
+            starts, ends, owner = split(data, offsets, ALNUM)
+            hashed = hashes(data, starts, ends, cache)
+            of_item = np.minimum(np.bincount(owner, minlength=len(offsets) - 1), length)
+            for n in np.unique(of_item[of_item > 0]).tolist():
+                rolled = windows(hashed, n)
+                at = np.flatnonzero((owner[: len(rolled)] == owner[n - 1 :]) & (of_item[owner[: len(rolled)]] == n))
+                found.setdefault(n, []).append((rolled[at], np.full(len(at), len(self.parts), np.int32), at.astype(np.int32), (owner[at] + first).astype(np.int32)))
+            self.parts.append((data, starts, ends))
+        self.windows = {}
+        for n, pieces in found.items():
+            known, part, at, item = (np.concatenate(x) for x in zip(*pieces))
+            order = np.argsort(known, kind="stable")
+            self.windows[n] = known[order], part[order], at[order], item[order]
+
+    def named(self, n: int, first: int, words: list[bytes]) -> set[str]:
+        """The items with this window, whose hash is first found at ``first``."""
+        known, part, at, item = self.windows[n]
+        out, k = set(), first
+        while k < len(known) and known[k] == known[first]:
+            data, starts, ends = self.parts[part[k]]
+            if all(data[a:b].tobytes() == w for a, b, w in zip(starts[at[k] : at[k] + n], ends[at[k] : at[k] + n], words)):
+                out.add(self.names[item[k]])
+            k += 1
+        return out
 
 
 def scan(texts, items: Items, cache: Powers):
@@ -65,14 +75,13 @@ def scan(texts, items: Items, cache: Powers):
         hashed = hashes(data, starts, ends, cache)
         marks = np.zeros(len(starts) + 1, np.int64)
         found: dict[int, set[str]] = {}
-        for n, known in items.hashes.items():
+        for n, (known, *_) in items.windows.items():
             rolled = windows(hashed, n)
             if not len(rolled) or not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
             for i in np.flatnonzero((known[at] == rolled) & (owner[: len(rolled)] == owner[n - 1 :])):
-                words = tuple(data[a:b].tobytes() for a, b in zip(starts[i : i + n], ends[i : i + n]))
-                if names := items.by_words.get(words):
+                if names := items.named(n, int(at[i]), [data[a:b].tobytes() for a, b in zip(starts[i : i + n], ends[i : i + n])]):
                     found.setdefault(int(owner[i]), set()).update(names)
                     marks[i] += 1
                     marks[i + n] -= 1
@@ -101,9 +110,8 @@ def merge(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], text_col: str, length: int) -> DataFrame:
+def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], text_col: str, length: int, again: bool) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(rows)
-    again = FOUND in docs.columns
     schema = T.StructType([f for f in docs.schema if f.name != FOUND] + [T.StructField(FOUND, FOUND_TYPE)])
 
     def run(batches):
@@ -136,8 +144,13 @@ def find(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col:
 
     Null and empty texts have no words. Null item ids are named "null"; items
     that repeat count once for each id. No items: nothing is hit. Every row of
-    ``docs`` comes out once, other columns unchanged.
+    ``docs`` comes out once, other columns unchanged; one named ``__found`` is replaced.
     """
+    plain, text = scratch.renamed(docs, text_col)
+    return scratch.restored(_found(plain, items, text, item_col, item_text_col, length), docs.columns, FOUND)
+
+
+def _found(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, length: int) -> DataFrame:
     named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text_col).alias("text")).distinct()
     # The same weight that a shard may hold: texts, and a few dozen bytes for each item.
     weight = named.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 40), F.lit(0))).head()[0]
@@ -145,24 +158,25 @@ def find(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col:
     out = docs
     for i in range(shards):
         part = named if shards == 1 else named.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == i)
-        out = _pass(out, [tuple(r) for r in part.collect()], text_col, length)
+        out = _pass(out, [tuple(r) for r in part.collect()], text_col, length, i > 0)
         if i < shards - 1:
             out = scratch.save(out, "scanned")  # so that one task holds one shard at a time
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, remove: str = "documents", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10) -> DataFrame:
     """``docs`` without contamination, its columns unchanged otherwise.
 
     ``remove="documents"`` leaves out documents with a hit word;
     ``remove="spans"`` cuts the runs of hit words out of the text.
     """
-    found = find(docs, items, text_col=text_col, **options)
-    if remove == "documents":
-        return found.where(F.col(FOUND)["n_hit"] == 0).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    schema = docs.schema
+    plain, text_col = scratch.renamed(docs, text_col)
+    found = _found(plain, items, text_col, item_col, item_text_col, length)
+    if remove == "documents":
+        return scratch.restored(found.where(F.col(FOUND)["n_hit"] == 0), docs.columns)
+    schema = plain.schema
 
     def run(batches):
         import pyarrow as pa
@@ -179,6 +193,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, remove: str = "documents
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(text_col).type) if c == text_col else batch.column(c) for c in schema.names], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return scratch.restored(found.mapInArrow(run, schema), docs.columns)
 
 
