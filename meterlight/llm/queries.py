@@ -64,7 +64,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH l AS (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 pos FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, pos, line, string_split(regexp_replace(trim(regexp_replace(line, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', chr(1), 'g'), ' ') w FROM l),
-k AS (SELECT doc_id, pos, unnest(CASE WHEN n < 3 THEN [] WHEN n < 8 THEN ['w' || s] ELSE ['w' || s,
+k AS (SELECT doc_id, pos, unnest(CASE WHEN NOT regexp_matches(s, '[^\\x01 ]') THEN [] WHEN n < 8 THEN ['w' || s] ELSE ['w' || s,
    '0:' || n || ':' || lead || ':' || array_to_string(w[c1 + 1:], ' '),
    '1:' || n || ':' || lead || ':' || array_to_string(w[1:c1], ' ') || chr(2) || array_to_string(w[c2 + 1:], ' '),
    '2:' || n || ':' || lead || ':' || array_to_string(w[1:c2], ' ') || chr(2) || array_to_string(w[c3 + 1:], ' '),
