@@ -14,13 +14,16 @@ from meterlight.llm import scratch
 from meterlight.llm.graph import components
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules up to which they are one expression; more are joined by host.
-INLINE_RULES = 200
+#: Rules up to which they are one expression, with the same results as joining by host;
+#: and rules, of some hundred bytes each, up to which the joined ones are broadcast.
+INLINE_RULES, BROADCAST_RULES = 200, 100_000
 
-#: The attributes of a tag before and after the one that matters.
-_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?"
-CANONICAL = rf"(?i)<link\b(?={_ATTRS}\brel\s*=\s*[\"']?canonical\b){_ATTRS}\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))"
-REFRESH = rf"(?i)<meta\b(?={_ATTRS}\bhttp-equiv\s*=\s*[\"']?refresh\b){_ATTRS}\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*;\s*url\s*=\s*['\"]?\s*([^\"'\s<>]+)"
+#: Tags up to their end, which may stand inside quotes only; possessive, so that a
+#: tag of any length takes one pass and no stack.
+_TAG = r"""(?i)<%s\b(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))"""
+_REL, _HREF, _EQUIV, _CONTENT = (rf"(?i)[\s\"']{name}{_VALUE}" for name in ("rel", "href", "http-equiv", "content"))
+_REFRESH = r"""(?i)^\s*+[0-9.]*+\s*+[;,]?\s*+url\s*+=\s*+['"]?\s*+([^"'\s<>]++)"""
 
 #: A-Z alone; lower() would also change other letters.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,8 +60,12 @@ def resolve(link: Column, base: Column) -> Column:
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(src, dst) of canonical links and refresh redirects in whole pages."""
     html, url = F.col(html_col), F.col(url_col)
-    canonical = F.coalesce(*[F.nullif(F.regexp_extract(html, CANONICAL, i), F.lit("")) for i in (1, 2, 3)])
-    refresh = F.nullif(F.regexp_extract(html, REFRESH, 1), F.lit(""))
+    value = lambda tag, pattern: F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    tags = lambda name: F.regexp_extract_all(html, F.lit(_TAG % name), F.lit(0))
+    named = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(value(t, _REL)), r"\s+"), "canonical"))
+    canonical = F.nullif(value(F.try_element_at(named, F.lit(1)), _HREF), F.lit(""))
+    moved = F.filter(tags("meta"), lambda t: F.lower(F.trim(value(t, _EQUIV))) == "refresh")
+    refresh = F.nullif(F.regexp_extract(value(F.try_element_at(moved, F.lit(1)), _CONTENT), _REFRESH, 1), F.lit(""))
     hinted = pages.where(html.rlike("(?i)canonical|refresh")).select(url.alias("u"), F.explode(F.array(canonical, refresh)).alias("l"))
     edges = hinted.where("l is not null").select(node(F.col("u")).alias("src"), node(resolve(F.replace(F.col("l"), F.lit("&amp;"), F.lit("&")), F.col("u"))).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst")
@@ -87,7 +94,8 @@ def _joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parts = F.split("__host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     asked = pages.select("__host", "__path").distinct().withColumn("on", F.explode(hosts))
-    given = rules.select("verdict", "rule", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER).alias("on"), F.expr("substring(rule, instr(rule, '/'))").alias("start"))
+    given = rules.select("verdict", "rule", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER).alias("on"), F.expr("concat('/', substring(rule, locate('/', concat(rule, '/')) + 1))").alias("start"))
+    given = F.broadcast(given) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else given
     fit = asked.join(given, "on").where(F.col("__path").startswith(F.col("start")))
     best = fit.groupBy("__host", "__path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", (F.col("verdict") == ALLOW).alias("a"), "verdict")).alias("best"))
     best = best.select("__host", "__path", F.col("best.rule").alias("__rule"), F.col("best.verdict").alias("__said"))
@@ -137,7 +145,8 @@ def judge(
 def allowed(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, **options) -> DataFrame:
     """The rows of ``pages`` whose url is allowed, unchanged."""
     url_col = options.get("url_col", "url")
+    plain, url = scratch.renamed(pages, url_col)
     verdicts = judge(pages, rules, **options | {"id_col": url_col}).where(F.col("verdict") == BLOCK).select(F.col(url_col).alias("__u")).distinct()
-    return pages.join(verdicts, pages[url_col].eqNullSafe(verdicts["__u"]), "left_anti")
+    return scratch.restored(plain.join(verdicts, plain[url].eqNullSafe(verdicts["__u"]), "left_anti"), pages.columns)
 
 
