@@ -301,3 +301,78 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, copy), (2, copy + " end"), (2, other), (None, copy), (None, "quite another text of some words"), (3, None), (3, " "), (1, copy)]
     kept = [tuple(r) for r in neardup.distinct(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string")).select("doc_id", "text").collect()]
     assert sorted(kept, key=str) == sorted([(1, copy), (2, other), rows[4], (3, None), (3, " ")], key=str)
+
+
+def test_malformed_and_long_pages(spark):
+    long = '<link ' + 'a "b ' * 200_000  # no end, and an odd number of quotes
+    fine = "<link data-x='rel=canonical' rel=next href='http://no.net/es/'><LINK href='http://bad.net/es/1' REL=\"Canonical\" />"
+    rows = [(1, "http://a.org/x", long), (2, "http://b.org/y", fine), (3, "http://c.org/", '<meta http-equiv=refresh content="0; url=http://bad.net/es/2">' + "<p>" * 100_000), (2, "http://b.org/y", fine)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, rule string")
+    got = sorted((r["page_id"], r["verdict"]) for r in urlfilter.judge(pages, [("block", "net/es/")]).collect())
+    assert got == [(1, "allow"), (2, "block"), (2, "block"), (3, "block")]
+    assert urlfilter.allowed(pages, [("block", "net/es/")]).select("page_id", "rule").collect() == [(1, "y")]
+
+
+def test_many_rules_as_few(spark):
+    rules = [("block", f"h{i}.net/p{i % 3}/") for i in range(300)] + [("allow", "h7.net"), ("allow", "x.H9.net/p0/q"), ("block", "net")]
+    hosts = ["h7.net", "a.h9.net", "x.h9.net", "net", "h299.net", "other.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", None) for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/p0/", "/p0/q", "/p1/", "/p2/x"))], "page_id long, url string, html string")
+    rows = lambda kept: sorted(map(tuple, urlfilter.judge(pages, kept).select("page_id", "rule", "verdict").collect()))
+    frame = spark.createDataFrame(rules, "verdict string, rule string")
+    many = rows(frame)
+    urlfilter_limit, urlfilter.INLINE_RULES = urlfilter.INLINE_RULES, 1000
+    try:
+        assert rows(rules) == many
+    finally:
+        urlfilter.INLINE_RULES = urlfilter_limit
+    assert {r[2] for r in many} == {"allow", "block"}
+
+
+def test_secrets_of_long_texts(spark):
+    hexes = " ".join(f"{i:020x}" for i in range(100_000))
+    assigned = "\n".join(f"token={i:016d}x zz{'ab' * 12}" for i in range(3000))
+    got = {r["id"]: r for r in secrets.scan(spark.createDataFrame([(1, hexes), (2, assigned), (2, assigned)], "doc_id long, text string")).selectExpr("id", "size(base) n", "base[size(base) - 1].end last").collect()}
+    assert got[1]["n"] == 100_000 and got[1]["last"] == len(hexes)
+    assert got[2]["n"] >= 3000
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_random_keys_of_each_encoding_are_found(spark):
+    """Of keys of 32 characters or more, a tenth of the candidates, nine in ten; of text few."""
+    rng = random.Random(21)
+    syllables = ["con", "ter", "na", "tion", "al", "re", "pre", "sen", "ta", "tive", "in", "for", "ma", "dis", "Man", "age"]
+    rows, keys = [], {}
+    for i in range(2400):
+        if i % 10 == 0:
+            kind = list(ALPHABETS)[i // 10 % 4]
+            keys[i] = kind
+            word = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.choice((36, 40, 48, 64))))
+        else:
+            word = rng.choice(("", "-", "_", "/")).join(rng.choice(syllables) for _ in range(16))[:64]
+        rows.append((i, f"see {word} here"))
+    got = {r["id"]: len(r["added"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in ALPHABETS:
+        own = [i for i, k in keys.items() if k == kind]
+        assert sum(got[i] > 0 for i in own) >= 0.9 * len(own), kind
+    assert sum(got[i] > 0 for i in got if i not in keys) <= 0.02 * len(keys)
+
+
+def test_columns_of_our_own_names(spark):
+    names = ["__found", "__own", "__lines", "__dropped", "__words", "__loss", "__language", "__kept", "__id", "__h"]
+    rows = [(1, "a line of text here\nmore", "en", *names), (2, "a line of text here\nother", "en", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    items, labels = spark.createDataFrame([(1, "other")], "item_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert decontam.decontaminate(docs, items).collect() == [rows[0]]
+    assert [r["text"] for r in decontam.decontaminate(docs, items, remove="spans").orderBy("doc_id").collect()] == [rows[0][1], "a line of text here\n"]
+    assert decontam.find(docs, items).select("__own", "__found.n_hit").collect() == [("__own", 0), ("__own", 1)]
+    assert [tuple(r) for r in linededup.dedup_lines(docs).orderBy("doc_id").select("__own", "__lines", "text").collect()] == [("__own", 2, rows[0][1]), ("__own", 2, "other")]
+    assert kneserney.classify(docs, labels).select("__language", "__kept").distinct().collect() == [("__language", True)]
+    assert neardup.distinct(docs).count() == 2
+
+
+def test_tables_of_figures_stay(spark):
+    docs = [(1, "10 20 30\n7\nx 1"), (2, "11 21 31\n8\nx 2"), (3, "1 2 3\n9\nx 3")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "11 21 31\n8", 3: "1 2 3\n9"}
