@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from meterlight.llm import scratch
 
 #: Keys of a bucket up to which all of them lead at once, so a key meets at most so many.
-SMALL = 8
+SMALL = 64
 #: Times more leaders of a bucket in each round; rounds after which buckets are dealt anew.
-GROWTH, DEALS = 8, 5
+GROWTH, DEALS = 64, 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    current = scratch.save(both.distinct(), "edges")
+    current = scratch.save(both, "edges")
     found = None
     while True:
-        near = scratch.near(current)
+        near = scratch.Near(current)
         up = current.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("root"))
-        up = scratch.save(up, "pointers")
+        up = near.save(up, "pointers")
         while True:
             jump = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            moved = scratch.save(up.join(near(jump), "root", "left").select("node", "root", F.coalesce("end", "root").alias("end")), "jumps")
+            moved = near.save(up.join(near(jump), "root", "left").select("node", "root", F.coalesce("end", "root").alias("end")), "jumps")
             changed = moved.where("end <> root").limit(1).count()
             scratch.discard(up)
             up = moved.select("node", F.col("end").alias("root"))
@@ -51,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         a = up.select(F.col("node").alias("src"), F.col("root").alias("s"))
         b = up.select(F.col("node").alias("dst"), F.col("root").alias("d"))
         left = current.join(near(a), "src").join(near(b), "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
-        following = scratch.save(left, "edges")
+        following = near.save(left, "edges")
         scratch.discard(current)
         current = following
         if not current.limit(1).count():
@@ -80,8 +80,8 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
     active = buckets.select("band", "key", F.col("key").alias("root"), F.lit(True).alias("ask"), *[F.lit(None).cast("long").alias(c) for c in ("n", "i", "e")])
     roots = None
     for turn in count():
-        near = scratch.near(active)
-        leaders = scratch.save(leading(active, turn, near), "leaders")
+        near = scratch.Near(active)
+        leaders = near.save(leading(active, turn, near), "leaders")
         met = active.join(near(leaders), "band")
         if turn:
             met = met.where("root <> lead_root and (ask or lead_ask) and (not every or key < lead)")
@@ -89,22 +89,22 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
             common = F.least("i", "lead_i") + F.least("e", "lead_e")
             met = met.where(F.coalesce((100 + percent) * common >= percent * (F.col("n") + F.col("lead_n")), F.lit(True)))
         else:
-            hubs = scratch.save(met.groupBy("key").agg(F.max(F.struct("weight", "lead")).alias("hub")), "hubs")
+            hubs = near.save(met.groupBy("key").agg(F.max(F.struct("weight", "lead")).alias("hub")), "hubs")
             met = hubs.select("key", "hub.lead").where("key <> lead")
-        pairs = scratch.save(met.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct(), "pairs")
+        pairs = near.save(met.select(F.least("key", "lead").alias("src"), F.greatest("key", "lead").alias("dst")).distinct(), "pairs")
         new = scratch.save(verify(pairs), "links")
         roots = joined(roots, new)
         rest = active
         if turn:
             rest = rest.join(near(leaders.where("every").select("band")), "band", "left_anti")
             rest = rest.join(near(leaders.where("not every").select("band", F.col("lead").alias("key"))), ["band", "key"], "left_anti")
-        rest = scratch.save(relabelled(rest, roots), "rest")
-        left = scratch.save(rest.join(near(undecided(rest)), "band", "left_semi"), "left")
+        rest = near.save(relabelled(rest, roots), "rest")
+        left = near.save(rest.join(near(undecided(rest)), "band", "left_semi"), "left")
         following = left
         if refine and turn < DEALS and left.limit(1).count():
             best = left.join(near(hubs), "key").select("band", "hub") if not turn else leaders.select("band", F.struct("weight", "lead").alias("hub"))
             members = left.join(near(best.groupBy("band").agg(F.max("hub").alias("hub")).select("band", "hub.lead")), "band")
-            members = scratch.save(members, "members")
+            members = near.save(members, "members")
             dealt = scratch.save(refine(members.select("key", "root", "lead").distinct()), "dealt")
             known = dealt.where("band is null")
             roots = joined(roots, known.where("not ask and key <> lead").select(F.col("key").alias("src"), F.col("lead").alias("dst")))
@@ -117,8 +117,9 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
             else:
                 following = relabelled(left.where("false"), roots)
             fresh = dealt.where("band is not null").groupBy("band", "key").agg(F.max("root").alias("root"), F.max("ask").alias("ask"), *[F.max(c).alias(c) for c in ("n", "i", "e")])
-            fresh = scratch.save(relabelled(fresh, roots), "fresh")
-            following = following.unionByName(fresh.join(scratch.near(fresh)(undecided(fresh)), "band", "left_semi").select(*following.columns))
+            sized = scratch.Near(dealt)
+            fresh = sized.save(relabelled(fresh, roots), "fresh")
+            following = following.unionByName(fresh.join(sized(undecided(fresh)), "band", "left_semi").select(*following.columns))
         following = scratch.save(following.select("band", "key", "root", "ask", "n", "i", "e"), "active")
         for table in (leaders, pairs, new, rest, left):
             scratch.discard(table)
@@ -134,9 +135,9 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     if not links.limit(1).count():
         return roots
-    near = scratch.near(links)
+    near = scratch.Near(links)
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    up = scratch.save(nodes.join(roots.join(near(nodes), "node", "left_semi"), "node", "left").select("node", "root"), "up")
+    up = near.save(nodes.join(roots.join(near(nodes), "node", "left_semi"), "node", "left").select("node", "root"), "up")
     of = up.select("node", F.coalesce("root", "node").alias("end"))
     ends = links.join(near(of.toDF("src", "s")), "src").join(near(of.toDF("dst", "d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
     more = components(ends)
@@ -146,7 +147,7 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def relabelled(active: DataFrame, roots: DataFrame) -> DataFrame:
-    own = scratch.near(roots)(roots).withColumnRenamed("node", "key")
+    own = scratch.Near(roots)(roots).withColumnRenamed("node", "key")
     return active.drop("root").join(own, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
@@ -155,7 +156,7 @@ def undecided(active: DataFrame) -> DataFrame:
     return active.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("ask").alias("c")).where("a <> b and c").select("band")
 
 
-def leading(active: DataFrame, turn: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def leading(active: DataFrame, turn: int, near: scratch.Near) -> DataFrame:
     """(band, lead, lead_root, lead_ask, lead_n, lead_i, lead_e, weight, every): the leaders of
     each bucket; ``every`` marks buckets all of whose keys lead."""
     sizes = active.groupBy("band").agg(F.count("*").alias("size"), F.count_if("ask").alias("askers"))

@@ -29,6 +29,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared before each look at the posterior.
 BATCH = 32
+#: Pairs of whole sets that a task compares, where there are few.
+PAIRS = 1000
 #: Sets up to this size are told apart by size, larger ones by steps of ``STEP``.
 EXACT_SIZES, STEP = 512, 1.002
 #: Keys of 16 bytes up to which a set of them is broadcast.
@@ -150,9 +152,17 @@ def survivors(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float
                 left, equal, done = left[equal >= least], equal[equal >= least], n
             yield batch.take(pa.array(left)).select(["src", "dst"])
 
-    one = signatures.select(F.col("key").alias("src"), F.col("signature").alias("a"))
-    two = signatures.select(F.col("key").alias("dst"), F.col("signature").alias("b"))
-    return pairs.join(two, "dst").join(one, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
+    return sided(pairs, signatures, "signature").mapInArrow(run, "src binary, dst binary")
+
+
+def sided(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """pairs (src, dst, saved before) with the values (key, value) of src and dst as a and
+    b. Both meet by pair, so that the partner of many is no hot key."""
+    near = scratch.Near(pairs)
+    a = values.select(F.col("key").alias("src"), F.col(value).alias("a")).join(near(pairs), "src")
+    b = values.select(F.col("key").alias("dst"), F.col(value).alias("b")).join(near(pairs.select("src", "dst")), "dst")
+    both = a.join(b, ["src", "dst"]).select(*pairs.columns, "a", "b")
+    return both.coalesce(near.tasks + near.rows // PAIRS) if near.few else both
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -199,11 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     kept.append(i)
             yield batch.take(pa.array(kept, pa.int64())).select(["src", "dst"])
 
-    one = sets.join(bounded(pairs.select(F.col("src").alias("key")).distinct()), "key", "left_semi")
-    two = sets.join(bounded(pairs.select(F.col("dst").alias("key")).distinct()), "key", "left_semi")
-    one = one.select(F.col("key").alias("src"), F.col("set").alias("a"))
-    two = two.select(F.col("key").alias("dst"), F.col("set").alias("b"))
-    return pairs.join(two, "dst").join(one, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
+    return sided(pairs, sets, "set").mapInArrow(run, "src binary, dst binary")
 
 
 def size_class(n):
@@ -261,9 +267,8 @@ def dealt(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 names=["band", "key", "root", "ask", "n", "i", "e", "lead"],
             )
 
-    wanted = sets.join(bounded(members.select(F.explode(F.array("key", "lead")).alias("key")).distinct()), "key", "left_semi")
-    one, two = wanted.select("key", F.col("set").alias("a")), wanted.select(F.col("key").alias("lead"), F.col("set").alias("b"))
-    rows = members.join(two, "lead").join(one, "key").select("key", "root", "lead", "a", "b")
+    pairs = scratch.save(members.select(F.col("key").alias("src"), F.col("lead").alias("dst"), "root"), "measured")
+    rows = sided(pairs, sets, "set").withColumnsRenamed({"src": "key", "dst": "lead"}).select("key", "root", "lead", "a", "b")
     return rows.mapInArrow(run, "band long, key binary, root binary, ask boolean, n long, i long, e long, lead binary")
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests,
-    local runs) a fresh temporary folder is made the checkpoint folder."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset in a local
+    run (tests) a fresh temporary folder is made the checkpoint folder. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="meterlight-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,14 +40,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows up to which tables of keys, some 40 bytes a row, are broadcast.
-BROADCAST_ROWS = 250_000
+#: Rows up to which tables of keys, some 40 bytes a row, are broadcast; rows of a task in them.
+BROADCAST_ROWS, TASK_ROWS = 250_000, 20_000
 
 
-def near(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """How to join tables that have no more rows than ``table``, one made by ``save``:
-    broadcast if that is few rows, as they are otherwise."""
-    return F.broadcast if table.count() <= BROADCAST_ROWS else lambda df: df
+class Near:
+    """How to handle tables that have no more rows than ``table``, one made by ``save``:
+    few rows are broadcast in joins and take few tasks, others are left as they are."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.rows = table.count()
+        self.few, self.tasks = self.rows <= BROADCAST_ROWS, 4 + self.rows // TASK_ROWS
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return save(df.coalesce(self.tasks) if self.few else df, name)
 
 
 def renamed(docs: DataFrame, *wanted: str) -> tuple:
