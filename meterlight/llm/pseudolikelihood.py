@@ -1,13 +1,16 @@
 """LM scoring: masked pseudo-likelihood by a bidirectional window network.
 
 Every word is predicted from the words on both sides; the log-probabilities of a
-document's words are summed. Words beyond the vocabulary share a few hashed ids.
+document's words are summed. Words beyond the vocabulary share a few hashed ids, and are then
+spelled: a model of byte pairs, of all words of the corpus, gives each its own probability.
 The network sums position-wise embeddings of its window, applies tanh, and has a
 softmax of two levels: the class of a word, then the word in the class.
 
 Training covers the whole corpus in rounds of parameter averaging: each task
 trains a copy of the network on its own documents, and the copies are summed up
-in groups of bounded size, level by level.
+in groups of bounded size, level by level. In ``STRIDE`` rounds every word is predicted
+once. Copies that see fewer words learn less between two averages, so results depend
+somewhat on how the input is cut into tasks.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ CLASSES, MEMBERS, SHARED = 64, 64, 64
 VOCABULARY = CLASSES * MEMBERS
 #: Words seen on each side, width of the network, rounds of averaging.
 SIDE, WIDTH, ROUNDS = 2, 32, 2
-#: Every word is context; the network is trained to predict one word in STRIDE.
-STRIDE = 8
-BATCH, RATE = 2048, 0.15
+#: Every word is context; a round predicts one word in STRIDE, each round others.
+STRIDE = 2
+BATCH, RATE = 4096, 0.15
+#: Bytes, and the mark of a word's start or end.
+MARKS = 257
 #: Distinct words that a task counts together, floats of a chunk of parameters, copies summed together.
 COUNTED, CHUNK, FAN_IN = 1_000_000, 8192, 32
 SHAPES = {"e": (2 * SIDE, VOCABULARY + 1, WIDTH), "b": (WIDTH,), "c": (WIDTH + 1, CLASSES), "m": (CLASSES, WIDTH + 1, MEMBERS)}
@@ -92,11 +97,11 @@ class Network:
             dx = dh[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2) / len(target)
             self.step("b", dx.sum(axis=0))
             for j in range(2 * SIDE):
-                grad = np.zeros(SHAPES["e"][1:], np.float32)
-                np.add.at(grad, context[:, j], dx)
-                seen = np.unique(context[:, j])
-                self.squares["e"][j][seen] += (grad[seen] ** 2).mean(axis=1)
-                self.parts["e"][j][seen] -= RATE * grad[seen] / np.sqrt(self.squares["e"][j][seen])[:, None]
+                order = np.argsort(context[:, j], kind="stable")
+                seen, first = np.unique(context[order, j], return_index=True)
+                grad = np.add.reduceat(dx[order], first, axis=0)
+                self.squares["e"][j][seen] += (grad**2).mean(axis=1)
+                self.parts["e"][j][seen] -= RATE * grad / np.sqrt(self.squares["e"][j][seen])[:, None]
         return out
 
     def step(self, name: str, grad) -> None:
@@ -119,44 +124,83 @@ def windows(ids, owner):
     return out
 
 
-def vocabulary(docs: DataFrame) -> list[int]:
-    """Hashes of the most frequent words of the corpus, most frequent first."""
+def byte_pairs(data, starts, ends):
+    """For each byte of words the byte before it in the word, or the mark of its start."""
+    import numpy as np
+
+    before = np.empty(len(data), np.int64)
+    before[1:] = data[:-1]
+    before[starts] = MARKS - 1
+    return before
+
+
+def counts(docs: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
+    """Hashes of the most frequent words of the corpus, most frequent first, and the counts
+    of the pairs of bytes (first * MARKS + second) in all words."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        cache, words, counts = Powers(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def rows(kind, words, counted):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, np.int32)), pa.array(words), pa.array(counted)], names=["kind", "word", "n"])
+
+        cache, words, counted, pairs = Powers(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(MARKS * MARKS, np.int64)
         for batch in batches:
             for _, data, offsets in groups(batch.column("text")):
                 starts, ends, _ = split(data, offsets, NONSPACE)
+                if not len(starts):
+                    continue
+                inside = np.flatnonzero(NONSPACE[data])
+                pairs += np.bincount(byte_pairs(data, starts, ends)[inside] * MARKS + data[inside], minlength=MARKS * MARKS)
+                pairs += np.bincount(data[ends - 1].astype(np.int64) * MARKS + MARKS - 1, minlength=MARKS * MARKS)
                 new, n = np.unique(hashes(data, starts, ends, cache).view(np.int64), return_counts=True)
                 both = np.concatenate([words, new])
                 words, inverse = np.unique(both, return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, n]), len(words)).astype(np.int64)
+                counted = np.bincount(inverse, np.concatenate([counted, n]), len(words)).astype(np.int64)
                 if len(words) > COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
-                    words, counts = words[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
+                    yield rows(0, words, counted)
+                    words, counted = words[:0], counted[:0]
+        yield rows(0, words, counted)
+        known = np.flatnonzero(pairs)
+        yield rows(1, known, pairs[known])
+
+    summed = docs.select("text").mapInArrow(run, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    summed = scratch.save(summed, "counts")
+    words = [r[0] for r in summed.where("kind = 0").orderBy(F.desc("n"), "word").select("word").limit(VOCABULARY - SHARED).collect()]
+    # At most MARKS * MARKS rows.
+    pairs = sorted((r[0], r[1]) for r in summed.where("kind = 1").select("word", "n").collect())
+    scratch.discard(summed)
+    return words, pairs
+
+
+def spelling(pairs: list[tuple[int, int]]):
+    """log-probability of each byte, or the end, after each byte, or the start."""
+    import numpy as np
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED).collect()]
+    table = np.full(MARKS * MARKS, 0.5)
+    for at, n in pairs:
+        table[at] += n
+    table = table.reshape(MARKS, MARKS)
+    return np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def encode(docs: DataFrame, words: list[int]) -> DataFrame:
-    """(id, ids) of each row: two bytes for each word."""
-    known = docs.sparkSession.sparkContext.broadcast(words)
-    schema = T.StructType([docs.schema["id"], T.StructField("ids", T.BinaryType())])
+def encode(docs: DataFrame, words: list[int], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(id, ids, spelled) of each row: two bytes for each word, and the summed
+    log-probability of the spelling of words beyond the vocabulary, given that they share
+    an id (each has about one in SHARED of all strings)."""
+    known = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    schema = T.StructType([docs.schema["id"], T.StructField("ids", T.BinaryType()), T.StructField("spelled", T.DoubleType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        listed, cache = np.array(known.value, np.int64), Powers()
-        order = np.argsort(listed)
+        listed, cache = np.array(known.value[0], np.int64), Powers()
+        order, letters = np.argsort(listed), spelling(known.value[1])
         ranked = listed[order]
         for batch in batches:
-            out = []
+            out, spelled = [], []
             for _, data, offsets in groups(batch.column("text")):
                 starts, ends, owner = split(data, offsets, NONSPACE)
                 hashed = hashes(data, starts, ends, cache).view(np.int64)
@@ -166,7 +210,12 @@ def encode(docs: DataFrame, words: list[int]) -> DataFrame:
                     ids = np.where(ranked[at] == hashed, order[at] + SHARED, ids).astype("<u2")
                 bounds = np.searchsorted(owner, np.arange(len(offsets)))
                 out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+                total = np.zeros(len(data) + 1)
+                np.cumsum(letters[byte_pairs(data, starts, ends), data] if len(starts) else np.zeros(len(data)), out=total[1:])
+                rare = ids < SHARED
+                own = total[ends[rare]] - total[starts[rare]] + letters[data[ends[rare] - 1], MARKS - 1] + np.log(SHARED)
+                spelled.append(np.bincount(owner[rare], np.minimum(own, 0), len(offsets) - 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()), pa.array(np.concatenate([np.zeros(0), *spelled]))], names=["id", "ids", "spelled"])
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -195,7 +244,7 @@ def train_round(encoded: DataFrame, flat, number: int):
             for low in range(0, batch.num_rows, 256):
                 ids, owner = flattened(batch.column("ids").slice(low, 256))
                 context = windows(ids, owner)
-                picked = np.arange((number + seen) % STRIDE, len(ids), STRIDE)
+                picked = np.arange((number - seen) % STRIDE, len(ids), STRIDE)
                 picked = picked[np.random.default_rng(number).permutation(len(picked))]
                 for i in range(0, len(picked), BATCH):
                     rows = picked[i : i + BATCH]
@@ -264,15 +313,15 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id", text
                 for i in range(0, len(ids), 16_384):
                     own = slice(i, i + 16_384)
                     sums[low : low + n] += np.bincount(owner[own], network.log_probabilities(context[own], ids[own]), minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.array(sums)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.array(sums + batch.column("spelled").to_numpy())], names=schema.names)
 
     return encoded.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def prepare(docs: DataFrame, rounds: int, id_col: str, text_col: str):
-    """The encoded documents (id, ids) and the parameters trained on them."""
+    """The encoded documents (id, ids, spelled) and the parameters trained on them."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    encoded = scratch.save(encode(plain, vocabulary(plain)), "encoded")
+    encoded = scratch.save(encode(plain, *counts(plain)), "encoded")
     flat = Network().flat
     for number in range(rounds):
         flat = train_round(encoded, flat, number)
