@@ -20,8 +20,8 @@ from meterlight.llm import scratch
 from meterlight.llm.graph import connect
 from meterlight.llm.words import BYTE_BASE, U64, mix
 
-#: Scales of the pyramid, strongest corners kept on each, radius of a patch.
-SCALES, CORNERS, RADIUS = (1.0, 0.75, 0.5), 24, 7
+#: Scales of the pyramid, pixels for each of the strongest corners kept, radius of a patch.
+SCALES, AREA, RADIUS = (1.0, 0.75, 0.5), 77, 7
 #: Bits of a descriptor, substrings it is cut into, and the bits in which matches may differ.
 BITS, TABLES, HAMMING = 256, 4, 24
 #: Matches that agree on a transform, and the pixels by which they may miss it.
@@ -84,7 +84,7 @@ def describe(image, points) -> bytes:
                 if (dy, dx) != (1, 1):
                     peak &= inner >= around[dy : dy + inner.shape[0], dx : dx + inner.shape[1]]
         y, x = np.nonzero(peak & (inner > 1e-2))
-        strongest = np.argsort(-inner[y, x], kind="stable")[:CORNERS]
+        strongest = np.argsort(-inner[y, x], kind="stable")[: -(-h * w // AREA)]
         y, x = y[strongest] + RADIUS + 1, x[strongest] + RADIUS + 1
         if not len(y):
             continue
@@ -196,9 +196,8 @@ def copies(images: DataFrame, *, render: Callable = pixels, id_col: str = "id")
     made = scratch.save(descriptors(images, render, id_col), "descriptors")
     classes = scratch.save(made.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("features").alias("features"), F.count("*").alias("same")), "images")
     places = substrings(classes.select("key", "features"))
-    shared = scratch.save(places, "places")
-    full = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = scratch.save(shared.join(full, "band", "left_semi"), "buckets")
+    full = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    buckets = scratch.save(places.join(full, "band", "left_semi"), "buckets")
     features = classes.select("key", "features")
 
     def verify(pairs: DataFrame) -> DataFrame:
