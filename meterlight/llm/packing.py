@@ -4,8 +4,9 @@ Every source is a queue of tokens. Windows are filled by deficit round-robin:
 each window adds its quantum (window size times the queue's target share) to the
 queue's deficit and takes the whole tokens of it; the fraction is carried. As the
 deficit of a queue before any window is the fractional part of its cumulative
-target, a task can start at any window with the right deficits, so the rows are
-the same however the tables are partitioned.
+target, a task can start at any window with the right deficits. Queues hold documents
+in the order of the input's tasks, so which documents share a window depends on how
+the tables are cut into tasks; the shares and the filling of windows don't.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql.window import Window
 from meterlight.llm import scratch
 from meterlight.llm.words import NONSPACE, distinct, groups
 
-#: Sources beyond this number share queues by hash.
+#: Sources beyond this number share queues by hash, which keep their common share; target
+#: weights by source are refused then.
 MAX_QUEUES = 1024
 #: Cached chunks or words of a task; the cache starts anew beyond it.
 CACHE_ENTRIES = 500_000

@@ -41,14 +41,17 @@ def _codes(dims: list[Column], kinds: list[T.DataType]) -> list[Column]:
 
 def assign(
     docs: DataFrame,
-    shards: int,
+    shards: int | None = None,
     *,
+    target_bytes: int = 1 << 30,
     dims: tuple[str, ...] = ("lang", "source", "n_chars", "doc_id"),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """id, size (UTF-8 bytes and 8), text_crc32, shard (0 to shards - 1) and slot
     (gapless from 0 in each shard) of each row; the bytes of the shards are near equal.
+    Without a number of shards the tree is split until leaves have ``target_bytes``
+    or less.
 
     Rows of equal value in a dimension, hot groups of them too, are parted by a
     hash of id and text where the cut needs it; only rows equal in both stay
@@ -71,6 +74,7 @@ def assign(
     rows = scratch.save(rows, "metadata")
     extent = rows.agg(F.sum("size"), F.count("*"), *[f(f"d{i}") for i in range(len(dims)) for f in (F.min, F.max)]).head()
     total, count = extent[0] or 0, extent[1]
+    shards = max(1, -(-total // target_bytes)) if shards is None else shards
     top = (1 << VALUE_BITS) - 1
     keys = []
     for i in range(len(dims)):

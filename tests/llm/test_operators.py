@@ -169,7 +169,7 @@ def test_packing_round_trip_and_mixture(spark):
     assert abs(sum(n for k in range(3) for _, n, s in filled[k] if s == 0) / 384 - 0.5) < 0.02
 
 
-def test_quality_model_against_plain_kneser_ney(spark):
+def test_quality_model_sums_to_one(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcde") for _ in range(60)) for _ in range(40)]
     frame = spark.createDataFrame([(0, t) for t in texts], "language int, text string")
@@ -185,6 +185,53 @@ def test_quality_model_against_plain_kneser_ney(spark):
     assert p[seen.index(best)] > 1 / len(seen)
 
 
+def plain_kneser_ney(texts):
+    """p(c | a, b) of words by interpolated modified Kneser-Ney, from dictionaries."""
+    from collections import Counter
+
+    tri = Counter(t for text in texts for w in [["<", "<", *text.split()]] for t in zip(w, w[1:], w[2:]))
+    bi = Counter((b, c) for _, b, c in tri)
+    uni = Counter(c for _, c in bi)
+
+    def discounts(counts):
+        n = [sum(v == i for v in counts.values()) for i in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        return [0, *[max(min(i - (i + 1) * y * n[i + 1] / n[i], i - 0.05), 0.05) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]]
+
+    def level(counts, context_of, below):
+        d = discounts(counts)
+        total, taken = Counter(), Counter()
+        for k, v in counts.items():
+            total[context_of(k)] += v
+            taken[context_of(k)] += d[min(v, 3)]
+
+        def p(key, lower):
+            context = context_of(key)
+            if context not in total:
+                return lower
+            v = counts.get(key, 0)
+            return ((v - d[min(v, 3)]) / total[context] if v else 0) + taken[context] / total[context] * lower
+
+        return p
+
+    one, two, three = level(uni, lambda k: (), None), level(bi, lambda k: k[:1], None), level(tri, lambda k: k[:2], None)
+    return lambda a, b, c: three((a, b, c), two((b, c), one(c, 1 / (len(uni) + 1))))
+
+
+def test_quality_model_against_plain_kneser_ney(spark):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("aaaabbbccdefgh") + rng.choice(("", "", "x", "y")) for _ in range(50)) for _ in range(30)]
+    scorer = kneserney.Scorer(kneserney.fit(spark.createDataFrame([(0, t) for t in texts], "language int, text string")))
+    p = plain_kneser_ney(texts)
+    new = ["a b c never seen cx a", "zz zz", texts[3]]
+    for text in new:
+        rows = kneserney.trigrams(spark.createDataFrame([(0, text)], "language int, text string")).toPandas()
+        got = scorer.losses(np.zeros(len(rows), np.int64), *[rows[c].to_numpy() for c in "abc"])
+        words = ["<", "<", *text.split()]
+        want = [-np.log(p(*x)) for x in zip(words, words[1:], words[2:])]
+        assert np.allclose(got, want, atol=1e-3)
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     rng = random.Random(6)
     words = ["the", "of", "and", "river", "stone", "light", "old", "house"]
@@ -376,3 +423,78 @@ def test_tables_of_figures_stay(spark):
     docs = [(1, "10 20 30\n7\nx 1"), (2, "11 21 31\n8\nx 2"), (3, "1 2 3\n9\nx 3")]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: "11 21 31\n8", 3: "1 2 3\n9"}
+
+
+def test_gibberish_words_are_less_likely(spark):
+    rng = random.Random(14)
+    words = [rng.choice(["ba", "co", "di"]) + rng.choice(["na", "to", "ri"]) + str(i) for i in range(5000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(300)] + [(1000, "zqxjkv#vvqqz wwxxqqzz##zz"), (1001, "cona4999999 bari888888888")]
+    got = {r["doc_id"]: r["log_probability"] for r in pseudolikelihood.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] < got[1001] - 20
+
+
+def test_words_tell_more_than_their_counts(spark):
+    """Held out by the corpus itself: the sum over words beats that of a unigram model."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(400):
+        text, at = [], rng.randrange(40)
+        for _ in range(80):
+            at = (at * 3 + rng.randrange(3)) % 40
+            text.append(f"w{at}")
+        rows.append((i, " ".join(text)))
+    all_words = [w for _, t in rows for w in t.split()]
+    counts = {w: all_words.count(w) for w in set(all_words)}
+    entropy = np.mean([np.log(counts[w] / len(all_words)) for w in all_words])
+    got = pseudolikelihood.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=30).collect()
+    assert sum(r["log_probability"] for r in got) / len(all_words) > entropy + 0.5
+
+
+def test_shards_reach_a_size(spark):
+    docs = spark.range(500).selectExpr("id doc_id", "repeat('x', 92) text", "'en' lang", "'s' source", "92 n_chars")
+    rows = sharding.assign(docs, target_bytes=8000).collect()
+    sizes = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(max(r["shard"] for r in rows) + 1)]
+    assert len(sizes) == 7 and max(sizes) <= 8000
+
+
+def smooth(seed, side=112):
+    noise = np.random.default_rng(seed).standard_normal((side, side))
+    for _ in range(3):
+        noise = images.blur(noise)
+    return (128 + 50 * noise / noise.std()).clip(0, 255).astype(np.uint8)
+
+
+def turned(image, degrees):
+    side = image.shape[0]
+    y, x = np.mgrid[:side, :side] - (side - 1) / 2
+    a = np.deg2rad(degrees)
+    v, u = (np.clip(np.rint(c + (side - 1) / 2), 0, side - 1).astype(int) for c in (np.cos(a) * y - np.sin(a) * x, np.sin(a) * y + np.cos(a) * x))
+    return image[v, u]
+
+
+def test_image_copies_of_each_edit_against_all_pairs(spark):
+    edits = {
+        "crop": lambda x: x[28:84, 28:84], "bright": lambda x: (x * 0.7 + 30).astype(np.uint8), "noise": lambda x: (x + np.random.default_rng(1).normal(0, 4, x.shape)).clip(0, 255).astype(np.uint8),
+        "smaller": lambda x: images.resized(x.astype(float), 0.75).astype(np.uint8), "turn": lambda x: turned(x, 10), "caption": lambda x: np.vstack([x[:-14], np.zeros((14, x.shape[1]), np.uint8)]),
+    }
+    made, of = [], {}
+    for seed in range(8):
+        of[len(made)] = ("own", seed)
+        made.append(smooth(seed))
+        for name, edit in edits.items():
+            of[len(made)] = (name, seed)
+            made.append(np.ascontiguousarray(edit(smooth(seed))))
+    rows = [(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate(made)]
+    got = {r["id"]: r["component"] for r in images.copies(spark.createDataFrame(rows, "id long, height int, width int, pixels binary").repartition(4)).collect()}
+    described = [images.describe(x, images.pattern()) for x in made]
+    parent = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if images.agree(described[j], described[i]) >= images.CONSENSUS or images.agree(described[i], described[j]) >= images.CONSENSUS:
+                a, b = sorted((got[i], got[j]))
+                parent[i] = parent[i] if a == b else -1
+    assert sum(p == -1 for p in parent) <= 1  # what all pairs link, the tables found
+    for name in edits:
+        own = [i for i, (n, _) in of.items() if n == name]
+        assert sum(got[i] == got[of_first] for i in own for of_first in [next(k for k, v in of.items() if v == ("own", of[i][1]))]) >= 0.9 * len(own), name
+    assert len({got[i] for i in of if of[i][0] == "own"}) == 8
