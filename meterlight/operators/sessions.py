@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.plans.tables import save
+from meterlight.plans.tables import discard, save
 from meterlight.schema import MAX_DEPTH, RELATION_CONFIRMED, SESSION_KEY
 
 KEY = list(SESSION_KEY)
@@ -28,6 +28,7 @@ def _climb(nodes: DataFrame, top: str) -> DataFrame:
     nodes = save(nodes, "climb")
     while reach < MAX_DEPTH and nodes.where("not done").limit(1).count():
         above = nodes.select(*at, F.col("session_id").alias(top), F.col(top).alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
+        before = nodes
         nodes = save(
             nodes.join(above, [*at, top], "left").select(
                 *KEY, F.when(F.col("done"), F.col(top)).otherwise(F.col("next")).alias(top),
@@ -35,6 +36,7 @@ def _climb(nodes: DataFrame, top: str) -> DataFrame:
             ),
             "climb",
         )
+        discard(before)
         reach *= 2
     return nodes
 

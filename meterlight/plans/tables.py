@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local run without one gets a
+    temporary folder, a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="meterlight-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back, so that lineage ends and plans stay small."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterlight-")
-    path = f"{named.rstrip('/')}/meterlight-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/meterlight-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``save`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/meterlight-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
