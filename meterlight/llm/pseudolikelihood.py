@@ -74,7 +74,7 @@ class Network:
         rows = np.arange(len(target))
         by_class = self.log_softmax(h @ self.parts["c"])
         out = by_class[rows, kind].copy()
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         if learn:
             d = np.exp(by_class)
@@ -97,8 +97,10 @@ class Network:
             dx = dh[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2) / len(target)
             self.step("b", dx.sum(axis=0))
             for j in range(2 * SIDE):
-                order = np.argsort(context[:, j], kind="stable")
-                seen, first = np.unique(context[order, j], return_index=True)
+                order = np.argsort(context[:, j].astype(np.uint16), kind="stable")
+                ids = context[order, j]
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                seen = ids[first]
                 grad = np.add.reduceat(dx[order], first, axis=0)
                 self.squares["e"][j][seen] += (grad**2).mean(axis=1)
                 self.parts["e"][j][seen] -= RATE * grad / np.sqrt(self.squares["e"][j][seen])[:, None]
