@@ -434,7 +434,8 @@ def test_gibberish_words_are_less_likely(spark):
 
 
 def test_words_tell_more_than_their_counts(spark):
-    """Held out by the corpus itself: the sum over words beats that of a unigram model."""
+    """The mean over words beats that of a unigram model; one task, as each makes few steps
+    on so few words."""
     rng = random.Random(15)
     rows = []
     for i in range(400):
@@ -446,7 +447,7 @@ def test_words_tell_more_than_their_counts(spark):
     all_words = [w for _, t in rows for w in t.split()]
     counts = {w: all_words.count(w) for w in set(all_words)}
     entropy = np.mean([np.log(counts[w] / len(all_words)) for w in all_words])
-    got = pseudolikelihood.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=30).collect()
+    got = pseudolikelihood.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rounds=12).collect()
     assert sum(r["log_probability"] for r in got) / len(all_words) > entropy + 0.5
 
 
