@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import decontam, images, kneserney, linededup, neardup, packing, pseudolikelihood, secrets, sharding, urlfilter
+from meterlight.llm import codes, decontam, images, kneserney, linededup, neardup, ngramjoin, packing, pivots, pseudolikelihood, scratch, secrets, sharding, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,13 +155,66 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivots.mine(table(spark, sf_dir, "embeddings").select("vec_id", turned.alias("label"), "embedding"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    listed = ",".join(str(x) for book in books for x in book.ravel())
+    sums = scratch.save(coded.groupBy("label").agg(F.sum("__error").alias("label_error")), "label_errors").withColumnRenamed("label", "same_label")
+    out = coded.join(scratch.Near(sums)(sums), F.col("label").eqNullSafe(F.col("same_label")))
+    return out.select("vec_id", F.col("__code").alias("code"), F.col("__error").alias("error"), "label_error", F.sha2(F.lit(listed.encode()), 256).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Each round is a step: distances of all vectors to all entries, part by part."""
+    nearest = """n{r} AS MATERIALIZED (SELECT vec_id, part, x, min(CAST(list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS BIGINT) * 256 + entry) best
+  FROM v JOIN b{r} USING (part) GROUP BY vec_id, part, x)"""
+    moved = """b{s} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN (SELECT part, entry, list(mean ORDER BY i) AS c FROM
+  (SELECT part, best % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS mean FROM n{r}, range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))"""
+    steps = ",\n".join(f"{nearest.format(r=r)},\n{moved.format(r=r, s=r + 1)}" for r in range(4))
+    return f"""
+WITH k AS (SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT vec_id, part, q[16 * part + 1:16 * part + 16] AS x FROM k, range(4) t(part)),
+b0 AS (SELECT part, CAST(entry AS BIGINT) AS entry, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) USING (vec_id)),
+{steps},
+{nearest.format(r=4)},
+e AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM n4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string([CAST(y AS BIGINT) for y in c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN e USING (vec_id), h
+"""
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngramjoin.groups_of(table(spark, sf_dir, "documents"), length=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+OP13_SQL = OP7_SQL.replace("80 *", "85 *").replace(", doc_id = component_id AS kept", "")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op2_lm_scoring, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op8_image_copies, op9_quality, op10_packing)
+        for f in (op1_decontamination, op2_lm_scoring, op3_line_dedup, op4_url_filter, op5_secret_scan, op6_kd_sharding, op7_near_duplicates, op8_image_copies, op9_quality, op10_packing, op11_hard_negatives, op12_vector_codes, op13_ngram_join)
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Operators that train, test randomness, cut windows of tokens or split trees have no SQL."""
-    return {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_near_duplicates": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_ngram_join": OP13_SQL}
