@@ -13,6 +13,7 @@ from meterlight.operators import derive, writes
 from meterlight.plans import queries
 from meterlight.sources import documents, lines, transcripts
 from meterlight.streaming import commit
+from meterlight.streaming.store import Store
 
 SF = "/root/testdata/sf0.001"
 SMALL = ["claude_calls", "codex_calls", "kimi_calls", "gemini_calls", "canonical_model", "repo_identity", "cursor_upsert", "model_rename", "cycle_cut", "subtree_models"]
@@ -116,26 +117,26 @@ def test_periods_and_prices(spark):
 
 
 def test_files_that_arrive_are_merged_once(spark, tmp_path):
-    folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "checkpoint"))
+    folder, checkpoint = (str(tmp_path / x) for x in ("in", "checkpoint"))
+    store = Store(spark, str(tmp_path / "table"))
     Path(folder).mkdir()
     usage = {"input_tokens": 10, "cache_read_input_tokens": 4, "cache_creation_input_tokens": 2, "output_tokens": 0}
 
     def run(name, rows):
         Path(folder, name).write_text("\r\n".join(json.dumps(r) for r in rows) + "\n")
-        commit.tail(spark, folder, transcripts.claude_calls, table, checkpoint, agent="a", instance="i").awaitTermination()
+        commit.tail(spark, folder, transcripts.claude_calls, store, checkpoint, agent="a", instance="i").awaitTermination()
 
-    assert commit.change_mark(spark, table) is None and commit.stored(spark, table) is None
+    assert commit.change_mark(store) is None and commit.stored(store) is None
     run("one.jsonl", [assistant(usage)])
-    mark = commit.change_mark(spark, table)
+    mark = commit.change_mark(store)
     run("two.jsonl", [assistant(usage | {"output_tokens": 7}), assistant(usage, id="m2")])
+    assert commit.change_mark(store) > mark
     run("empty.jsonl", [])
-    assert commit.change_mark(spark, table) > mark
-    got = sorted((r["normalized_total_value"], r["completion_state"]) for r in commit.stored(spark, table).collect())
+    got = sorted((r["normalized_total_value"], r["completion_state"]) for r in commit.stored(store).collect())
     assert got == [(16, 0), (23, 1)]
-    before = commit.versions(spark, table)
-    again = transcripts.claude_calls(lines.read_lines(spark, folder)).withColumns({"agent_id": F.lit("a"), "source_instance_id": F.lit("i")})
-    commit.commit(again, before[-1], table)  # a batch that is repeated replaces itself
-    assert commit.versions(spark, table) == before and sorted((r["normalized_total_value"], r["completion_state"]) for r in commit.stored(spark, table).collect()) == got
+    again = transcripts.claude_calls(lines.read_lines(spark, folder))
+    store.commit(commit.named(again, "a", "i"))  # calls that come again are the same calls
+    assert sorted((r["normalized_total_value"], r["completion_state"]) for r in commit.stored(store).collect()) == got
 
 
 def test_files_found_and_changed(spark, tmp_path):
