@@ -15,7 +15,7 @@ from meterlight.plans.queries import ALL, EV, IN, KEYS, MODEL, PATH, RATE, ROOT,
 from meterlight.plans.queries import ATTR, DAYS, PROJECTS, TOOLS
 from meterlight.plans.tables import save
 from meterlight.schema import EVENT_KEY, SESSION_KEY
-from meterlight.sources import documents, projection, samples, transcripts
+from meterlight.sources import documents, projection, rollouts, samples, transcripts
 
 NUM = """nm AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s, cents) AS i FROM (SELECT l_orderkey k, CAST(l_linenumber AS BIGINT) n, CAST(l_quantity AS BIGINT) q, l_partkey p, l_suppkey s, CAST(round(l_extendedprice * 100) AS BIGINT) cents, l_returnflag flag, epoch_ms(l_shipdate) day_ms FROM lineitem))"""
 
@@ -69,7 +69,7 @@ def workbuddy_calls(m):
     f"SELECT 's' || k AS session_id, i AS source_revision, u * 7 AS uncached_input_value, u * 3 AS cache_read_value, u AS output_value, u * 11 AS normalized_total_value, 'gpt-test' AS normalized_model, substr({_hash('repository', chr(39) + 'HOST.EXAMPLE/team/p' + chr(39) + ' || (k % 7)')}, 1, 24) AS project_id FROM u WHERE u IS NOT NULL"
 )
 def codex_calls(m):
-    return transcripts.codex_calls(samples.codex(m.numbered)).select("session_id", "source_revision", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value", "normalized_model", "project_id")
+    return rollouts.codex_tables(samples.codex(m.numbered))["events"].select("session_id", "source_revision", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value", "normalized_model", "project_id")
 
 
 @query(

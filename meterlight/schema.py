@@ -4,7 +4,7 @@
 METRICS = ("input_reported", "uncached_input", "cache_read", "cache_write", "output", "reasoning", "tool", "reported_total", "normalized_total")
 
 #: Codes of metric origins, states, kinds, roles and coverages.
-ORIGIN_UNAVAILABLE, ORIGIN_EXACT, ORIGIN_UNKNOWN = 0, 1, 6
+ORIGIN_UNAVAILABLE, ORIGIN_EXACT, ORIGIN_DERIVED, ORIGIN_UNKNOWN = 0, 1, 2, 6
 PARTIAL, COMPLETED, FINALIZED = 0, 1, 2
 KIND_UNKNOWN, KIND_PRIMARY, KIND_SIDE = 0, 1, 2
 ROLE_UNKNOWN, ROLE_MAIN, ROLE_SUBAGENT, ROLE_GUARDIAN, ROLE_INTERNAL = 0, 1, 2, 3, 4
