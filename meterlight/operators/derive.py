@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterlight.functions.identity import nocase
+from meterlight.plans.tables import save
+from meterlight.schema import PRICING_COMPLETE, PRICING_PARTIAL, PRICING_UNPRICED
 
 DAYS = {"today": 1, "7d": 7, "30d": 30, "90d": 90}
 
@@ -74,11 +76,9 @@ def fill(rows: DataFrame, start: date, end: date, step: str, zeros: list[str]) -
 def fill_known(rows: DataFrame, start: date, end: date, step: str, key: str, values: list[str]) -> DataFrame:
     """Every bucket of each key: missing ones are 0 in a value that the key knows in any
     bucket, else null."""
-    spark = rows.sparkSession
-    dates = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end - timedelta(days=1)), F.expr(f"interval 1 {step}"))).alias("bucket"))
     keys = rows.groupBy(key).agg(*[F.max(F.col(v).isNotNull()).alias(f"__{v}") for v in values])
     # As many dates as the range has, for each key.
-    grid = keys.withColumn("bucket", F.explode(F.array(*[F.lit(r["bucket"]) for r in dates.collect()])))
+    grid = keys.withColumn("bucket", F.explode(F.sequence(F.lit(start), F.lit(end - timedelta(days=1)), F.expr(f"interval 1 {step}"))))
     joined = grid.join(rows, [key, "bucket"], "left")
     return joined.withColumns({v: F.coalesce(v, F.when(F.col(f"__{v}"), F.lit(0))) for v in values}).drop(*[f"__{v}" for v in values])
 
@@ -89,9 +89,9 @@ def merge_pricing(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def daily_average(total: Column, start: Column, end: Column, zone: str) -> Column:
-    """A total over the local days that a range of milliseconds touches."""
+    """A total over the local days that a range of milliseconds touches, rounded, halves up."""
     days = F.datediff(local_bucket(end - 1, "day", zone), local_bucket(start, "day", zone)) + 1
-    return F.when(days > 0, F.call_function("floor", total / days).cast("bigint"))
+    return F.when(days > 0, F.call_function("div", total * 2 + days, days * 2))
 
 
 def pinned_day(day: date, start: date, end: date) -> date:
@@ -100,17 +100,30 @@ def pinned_day(day: date, start: date, end: date) -> date:
 
 
 def ordered(projects: DataFrame, by: str) -> DataFrame:
-    """Projects with their place (rank, from 1) by recent, tokens (known ones first) or name."""
+    """Projects with their place (rank, from 1) by recent, tokens (known ones first) or name.
+    They are sorted by ranges; a range's places start behind those of the ranges before it."""
     orders = {"recent": [F.desc_nulls_last("last_ms")], "tokens": [F.desc_nulls_last("normalized_total")], "name": []}
-    place = Window.orderBy(*orders[by], nocase(F.coalesce("path", "project")), "project")
-    return projects.withColumn("rank", F.row_number().over(place))
+    by_range = projects.orderBy(*orders[by], nocase(F.coalesce("path", "project")), "project")
+    numbered = save(by_range.withColumns({"__range": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}), "ordered")
+    # As many rows as there are ranges.
+    sizes = numbered.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__id").alias("__low"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", "__low", before.alias("__before"))
+    ranked = numbered.join(F.broadcast(starts), "__range").withColumn("rank", (F.col("__id") - F.col("__low") + F.col("__before") + 1).cast("int"))
+    return ranked.select(*projects.columns, "rank")
+
+
+#: What is shown without an amount, and without a price.
+NO_AMOUNT, NO_PRICE = "—", "未计价"
 
 
 def shown_price(amount: Column, coverage: Column) -> Column:
-    """An amount as text: two places, four below a cent, a sign that parts are unknown,
-    and nothing where all is."""
-    text = F.when(amount == 0, "$0.00").when(amount < F.lit("0.01").cast("decimal(3,2)"), F.concat(F.lit("$"), F.format_string("%.4f", amount.cast("double")))).otherwise(F.concat(F.lit("$"), F.format_number(amount, 2)))
-    return F.when(coverage == 2, F.concat(F.lit("≥ "), text)).when(coverage == 1, text)
+    """An amount of US dollars as text, by its coverage: two places, four below a cent, halves
+    away from zero; a mark where there is no amount, and another where nothing has a price."""
+    places = lambda n: F.concat(F.lit("$"), F.round(amount, n).cast(f"decimal(38,{n})").cast("string"))
+    text = F.when(amount <= 0, "$0.00").when(amount >= F.lit("0.01").cast("decimal(3,2)"), places(2)).otherwise(places(4))
+    known = coverage.isin(PRICING_COMPLETE, PRICING_PARTIAL) & amount.isNotNull()
+    return F.when(coverage == PRICING_UNPRICED, NO_PRICE).when(known, text).otherwise(NO_AMOUNT)
 
 
 def heat_level(value: Column) -> Column:

@@ -97,7 +97,8 @@ def entities_with_events(events: DataFrame, agent: str) -> DataFrame:
 
 def change_overrides(stored: DataFrame, put: DataFrame | None = None, restore: list[str] | None = None, restore_all: bool = False) -> DataFrame:
     """Custom rates after setting some, going back to built-in ones for some models, or
-    for all. Models are keyed trimmed and lower-cased."""
+    for all. Models are keyed trimmed and lower-cased; of several rates put for a model
+    the last by ``arrival`` counts."""
     key = F.lower(F.trim("model"))
     out = stored.withColumn("model", key)
     if restore_all:
@@ -105,7 +106,7 @@ def change_overrides(stored: DataFrame, put: DataFrame | None = None, restore: l
     if restore:
         out = out.where(~F.col("model").isin([m.strip().lower() for m in restore]))
     if put is not None:
-        new = put.withColumn("model", key).dropDuplicates(["model"])
+        new = latest(put.withColumn("model", key), ["model"], ["arrival"])
         out = out.join(new, "model", "left_anti").unionByName(new.select(*out.columns))
     return out
 

@@ -72,6 +72,38 @@ def codex_calls(m):
     return rollouts.codex_tables(samples.codex(m.numbered))["events"].select("session_id", "source_revision", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value", "normalized_model", "project_id")
 
 
+def _rolled(m):
+    return rollouts.codex_tables(samples.rollouts(m.numbered))
+
+
+ROLLED = f"{NUM}, ro AS (SELECT *, 's' || k AS session_id, 't' || k || '-' || (i - (i - 1) % 3) AS t, day_ms + i * 1000 AS ms, sha256('6:schema=21:codex-logical-call-v2;10:session_id=' || length('s' || k) || ':s' || k || ';4:kind=8:explicit;4:path=13:info.usage_id;5:field=8:usage_id;5:value=' || length('u' || k || '-' || i) || ':u' || k || '-' || i || ';') AS dedup_key FROM nm)"
+
+
+@query(f"WITH {ROLLED} SELECT dedup_key, session_id, CASE WHEN k % 4 = 1 THEN 's' || (k - 1) END AS parent_session_id, sha256(t) AS turn_id, ms AS occurred_ms, i AS source_revision, q * 7 AS uncached_input_value, q * 3 AS cache_read_value, q * 11 AS normalized_total_value FROM ro")
+def codex_events(m):
+    return _rolled(m)["events"].select("dedup_key", "session_id", "parent_session_id", "turn_id", "occurred_ms", "source_revision", "uncached_input_value", "cache_read_value", "normalized_total_value")
+
+
+@query(f"WITH {ROLLED} SELECT session_id, CAST(CASE WHEN k % 4 = 1 THEN 2 ELSE 1 END AS INT) AS session_kind, CASE WHEN k % 4 = 1 THEN 's' || (k - 1) END AS parent_session_id, CAST(k % 4 = 1 AS INT) AS relation_state, CAST(k % 4 = 1 AS INT) AS relation_origin, CAST(CASE WHEN k % 4 = 1 THEN 2 ELSE 1 END AS INT) AS session_role, CASE WHEN k % 4 = 1 THEN sha256('root/w' || k) END AS agent_path_hash, CASE WHEN k % 4 = 1 THEN sha256('w' || k) END AS agent_leaf_hash, '/work/p' || (k % 7) AS project_path, ms AS first_ms FROM ro WHERE i = 1")
+def codex_sessions(m):
+    return _rolled(m)["sessions"].select("session_id", "session_kind", "parent_session_id", "relation_state", "relation_origin", "session_role", "agent_path_hash", "agent_leaf_hash", "project_path", "first_ms")
+
+
+@query(f"WITH {ROLLED} SELECT session_id, sha256(t) AS turn_id, min(ms) FILTER (i % 3 <> 2) AS start_ms, min(ms) FILTER (i % 3 = 0) AS completed_ms, 'Ask ' || min(q) FILTER (i % 3 = 1) || ' please' AS preview, CAST(1 AS BIGINT) AS user_messages FROM ro GROUP BY session_id, t")
+def codex_turns(m):
+    return _rolled(m)["turns"].select("session_id", "turn_id", "start_ms", "completed_ms", "preview", "user_messages")
+
+
+@query(f"WITH {ROLLED} SELECT dedup_key, CAST(0 AS INT) AS ordinal, 'shell' AS tool_name FROM ro WHERE s % 3 > 0 UNION ALL SELECT dedup_key, CASE WHEN s % 3 > 0 THEN 1 ELSE 0 END, 'spawn_agent' FROM ro WHERE s % 5 = 0")
+def codex_tools(m):
+    return _rolled(m)["tools"].select("dedup_key", "ordinal", "tool_name")
+
+
+@query(f"WITH {ROLLED} SELECT session_id AS source_session_id, sha256(t) AS source_turn_id, sha256('c' || k || '-' || i) AS dispatch_id, sha256('w' || k) AS target_hash, CAST(0 AS INT) AS kind, CAST(1 AS INT) AS target_kind, ms AS occurred_ms FROM ro WHERE s % 5 = 0")
+def codex_dispatches(m):
+    return _rolled(m)["dispatches"].select("source_session_id", "source_turn_id", "dispatch_id", "target_hash", "kind", "target_kind", "occurred_ms")
+
+
 @query(
     f"WITH {NUM}, c AS (SELECT k, q, s % 9 AS h, p % 30 AS o, count(*) AS steps, count_if(s % 5 <> 0) AS records FROM nm GROUP BY ALL) SELECT 's' || k AS session_id, q AS uncached_input_value, h AS cache_read_value, o AS output_value, q + h + o AS normalized_total_value, records AS calls FROM c WHERE records > 0"
 )
@@ -270,13 +302,15 @@ def name_sync(m):
 
 
 def _changed(m) -> DataFrame:
-    base = m.rates.withColumn("input_rate", F.lit(9).cast("decimal(18,9)"))
-    stored = base.where("model in ('brand#11', 'brand#22', 'brand#33')")
-    put = base.where("model = 'brand#12'").withColumn("model", F.lit(" MY-model ")).unionByName(base.where("model = 'brand#11'").withColumn("input_rate", F.lit(7).cast("decimal(18,9)")))
+    """Models of the events have custom rates; each third event puts one for its model."""
+    milli = lambda n: (n / 1000).cast("decimal(18,9)").alias("input_rate")
+    known = m.events.where("normalized_model is not null")
+    stored = known.groupBy(F.col("normalized_model").alias("model")).agg(milli(F.count("*") % 1000))
+    put = known.where("source_revision % 3 = 0 and normalized_model > 'brand#3'").select(F.concat(F.lit(" "), F.upper("normalized_model")).alias("model"), milli(F.col("source_revision") % 1000), F.struct("occurred_ms", "dedup_key").alias("arrival"))
     return writes.change_overrides(stored, put, restore=[" Brand#22"])
 
 
-@query("SELECT * FROM (VALUES ('brand#33', 9000), ('my-model', 9000), ('brand#11', 7000)) x(model, input_milli)")
+@query(f"WITH {EV}, k AS (SELECT * FROM ev WHERE normalized_model IS NOT NULL), p AS (SELECT normalized_model AS model, max_by(source_revision % 1000, (occurred_ms, dedup_key)) AS m FROM k WHERE source_revision % 3 = 0 AND normalized_model > 'brand#3' GROUP BY 1), st AS (SELECT normalized_model AS model, count(*) % 1000 AS m FROM k WHERE normalized_model <> 'brand#22' GROUP BY 1) SELECT model, CAST(coalesce(p.m, st.m) AS INT) AS input_milli FROM st FULL JOIN p USING (model)", stored=True)
 def override_changes(m):
     return _changed(m).select("model", (F.col("input_rate") * 1000).cast("int").alias("input_milli"))
 
@@ -353,7 +387,7 @@ def pricing_merge(m):
     return derive.merge_pricing(hours, "agent_id")
 
 
-@query(f"WITH {EV}, a AS (SELECT agent_id, CAST(sum(normalized_total_value) AS BIGINT) AS total, min(occurred_ms) AS f, max(occurred_ms) AS l FROM ev WHERE {IN} GROUP BY 1) SELECT agent_id, total // (date_diff('day', CAST(timezone('{ZONE}', to_timestamp(f // 1000)) AS DATE), CAST(timezone('{ZONE}', to_timestamp(l // 1000)) AS DATE)) + 1) AS average FROM a")
+@query(f"WITH {EV}, a AS (SELECT agent_id, CAST(sum(normalized_total_value) AS BIGINT) AS total, min(occurred_ms) AS f, max(occurred_ms) AS l FROM ev WHERE {IN} GROUP BY 1) SELECT agent_id, (2 * total + d) // (2 * d) AS average FROM (SELECT *, date_diff('day', CAST(timezone('{ZONE}', to_timestamp(f // 1000)) AS DATE), CAST(timezone('{ZONE}', to_timestamp(l // 1000)) AS DATE)) + 1 AS d FROM a)")
 def daily_average(m):
     rows = usage.by(m.events, TWO_YEARS, "agent_id")
     return rows.select("agent_id", derive.daily_average(F.col("normalized_total"), F.col("first_ms"), F.col("last_ms") + 1, ZONE).alias("average"))
@@ -372,7 +406,12 @@ def project_order(m):
     return a.join(b, "project").join(c, "project")
 
 
-@query(f"WITH {EV}, c AS (SELECT dedup_key, pico, pricing_status AS st FROM ev), t AS (SELECT dedup_key, st, CASE WHEN pico = 0 THEN '$0.00' WHEN pico < 10000000000 THEN '$' || printf('%.4f', round(pico / 1000000000000.0, 4)) ELSE '$' || printf('%.2f', round(pico / 1000000000000.0, 2)) END AS x, abs(pico % 100000000 - 50000000) < 2 AS edge FROM c) SELECT count(*) AS n, count(x) FILTER (st = 1) AS shown, count(x) FILTER (st = 2) AS partial FROM t")
+@query(
+    f"WITH {EV}, a AS (SELECT agent_id, {MODEL} AS model, CAST(sum(pico) FILTER (pricing_status > 0) AS HUGEINT) AS x, count(*) FILTER (pricing_status = 1) AS whole, count(*) FILTER (pricing_status = 2) AS part, count(*) FILTER (pricing_status = 0) AS none FROM ev WHERE {IN} GROUP BY 1, 2) "
+    "SELECT agent_id, model, CASE WHEN whole + part = 0 THEN '未计价' WHEN x IS NULL THEN '—' WHEN x <= 0 THEN '$0.00' WHEN x >= 10000000000 THEN '$' || ((x + 5000000000) // 1000000000000) || '.' || printf('%02d', CAST((x + 5000000000) // 10000000000 % 100 AS BIGINT)) ELSE '$0.' || printf('%04d', CAST((x + 50000000) // 100000000 AS BIGINT)) END AS shown FROM a"
+)
 def price_text(m):
-    shown = derive.shown_price(F.col("estimated_cost"), F.col("pricing_status"))
-    return m.events.agg(F.count("*").alias("n"), F.count(F.when(F.col("pricing_status") == 1, shown)).alias("shown"), F.count(F.when(F.col("pricing_status") == 2, shown)).alias("partial"))
+    """Prices of agents and models as they are shown."""
+    rows = TWO_YEARS.apply(m.events).groupBy("agent_id", E.model().alias("model")).agg(*E.pricing())
+    return rows.select("agent_id", "model", derive.shown_price(F.col("cost"), E.pricing_coverage()).alias("shown"))
+

@@ -285,11 +285,14 @@ def price_frozen(m):
     return pricing.frozen(m.raw, m.rates, list(EVENT_KEY), projection.ARRIVAL)
 
 
-@query(f"WITH {EV} SELECT model, CAST(u AS BIGINT) * 100 AS input_milli FROM rate WHERE id < 10 UNION ALL SELECT model, CAST(u AS BIGINT) * 200 FROM rate WHERE id >= 10 UNION ALL SELECT 'alias-11', 100")
+@query(f"WITH {EV} SELECT DISTINCT CASE WHEN x.i = 0 THEN model ELSE 'alias ' || model END AS model, CASE WHEN id < 10 THEN 1 ELSE 2 END * CAST(u AS BIGINT) * 100 AS input_milli FROM ev JOIN rate ON model = normalized_model, range(2) x(i)")
 def price_layering(m):
-    first = m.rates.where("model < 'brand#31'")
-    upstream = m.rates.withColumn("input_rate", (F.col("input_rate") * 2).cast("decimal(18,9)"))
-    aliases = m.rates.limit(1).select(F.lit("alias-11").alias("alias"), F.lit("brand#11").alias("priced_as"))
+    """Rates of the models that events have; later ones from upstream, and an alias of each."""
+    used = m.events.select(F.col("normalized_model").alias("model")).distinct()
+    mine = m.rates.join(used, "model", "left_semi")
+    first = mine.where("model < 'brand#31'")
+    upstream = mine.withColumn("input_rate", (F.col("input_rate") * 2).cast("decimal(18,9)"))
+    aliases = used.where("model is not null").select(F.concat(F.lit("alias "), "model").alias("alias"), F.col("model").alias("priced_as"))
     return pricing.layered(first, upstream, aliases).select("model", (F.col("input_rate") * 1000).cast("bigint").alias("input_milli"))
 
 

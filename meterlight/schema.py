@@ -13,6 +13,7 @@ RELATION_BY_SOURCE_PARENT = 4
 INCLUSION_UNKNOWN, INCLUDED, SEPARATE = 0, 1, 2
 COVERAGE_NO_DATA, COVERAGE_COMPLETE, COVERAGE_PARTIAL, COVERAGE_UNKNOWN, COVERAGE_UNAVAILABLE = 0, 1, 2, 3, 4
 UNPRICED, PRICED, PARTLY_PRICED = 0, 1, 2
+PRICING_NO_DATA, PRICING_COMPLETE, PRICING_PARTIAL, PRICING_UNPRICED = 0, 1, 2, 3
 MISSING_RULE, MISSING_UNCACHED, MISSING_CACHED, MISSING_CACHED_RATE, MISSING_WRITE, MISSING_WRITE_RATE, MISSING_OUTPUT, MISSING_LONG = 1, 2, 4, 8, 16, 32, 64, 128
 DIRECT, SPAWN, FOLLOW_UP, GUARDIAN_INTERVAL, SOURCE_INTERVAL, CONTINUATION = 0, 1, 2, 3, 4, 5
 

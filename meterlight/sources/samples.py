@@ -64,6 +64,27 @@ def codex(rows: DataFrame) -> DataFrame:
     return _lines(first, meta, "-1L").union(_lines(first, context, "0L")).union(_lines(grown, value))
 
 
+def rollouts(rows: DataFrame) -> DataFrame:
+    """A session for each order, every fourth a subagent of the one before; turns of three calls
+    with a prompt, tools before calls, and spawned agents."""
+    at = lambda kind, payload: f"to_json(named_struct('timestamp', {_AT}, 'type', '{kind}', 'payload', {payload}))"
+    turn, sub = "concat('t', k, '-', i - (i - 1) % 3)", "k % 4 = 1"
+    meta = f"named_struct('id', concat('s', k), 'cwd', concat('/work/p', k % 7), 'parent_thread_id', if({sub}, concat('s', k - 1), null), 'agent_path', if({sub}, concat('Root\\\\W', k, '/'), null), 'source', named_struct('subagent', if({sub}, named_struct('depth', 1), null)))"
+    call = "named_struct('type', 'function_call', 'name', {}, 'call_id', concat('c', k, '-', i), 'arguments', to_json(named_struct('task_name', concat('/Root/W', k))))"
+    usage = "named_struct('input_tokens', q * 10, 'cached_input_tokens', q * 3, 'output_tokens', q, 'reasoning_output_tokens', 0L, 'total_tokens', q * 11)"
+    parts = [
+        ("i = 1", 0, at("session_meta", meta)), ("i % 3 = 1", 1, at("turn_context", f"named_struct('turn_id', {turn}, 'model', 'gpt-test')")),
+        ("i % 3 = 1", 2, at("event_msg", "named_struct('type', 'user_message', 'message', concat('  Ask ', q, '\\n please '))")),
+        ("s % 3 > 0", 3, at("response_item", call.format("'shell'"))), ("s % 5 = 0", 4, at("response_item", call.format("'spawn_agent'"))),
+        ("true", 5, at("event_msg", f"named_struct('type', 'token_count', 'info', named_struct('usage_id', concat('u', k, '-', i), 'last_token_usage', {usage}))")),
+        ("i % 3 = 0", 6, at("event_msg", f"named_struct('type', 'task_complete', 'turn_id', {turn})")),
+    ]
+    # One pass over the rows: each makes the lines that it has.
+    lines = ", ".join(f"if({when}, named_struct('line', i * 10L + {place}, 'value', {value}), null)" for when, place, value in parts)
+    made = rows.selectExpr("concat('o', k) entity", f"explode(array({lines})) x").where("x is not null")
+    return made.select("entity", "x.line", "x.value")
+
+
 def kimi(rows: DataFrame) -> DataFrame:
     """A step's end and a usage record for each call, some of them with other counters."""
     usage = lambda more: f"named_struct('inputOther', q, 'inputCacheRead', s % 9, 'inputCacheCreation', 0L, 'output', p % 30 + {more})"

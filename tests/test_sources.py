@@ -58,25 +58,6 @@ def test_streamed_message_is_one_call_and_wrong_counters_are_none(spark):
     assert [(t["preview"], t["user_messages"], t["start_ms"]) for t in turn] == [("Look at [图片]", 1, 1784160000000)]
 
 
-def count(total=None, last=None):
-    names = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
-    info = {k: dict(zip(names, v)) for k, v in (("last_token_usage", last), ("total_token_usage", total)) if v}
-    return {"timestamp": "2026-07-16T00:00:05Z", "type": "event_msg", "payload": {"type": "token_count", "info": info}}
-
-
-def test_cumulative_counters(spark):
-    meta = {"timestamp": "2026-07-16T00:00:00Z", "type": "session_meta", "payload": {"id": "t1", "cwd": "/w/p"}}
-    model = {"timestamp": "2026-07-16T00:00:01Z", "type": "turn_context", "payload": {"model": "openai/gpt-test-2026-07-01"}}
-    run = lambda *rows, first=meta: [(r["input_reported_value"], r["uncached_input_value"], r["cache_read_value"], r["output_value"], r["reasoning_value"], r["normalized_total_value"], r["normalized_model"]) for r in transcripts.codex_calls(file_of(spark, [first, model, *rows])).orderBy("line").collect()]
-    grown = run(count((100, 60, 20, 5, 120), (100, 60, 20, 5, 120)), count((130, 70, 28, 7, 158), (30, 10, 8, 2, 38)), count((130, 70, 28, 7, 158), (30, 10, 8, 2, 38)))
-    assert grown == [(100, 40, 60, 20, 5, 120, "gpt-test"), (30, 20, 10, 8, 2, 38, "gpt-test")]
-    assert run(count(last=(9, 4, 3, 0, 12))) == [(9, 5, 4, 3, 0, 12, "gpt-test")]
-    assert [r[5] for r in run(count((80, 40, 20, 0, 100)), count((12, 5, 4, 0, 16)))] == [100, 16]
-    assert [r[5] for r in run(count((80, 40, 20, 0, 100)), count((90, 40, 25, 0, 115)))] == [100, 15]
-    side = {**meta, "payload": meta["payload"] | {"parent_thread_id": "t0"}}
-    assert [r[5] for r in run(count((80, 40, 20, 0, 100)), count((90, 40, 25, 0, 115)), first=side)] == [15]
-
-
 def test_calls_that_two_records_describe(spark):
     usage = {"inputOther": 10, "inputCacheRead": 4, "inputCacheCreation": 2, "output": 7}
     step = {"type": "context.append_loop_event", "time": 1784160000001, "event": {"type": "step.end", "usage": usage}}
@@ -112,8 +93,11 @@ def test_names_urls_and_times(spark):
 def test_periods_and_prices(spark):
     assert derive.period("all", "UTC", date(2026, 7, 16), 1784073600000)[0] == datetime(2026, 7, 15, tzinfo=UTC)
     assert derive.pinned_day(date(2026, 8, 1), date(2026, 7, 1), date(2026, 7, 11)) == date(2026, 7, 10)
-    rows = spark.createDataFrame([("0", 1), ("0.0012", 1), ("3.456", 2), (None, 3)], "a string, c int").select(derive.shown_price(F.col("a").cast("decimal(38,15)"), F.col("c")).alias("x"))
-    assert [r[0] for r in rows.collect()] == ["$0.00", "$0.0012", "≥ $3.46", None]
+    rows = spark.createDataFrame([("0", 1), ("0.0012", 1), ("3.456", 2), (None, 3), ("1234567.005", 1), (None, 1), (None, 0), ("0.00995", 2)], "a string, c int").select(derive.shown_price(F.col("a").cast("decimal(38,15)"), F.col("c")).alias("x"))
+    assert [r[0] for r in rows.collect()] == ["$0.00", "$0.0012", "$3.46", "未计价", "$1234567.01", "—", "—", "$0.0100"]
+    day = 86_400_000
+    averages = spark.createDataFrame([(5, 0, 2 * day), (3, 0, 2 * day), (7, 0, 3 * day)], "t long, a long, b long").select(derive.daily_average(F.col("t"), F.col("a"), F.col("b"), "UTC"))
+    assert [r[0] for r in averages.collect()] == [3, 2, 2]
 
 
 def test_files_that_arrive_are_merged_once(spark, tmp_path):
