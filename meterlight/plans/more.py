@@ -72,6 +72,19 @@ def codex_calls(m):
     return rollouts.codex_tables(samples.codex(m.numbered))["events"].select("session_id", "source_revision", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value", "normalized_model", "project_id")
 
 
+CHAINS = f"WITH RECURSIVE {NUM}, w AS (SELECT *, 's' || k AS session_id, i - (i - 1) % 4 AS t, day_ms + i AS ms FROM nm), b(k, i) AS (SELECT k, i FROM w WHERE i % 4 = 1 UNION ALL SELECT w.k, w.i FROM b JOIN w ON w.k = b.k AND w.i % 4 <> 1 AND s % 7 > 0 AND b.i = CASE WHEN s % 3 = 0 THEN t ELSE w.i - 1 END), c AS (SELECT *, sha256('workbuddy-turn' || chr(0) || 's' || k || chr(0) || 'w' || k || '-' || t) AS turn_id FROM w)"
+
+
+@query(f"{CHAINS} SELECT session_id, i AS source_revision, CASE WHEN (k, i) IN (SELECT (k, i) FROM b) THEN turn_id END AS turn_id, q * 2 AS normalized_total_value FROM c WHERE i % 4 <> 1")
+def workbuddy_chains(m):
+    return transcripts.workbuddy_calls(samples.chains(m.numbered)).select("session_id", "source_revision", "turn_id", "normalized_total_value")
+
+
+@query(f"{CHAINS} SELECT session_id, turn_id, min(ms) FILTER (i = t) AS start_ms, max(ms) FILTER (i > t AND (k, i) IN (SELECT (k, i) FROM b)) AS completed_ms, 'Do ' || min(q) FILTER (i = t) AS preview FROM c GROUP BY ALL")
+def workbuddy_turns(m):
+    return transcripts.workbuddy_turns(samples.chains(m.numbered)).select("session_id", "turn_id", "start_ms", "completed_ms", "preview")
+
+
 def _rolled(m):
     return rollouts.codex_tables(samples.rollouts(m.numbered))
 

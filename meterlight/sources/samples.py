@@ -50,6 +50,15 @@ def workbuddy(rows: DataFrame) -> DataFrame:
     return _lines(rows, value)
 
 
+def chains(rows: DataFrame) -> DataFrame:
+    """A prompt before every three calls; calls follow the record before them, or the prompt
+    (s % 3 = 0), or none that is there (s % 7 = 0)."""
+    parent = "case when s % 7 = 0 then 'none' when s % 3 = 0 then concat('w', k, '-', i - (i - 1) % 4) else concat('w', k, '-', i - 1) end"
+    value = f"""case when i % 4 = 1 then to_json(named_struct('id', concat('w', k, '-', i), 'timestamp', day_ms + i, 'type', 'message', 'role', 'user', 'sessionId', concat('s', k), 'content', concat(' Do  ', q)))
+      else to_json(named_struct('id', concat('w', k, '-', i), 'parentId', {parent}, 'timestamp', day_ms + i, 'type', 'message', 'role', 'assistant', 'sessionId', concat('s', k), 'providerData', named_struct('model', 'WB-1', 'usage', named_struct('inputTokens', q, 'outputTokens', q, 'totalTokens', q * 2)))) end"""
+    return _lines(rows, value)
+
+
 def codex(rows: DataFrame) -> DataFrame:
     """Cumulative counters that grow by q * 10 and q; they start anew after every fourth call
     of an order, stand still where s % 6 = 0, and the last call's own come where p % 2 = 0."""

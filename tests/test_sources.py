@@ -1,6 +1,7 @@
 """Source parsers on literal lines, the streaming commit, snapshots and queries against SQL."""
 
 import json
+import random
 from datetime import UTC, date, datetime
 from pathlib import Path
 
@@ -58,6 +59,28 @@ def test_streamed_message_is_one_call_and_wrong_counters_are_none(spark):
     assert [(t["preview"], t["user_messages"], t["start_ms"]) for t in turn] == [("Look at [图片]", 1, 1784160000000)]
 
 
+def test_turns_follow_chains_of_parents(spark):
+    """Branches, orphans, long chains and late parents, by brute force."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for entity in ("a", "b"):
+        turn = members = None
+        for line in range(1, 400):
+            id_ = f"{entity}{line}"
+            if rng.random() < 0.02:
+                rows.append((entity, line, id_, None, True))
+                turn, members = id_, {id_}
+            else:
+                parent = rng.choice([f"{entity}{line - 1}"] * 40 + [f"{entity}{max(1, line - rng.randrange(1, 9))}", f"{entity}{line + 1}", None, "none"])
+                rows.append((entity, line, id_ if rng.random() < 0.98 else None, parent, False))
+                if turn and rows[-1][2] and parent in members:
+                    members.add(id_)
+            want.append((entity, line, bool(turn and rows[-1][2] in members)))
+    frame = spark.createDataFrame(rows, "entity string, line long, id string, parent_id string, starts boolean").repartition(3)
+    assert sorted(map(tuple, transcripts.chained(frame).select("entity", "line", "belongs").collect())) == want
+    assert 100 < sum(w[2] for w in want) < len(want)
+
+
 def test_calls_that_two_records_describe(spark):
     usage = {"inputOther": 10, "inputCacheRead": 4, "inputCacheCreation": 2, "output": 7}
     step = {"type": "context.append_loop_event", "time": 1784160000001, "event": {"type": "step.end", "usage": usage}}
