@@ -15,7 +15,7 @@ from meterlight.plans.queries import ALL, EV, IN, KEYS, MODEL, PATH, RATE, ROOT,
 from meterlight.plans.queries import ATTR, DAYS, PROJECTS, TOOLS
 from meterlight.plans.tables import save
 from meterlight.schema import EVENT_KEY, SESSION_KEY
-from meterlight.sources import documents, projection, rollouts, samples, transcripts
+from meterlight.sources import documents, projection, rollouts, samples, transcripts, wires
 
 NUM = """nm AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s, cents) AS i FROM (SELECT l_orderkey k, CAST(l_linenumber AS BIGINT) n, CAST(l_quantity AS BIGINT) q, l_partkey p, l_suppkey s, CAST(round(l_extendedprice * 100) AS BIGINT) cents, l_returnflag flag, epoch_ms(l_shipdate) day_ms FROM lineitem))"""
 
@@ -117,12 +117,33 @@ def codex_dispatches(m):
     return _rolled(m)["dispatches"].select("source_session_id", "source_turn_id", "dispatch_id", "target_hash", "kind", "target_kind", "occurred_ms")
 
 
+KIMI = f"""{NUM}, km AS (SELECT *, 's' || k AS session_id, (i - 1) // 2 AS j, sha256('kimi-code-turn' || chr(0) || 't' || k || '-' || ((i - 1) // 2)) AS turn_id, sha256('kimi-code-step-event' || chr(0) || 's' || k || chr(0) || 'st' || k || '-' || i) AS dedup_key, s % 5 > 0 AS fits, CASE WHEN i = 1 THEN 0 ELSE s % 3 END AS kind, lag(p) OVER (PARTITION BY k ORDER BY i) AS task FROM nm)"""
+
+
+@query(f"WITH {KIMI} SELECT dedup_key, session_id, turn_id, day_ms + i AS occurred_ms, i * 10 + CASE WHEN p % 3 = 0 THEN 7 ELSE 8 END AS source_revision, q AS uncached_input_value, s % 9 AS cache_read_value, p % 30 AS output_value, q + s % 9 + p % 30 AS normalized_total_value, 'kimi-k3-256k' AS normalized_model, CASE WHEN q % 2 = 0 THEN 'kimi-code/k3-256k' END AS route_model_id FROM km WHERE fits")
+def kimi_calls(m):
+    """A step's end and a usage record of equal counters, in either order."""
+    return wires.kimi_tables(samples.kimi(m.numbered))["events"].select("dedup_key", "session_id", "turn_id", "occurred_ms", "source_revision", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value", "normalized_model", "route_model_id")
+
+
 @query(
-    f"WITH {NUM}, c AS (SELECT k, q, s % 9 AS h, p % 30 AS o, count(*) AS steps, count_if(s % 5 <> 0) AS records FROM nm GROUP BY ALL) SELECT 's' || k AS session_id, q AS uncached_input_value, h AS cache_read_value, o AS output_value, q + h + o AS normalized_total_value, records AS calls FROM c WHERE records > 0"
+    f"WITH {KIMI}, o AS (SELECT *, count_if(kind = 0) OVER (PARTITION BY k ORDER BY j) AS g FROM km WHERE i % 2 = 1), r AS (SELECT *, count_if(kind = 2 AND task % 2 > 0) OVER (PARTITION BY k, g ORDER BY j) AS lost, first_value(turn_id) OVER (PARTITION BY k, g ORDER BY j) AS prompt FROM o), e AS (SELECT turn_id, max(day_ms + i) AS ms FROM km WHERE fits GROUP BY 1) "
+    "SELECT session_id, r.turn_id, day_ms + i AS start_ms, e.ms AS completed_ms, CASE WHEN kind = 0 THEN 'Do ' || q END AS preview, CASE WHEN kind = 0 THEN 1 ELSE 0 END AS user_messages, CASE WHEN kind > 0 AND lost = 0 THEN prompt END AS prompt_origin_turn FROM r LEFT JOIN e ON e.turn_id = r.turn_id"
 )
-def kimi_calls(m):
-    out = transcripts.kimi_calls(samples.kimi(m.numbered))
-    return out.groupBy("session_id", "uncached_input_value", "cache_read_value", "output_value", "normalized_total_value").agg(F.count("*").alias("calls"))
+def kimi_turns(m):
+    """Turns that tasks and background work open go back to the prompt that began them."""
+    return wires.kimi_tables(samples.kimi(m.numbered))["turns"].select("session_id", "turn_id", "start_ms", "completed_ms", "preview", "user_messages", "prompt_origin_turn")
+
+
+@query(f"WITH {KIMI} SELECT dedup_key, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT & 2147483647 AS INT) AS ordinal, 'Read' AS tool_name FROM (SELECT *, sha256('tc' || k || '-' || i) AS h FROM km) WHERE fits AND s % 3 > 0")
+def kimi_tools(m):
+    return wires.kimi_tables(samples.kimi(m.numbered))["tools"].select("dedup_key", "ordinal", "tool_name")
+
+
+@query(f"WITH {KIMI} SELECT session_id, CASE WHEN bool_and(fits) THEN 0 ELSE 2 END AS compatibility, least(min(day_ms + i), min(day_ms) FILTER (i = 1)) AS first_ms, max(day_ms + i) AS last_ms FROM km GROUP BY 1")
+def kimi_sessions(m):
+    """A session with a usage record that fits no step can't be used for now."""
+    return wires.kimi_tables(samples.kimi(m.numbered))["sessions"].select("session_id", "compatibility", "first_ms", "last_ms")
 
 
 @query(

@@ -95,12 +95,23 @@ def rollouts(rows: DataFrame) -> DataFrame:
 
 
 def kimi(rows: DataFrame) -> DataFrame:
-    """A step's end and a usage record for each call, some of them with other counters."""
-    usage = lambda more: f"named_struct('inputOther', q, 'inputCacheRead', s % 9, 'inputCacheCreation', 0L, 'output', p % 30 + {more})"
-    prompt = "to_json(named_struct('type', 'turn.prompt', 'sessionId', concat('s', k), 'time', day_ms))"
-    step = f"to_json(named_struct('type', 'context.append_loop_event', 'time', day_ms + i, 'event', named_struct('type', 'step.end', 'usage', {usage(0)})))"
-    record = f"to_json(named_struct('type', 'usage.record', 'time', day_ms + i, 'usage', {usage('if(s % 5 = 0, 1000, 0)')}))"
-    return _lines(rows.where("i = 1"), prompt, "0L").union(_lines(rows, step, "i * 2 - 1")).union(_lines(rows, record, "i * 2"))
+    """A session for each order and a turn for every two calls, which a prompt, background work or
+    the notice of a task opens; some tasks were never started, some usage records differ."""
+    at = "day_ms + i"
+    line = lambda kind, fields: f"to_json(named_struct('type', '{kind}', 'time', {at}, {fields}))"
+    event = lambda kind, fields: line("context.append_loop_event", f"'event', named_struct('type', '{kind}', 'turnId', concat('t', k, '-', (i - 1) div 2), {fields})")
+    usage = lambda more: f"'usage', named_struct('inputOther', q, 'inputCacheRead', s % 9, 'inputCacheCreation', 0L, 'output', p % 30 + {more})"
+    step, record = "concat('st', k, '-', i)", line("usage.record", f"'usageScope', 'turn', 'model', 'kimi-code/k3-256k', {usage('if(s % 5 = 0, 1000, 0)')}")
+    prompt, task = line("turn.prompt", "'origin', 'user', 'input', array(named_struct('type', 'text', 'text', concat(' Do  ', q)))"), "concat('k', k, '-', i {})"
+    notice = line("turn.prompt", f"'origin', named_struct('kind', if(s % 3 = 1, 'background_task', 'task'), 'taskId', {task.format('- 1')})")
+    parts = [
+        ("i = 1", 0, "to_json(named_struct('type', 'metadata', 'protocol_version', '1.5', 'created_at', day_ms))"), ("i = 1 or (i % 2 = 1 and s % 3 = 0)", 1, prompt), ("i > 1 and i % 2 = 1 and s % 3 > 0", 1, notice),
+        ("true", 2, event("step.begin", f"'uuid', {step}")), ("q % 2 = 0", 3, line("llm.request", "'model', 'K3-256k'")), ("p % 2 = 0", 4, line("task.started", f"'info', named_struct('taskId', {task.format('')})")),
+        ("s % 3 > 0", 5, event("tool.call", f"'stepUuid', {step}, 'toolCallId', concat('tc', k, '-', i), 'name', 'Read'")), ("p % 3 = 0", 6, record), ("true", 7, event("step.end", f"'uuid', {step}, 'messageId', 'm', {usage(0)}")), ("p % 3 > 0", 8, record),
+    ]
+    lines = ", ".join(f"if({when}, named_struct('line', i * 10L + {place}, 'value', {value}), null)" for when, place, value in parts)
+    made = rows.selectExpr("concat('o', k) entity", "concat('session_s', k, '/agents/main/wire.jsonl') path", f"explode(array({lines})) x").where("x is not null")
+    return made.select("entity", "path", "x.line", "x.value")
 
 
 def gemini(rows: DataFrame) -> DataFrame:

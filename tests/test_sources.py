@@ -17,7 +17,7 @@ from meterlight.streaming import commit
 from meterlight.streaming.store import Store
 
 SF = "/root/testdata/sf0.001"
-SMALL = ["claude_calls", "codex_calls", "kimi_calls", "gemini_calls", "canonical_model", "repo_identity", "cursor_upsert", "model_rename", "cycle_cut", "subtree_models"]
+SMALL = ["claude_calls", "codex_calls", "gemini_calls", "canonical_model", "repo_identity", "cursor_upsert", "model_rename", "cycle_cut", "subtree_models"]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -81,15 +81,6 @@ def test_turns_follow_chains_of_parents(spark):
     assert 100 < sum(w[2] for w in want) < len(want)
 
 
-def test_calls_that_two_records_describe(spark):
-    usage = {"inputOther": 10, "inputCacheRead": 4, "inputCacheCreation": 2, "output": 7}
-    step = {"type": "context.append_loop_event", "time": 1784160000001, "event": {"type": "step.end", "usage": usage}}
-    record = {"type": "usage.record", "time": 1784160000002, "usage": usage}
-    rows = [{"type": "turn.prompt", "time": 1784160000000}, {"type": "llm.request", "model": "Kimi-K3-256k"}, record, step, step, {"type": "usage.record", "time": 1784160000002, "usage": usage | {"output": 8}}]
-    got = transcripts.kimi_calls(file_of(spark, rows)).collect()
-    assert [(r["input_reported_value"], r["normalized_total_value"], r["normalized_model"]) for r in got] == [(16, 23, "kimi-k3-256k")]
-
-
 def test_documents_with_totals_by_model(spark):
     message = {"id": "a", "timestamp": "2026-07-16T00:00:00Z", "model": "G", "tokens": {"promptTokenCount": 100, "candidatesTokenCount": 20, "cachedContentTokenCount": 40, "thoughtsTokenCount": 5, "toolUsePromptTokenCount": 7, "totalTokenCount": 125}}
     document = {"sessionId": "s", "messages": [message, message | {"id": "b", "tokens": message["tokens"] | {"totalTokenCount": 126}}]}
