@@ -78,6 +78,15 @@ def reconcile_projects(rows: DataFrame) -> DataFrame:
     return joined.withColumns({"project_id": F.when(fits, F.substring("__one", 1, 24)).otherwise(F.col("project_id")), "repository_hash": F.when(fits, F.col("__one")).otherwise(F.col("repository_hash"))}).drop("__path", "__one")
 
 
+def reconcile_touched(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """``rows`` reconciled at the paths that ``touched`` (project_path) names alone, ASCII case
+    ignored; as ``reconcile_projects`` of all rows where the others were reconciled before."""
+    paths = touched.where("project_path is not null").select(nocase(F.col("project_path")).alias("__at")).distinct()
+    paths = F.broadcast(paths) if paths.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS else paths
+    on = nocase(F.col("project_path")) == F.col("__at")
+    return rows.join(paths, on, "left_anti").unionByName(reconcile_projects(rows.join(paths, on, "left_semi")).select(*rows.columns))
+
+
 def preserve_prices(staged: DataFrame, stored: DataFrame) -> DataFrame:
     """``staged`` with the price of a stored priced event: of the same dedup key,
     else of the same entity and event id, else of the same entity and revision."""
