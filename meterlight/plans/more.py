@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlight.functions import expressions as E
 from meterlight.functions import identity, records
-from meterlight.operators import derive, merge, pricing, usage, writes
+from meterlight.operators import attribution, derive, merge, pricing, usage, writes
 from meterlight.plans.queries import ALL, EV, IN, KEYS, MODEL, PATH, RATE, ROOT, SPAN, TREE, TURNS, TWO_YEARS, U, ZONE, _attributed, _tree, query
 from meterlight.plans.queries import ATTR, DAYS, PROJECTS, TOOLS
 from meterlight.plans.tables import save
@@ -335,6 +335,17 @@ def name_sync(m):
     return merge.sync_names(old, names)
 
 
+@query(f"WITH {EV}, {TREE}, {ATTR} SELECT * FROM attr", stored=True)
+def turn_attribution_update(m):
+    """Every seventh order's sessions were roots before, and have their parents now."""
+    rows, links = save(m.turns, "turn_rows"), save(m.sessions, "session_rows")
+    sent = save(projection.dispatches(rows, links), "sent")
+    moved = F.expr("cast(substring(session_id, 2) as bigint) % 7 = 0")
+    old = links.withColumn("parent_session_id", F.when(~moved, F.col("parent_session_id"))).withColumn("relation_state", F.when(moved, 0).otherwise(F.col("relation_state")))
+    stored = save(attribution.attribute(rows, old, sent), "stored")
+    return attribution.reattribute(stored, rows, links, sent, links.where(moved).select(*SESSION_KEY))
+
+
 def _changed(m) -> DataFrame:
     """Models of the events have custom rates; each third event puts one for its model."""
     milli = lambda n: (n / 1000).cast("decimal(18,9)").alias("input_rate")
