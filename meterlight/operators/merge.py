@@ -30,20 +30,29 @@ def merge_sessions(observed: DataFrame) -> DataFrame:
     """Session rows from observations with arrival: side kind stays, unknown codes
     never win, two different confirmed parents or an uncertain relation end as
     uncertain without a parent, names go by their own time, first and last seen by
-    minimum and maximum."""
+    minimum and maximum; entity, replay state and parser are those last seen. Merged rows may be
+    merged again as the first to arrive."""
     confirmed = F.when(F.col("relation_state") == RELATION_CONFIRMED, F.col("parent_session_id"))
     conflict = (F.min(confirmed) != F.max(confirmed)) | (F.max("relation_state") == RELATION_UNCERTAIN)
     disputed = F.coalesce(conflict, F.lit(False))
+    differ = F.coalesce((F.min(confirmed) != F.max(confirmed)).cast("int"), F.lit(0))
+    has = set(observed.columns)
+    if "forked_from_session_id" in has:
+        differ = F.greatest(differ, F.coalesce((F.min("forked_from_session_id") != F.max("forked_from_session_id")).cast("int"), F.lit(0)))
+    seen = F.struct("last_ms", "arrival")
     return observed.groupBy(*SESSION_KEY).agg(
         F.max("session_kind").alias("session_kind"),
         F.when(disputed, None).otherwise(F.max(confirmed)).alias("parent_session_id"),
         F.when(disputed, RELATION_UNCERTAIN).when(F.max(confirmed).isNotNull(), RELATION_CONFIRMED).otherwise(RELATION_NONE).alias("relation_state"),
-        F.greatest(F.max("compatibility"), F.coalesce((F.min(confirmed) != F.max(confirmed)).cast("int"), F.lit(0))).alias("compatibility"),
+        F.greatest(F.max("compatibility"), differ).alias("compatibility"),
+        *[F.when(disputed, 0).otherwise(F.coalesce(F.max_by("relation_origin", F.when(confirmed.isNotNull(), F.col("arrival"))), F.lit(0))).alias("relation_origin") for _ in range("relation_origin" in has)],
         F.coalesce(F.max_by("session_role", F.when(F.col("session_role") != 0, F.col("arrival"))), F.lit(0)).alias("session_role"),
         _last("project_id").alias("project_id"),
-        *[F.when(F.min(c) == F.max(c), F.max(c)).alias(c) for c in ("forked_from_session_id",) if c in observed.columns],
-        *[_last(c).alias(c) for c in ("agent_path_hash", "agent_leaf_hash", "repository_hash") if c in observed.columns],
+        *[F.when(F.min(c) == F.max(c), F.max(c)).alias(c) for c in ("forked_from_session_id",) if c in has],
+        *[_last(c).alias(c) for c in ("agent_path_hash", "agent_leaf_hash", "project_path", "repository_hash") if c in has],
+        *[F.max_by(c, seen).alias(c) for c in ("source_entity_id", "replay_state", "parser_version") if c in has],
         F.max_by("session_name", F.when(F.col("session_name").isNotNull(), F.struct("name_ms", "arrival"))).alias("session_name"),
+        F.max(F.when(F.col("session_name").isNotNull(), F.col("name_ms"))).alias("name_ms"),
         F.min("first_ms").alias("first_ms"),
         F.max("last_ms").alias("last_ms"),
     )
@@ -66,16 +75,26 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
 
 
+def path_repositories(rows: DataFrame) -> DataFrame:
+    """(__path, __one) of the paths, ASCII case ignored, that have exactly one valid hash."""
+    valid = F.when(F.col("repository_hash").rlike("^[0-9a-f]{64}$"), F.col("repository_hash"))
+    seen = rows.where(valid.isNotNull() & F.col("project_path").isNotNull())
+    return seen.groupBy(nocase(F.col("project_path")).alias("__path")).agg(F.min(valid).alias("__one"), F.max(valid).alias("__two")).where("__one = __two").select("__path", "__one")
+
+
+def give_repositories(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the hash that ``known`` has for their path, and its first 24 digits as
+    project_id, where they have no hash or the same."""
+    joined = rows.join(known, nocase(F.col("project_path")) == F.col("__path"), "left")
+    fits = F.col("__one").isNotNull() & (F.col("repository_hash").isNull() | (F.col("repository_hash") == F.col("__one")))
+    return joined.withColumns({"project_id": F.when(fits, F.substring("__one", 1, 24)).otherwise(F.col("project_id")), "repository_hash": F.when(fits, F.col("__one")).otherwise(F.col("repository_hash"))}).drop("__path", "__one")
+
+
 def reconcile_projects(rows: DataFrame) -> DataFrame:
     """``rows`` (project_path, repository_hash, project_id) where a path, ASCII case
     ignored, with exactly one valid hash gives it, and its first 24 digits as id, to
     rows that have none or the same."""
-    path = nocase(F.col("project_path"))
-    valid = F.when(F.col("repository_hash").rlike("^[0-9a-f]{64}$"), F.col("repository_hash"))
-    known = rows.where(valid.isNotNull() & F.col("project_path").isNotNull()).groupBy(path.alias("__path")).agg(F.min(valid).alias("__one"), F.max(valid).alias("__two")).where("__one = __two")
-    joined = rows.join(known.select("__path", "__one"), path == F.col("__path"), "left")
-    fits = F.col("__one").isNotNull() & (F.col("repository_hash").isNull() | (F.col("repository_hash") == F.col("__one")))
-    return joined.withColumns({"project_id": F.when(fits, F.substring("__one", 1, 24)).otherwise(F.col("project_id")), "repository_hash": F.when(fits, F.col("__one")).otherwise(F.col("repository_hash"))}).drop("__path", "__one")
+    return give_repositories(rows, path_repositories(rows))
 
 
 def reconcile_touched(rows: DataFrame, touched: DataFrame) -> DataFrame:

@@ -40,21 +40,23 @@ def upsert_cursors(reads: DataFrame) -> DataFrame:
     )
 
 
-def staged_turns(stored: DataFrame, staged: DataFrame) -> DataFrame:
-    """Turns after a stage: those of entities that the stage read again are gone, and
-    of the rest the stage's preview wins, with the earliest start and the latest end."""
-    kept = stored.join(staged.select(*ENTITY).distinct(), ENTITY, "left_anti").withColumn("__new", F.lit(0))
+def staged_turns(stored: DataFrame, staged: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Turns after a stage: those of entities that the stage read again (``read``, or those
+    with staged turns) are gone, and of the rest the stage's preview and origin win, with
+    the earliest start and the latest end."""
+    kept = stored.join((staged if read is None else read).select(*ENTITY).distinct(), ENTITY, "left_anti").withColumn("__new", F.lit(0))
     both = kept.unionByName(staged.select(*stored.columns).withColumn("__new", F.lit(1)))
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__new")))
     return both.groupBy(*TURN_KEY).agg(
         F.max_by("source_entity_id", "__new").alias("source_entity_id"), F.min("start_ms").alias("start_ms"), F.max("completed_ms").alias("completed_ms"),
-        newest("preview").alias("preview"), F.max("user_messages").alias("user_messages"),
+        newest("preview").alias("preview"), F.max("user_messages").alias("user_messages"), *[newest(c).alias(c) for c in ("prompt_origin_turn",) if c in stored.columns],
     )
 
 
-def staged_children(stored: DataFrame, staged: DataFrame, key: list[str]) -> DataFrame:
-    """Tools of staged events, or dispatches of staged entities, in place of stored ones."""
-    return stored.join(staged.select(*key).distinct(), key, "left_anti").unionByName(staged.select(*stored.columns))
+def staged_children(stored: DataFrame, staged: DataFrame, key: list[str], of: DataFrame | None = None) -> DataFrame:
+    """Tools of staged events, or dispatches of staged entities, in place of stored ones; ``of``
+    holds the staged events or entities, where some have no children now."""
+    return stored.join((staged if of is None else of).select(*key).distinct(), key, "left_anti").unionByName(staged.select(*stored.columns))
 
 
 def reset_instance(rows: DataFrame, agent: str, instance: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlight.functions import expressions as E
 from meterlight.functions import identity, records
-from meterlight.operators import attribution, derive, merge, pricing, usage, writes
+from meterlight.operators import attribution, derive, merge, pricing, rescan, usage, writes
 from meterlight.plans.queries import ALL, EV, IN, KEYS, MODEL, PATH, RATE, ROOT, SPAN, TREE, TURNS, TWO_YEARS, U, ZONE, _attributed, _tree, query
 from meterlight.plans.queries import ATTR, DAYS, PROJECTS, TOOLS
 from meterlight.plans.tables import save
@@ -327,6 +327,44 @@ def staged_tools(m):
     return writes.staged_children(m.tools, staged, list(EVENT_KEY))
 
 
+_RESCANNED = "(agent_id = 'agent-1' OR source_instance_id = 'agent-2:0')"
+
+
+@query(
+    f"WITH {EV}, {TURNS}, st AS (SELECT * REPLACE (CASE WHEN k % 2 = 0 THEN dedup_key ELSE 'new:' || dedup_key END AS dedup_key, CASE WHEN agent_id = 'agent-1' THEN agent_id ELSE 'agent-9' END AS agent_id) FROM ev WHERE k % 3 = 0 AND p % 4 > 0 AND {_RESCANNED}), old AS (SELECT * FROM ev WHERE source_instance_id <> 'agent-2:0'), "
+    "hit AS (SELECT x.source_instance_id, x.dedup_key, e.pico, CASE WHEN e.dedup_key = x.dedup_key THEN 0 WHEN e.event_id = x.event_id THEN 1 ELSE 2 END AS rank, e.dedup_key AS src FROM st x JOIN old e ON e.source_instance_id = x.source_instance_id AND e.pricing_status <> 0 AND (e.dedup_key = x.dedup_key OR e.source_entity_id = x.source_entity_id AND (e.event_id = x.event_id OR e.p = x.p)) QUALIFY row_number() OVER (PARTITION BY x.source_instance_id, x.dedup_key ORDER BY rank, src) = 1), "
+    "kept AS (SELECT * FROM old e WHERE NOT EXISTS (SELECT 1 FROM st x WHERE x.source_instance_id = e.source_instance_id AND (x.dedup_key = e.dedup_key OR x.source_entity_id = e.source_entity_id AND (x.event_id = e.event_id OR x.p = e.p))) AND NOT (agent_id = 'agent-1' AND k // 64 % 2 = 0 AND p <= k // 64 % 7 * 300 AND NOT EXISTS (SELECT 1 FROM st x WHERE x.source_entity_id = e.source_entity_id AND x.p = e.p))) "
+    "SELECT 'event' AS name, st.agent_id, st.source_instance_id, st.dedup_key AS key, h.pico AS estimated_cost, st.p % 2 AS n FROM st LEFT JOIN hit h ON h.source_instance_id = st.source_instance_id AND h.dedup_key = st.dedup_key UNION ALL SELECT 'event', agent_id, source_instance_id, dedup_key, pico, s % 4 FROM kept "
+    f"UNION ALL SELECT 'turn', CASE WHEN agent_id = 'agent-1' THEN agent_id ELSE 'agent-9' END, source_instance_id, turn_id, NULL, 1 FROM turn WHERE {_RESCANNED} AND o % 3 = 0 AND o // 64 % 2 = 0 UNION ALL SELECT 'turn', agent_id, source_instance_id, turn_id, NULL, 0 FROM turn WHERE source_instance_id <> 'agent-2:0' AND NOT (agent_id = 'agent-1' AND o // 64 % 2 = 0)",
+    stored=True,
+)
+def staged_rescan(m):
+    """The instances of one agent, and one that goes over to another agent, are read again; their
+    cursors hold the even entities, and every second staged event has a tool."""
+    block, of = "cast(substring(source_entity_id, 2) as bigint)", "cast(substring(session_id, 2) as bigint)"
+    none = lambda **more: {c: F.lit(None).cast(kind) for c, kind in more.items()}
+    lacks = {"project_path": "string", "repository_hash": "string", "project_id": "string", "session_name": "string", "name_ms": "bigint"}
+    entity = {"source_entity_id": F.expr(f"concat('e', {of} div 64)")}
+    events = m.events.withColumns(none(repository_hash="string"))
+    sessions = m.sessions.withColumns(entity | none(**lacks) | {"compatibility": F.lit(0), "first_ms": F.lit(0), "last_ms": F.lit(0)})
+    turns = save(m.turns.withColumns(entity), "turn_rows")
+    sent = projection.dispatches(turns, m.sessions).withColumns({"dispatch_id": F.sha2(F.concat_ws("/", *m.dispatches.columns), 256), "source_entity_id": F.expr("concat('e', cast(substring(source_session_id, 2) as bigint) div 64)")})
+    cursors = events.select(*writes.ENTITY).distinct().withColumns({"position": F.lit(1), "high_water": F.expr(f"{block} % 7 * 300")})
+    instances = events.select("agent_id", "source_instance_id").distinct().selectExpr("*", "2 compatibility_level", "'old' compatibility_code", "true requires_rescan", "'v1' accepted_parser_version")
+    made = save(attribution.attribute(turns, sessions, sent), "made")
+    stored = {"instances": instances, "events": events, "tools": m.tools, "sessions": sessions, "turns": turns, "dispatches": sent, "attributions": made, "cursors": cursors}
+    moved = F.expr("if(agent_id = 'agent-1', agent_id, 'agent-9')")
+    read = {t: rows.where(_RESCANNED).withColumn("agent_id", moved) for t, rows in stored.items()}
+    bare = read["events"].where(f"{of} % 3 = 0 and source_revision % 4 > 0").withColumns({"dedup_key": F.expr(f"if({of} % 2 = 0, dedup_key, concat('new:', dedup_key))"), "estimated_cost": F.lit(None).cast("decimal(38,15)"), "pricing_status": F.lit(0), "pricing_missing": F.lit(1)})
+    again = read["turns"].where(f"{of} % 3 = 0 and {block} % 2 = 0").withColumn("preview", F.lit("read again"))
+    staged = read | {"events": bare, "tools": bare.where("source_revision % 2 = 1").select(*EVENT_KEY, F.lit(1).alias("ordinal"), F.lit("staged").alias("tool_name")), "turns": again, "cursors": read["cursors"].where(f"{block} % 2 = 0")}
+    wanted = read["instances"].selectExpr("agent_id", "source_instance_id", "0 compatibility_level", "cast(null as string) compatibility_code", "'v2' parser_version")
+    out = rescan.rescan(stored, staged, wanted)
+    tools = out["tools"].groupBy(*EVENT_KEY).agg(F.count("*").alias("n"))
+    told = out["events"].join(tools, list(EVENT_KEY), "left").select(F.lit("event").alias("name"), "agent_id", "source_instance_id", F.col("dedup_key").alias("key"), "estimated_cost", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return told.unionByName(out["turns"].select(F.lit("turn").alias("name"), "agent_id", "source_instance_id", F.col("turn_id").alias("key"), F.lit(None).cast("decimal(38,15)").alias("estimated_cost"), F.expr("cast(preview = 'read again' as bigint)").alias("n")))
+
+
 @query(f"WITH {EV}, names AS (SELECT {KEYS}, max('n' || (p % 10)) AS name, max(p) AS ms FROM ev WHERE p % 3 = 0 GROUP BY ALL), old AS (SELECT {KEYS}, CASE WHEN min(k) % 4 > 0 THEN min(k) % 2000 END AS ms FROM ev GROUP BY ALL) SELECT {KEYS}, CASE WHEN n.ms IS NOT NULL AND (old.ms IS NULL OR old.ms <= n.ms) THEN name ELSE 'old' END AS session_name, CASE WHEN n.ms IS NOT NULL AND (old.ms IS NULL OR old.ms <= n.ms) THEN n.ms ELSE old.ms END AS name_ms FROM old LEFT JOIN names n USING ({KEYS})", stored=True)
 def name_sync(m):
     names = m.events.where("source_revision % 3 = 0").groupBy(*SESSION_KEY).agg(F.max(F.expr("concat('n', source_revision % 10)")).alias("session_name"), F.max("source_revision").alias("name_ms"))

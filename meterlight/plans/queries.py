@@ -314,7 +314,7 @@ def _observed(m):
     f"SELECT {KEYS}, session_kind, CASE WHEN a <> b THEN NULL ELSE a END AS parent_session_id, CASE WHEN a <> b THEN 2 WHEN a IS NULL THEN 0 ELSE 1 END AS relation_state, CASE WHEN a <> b THEN 1 ELSE c END AS compatibility, coalesce(r, 0) AS session_role, project_id, session_name, first_ms, last_ms FROM g"
 )
 def session_merge(m):
-    return merge.merge_sessions(_observed(m))
+    return merge.merge_sessions(_observed(m)).drop("name_ms")
 
 
 @query(
