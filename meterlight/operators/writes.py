@@ -217,7 +217,7 @@ def catalog_rates(market: DataFrame, fallback: DataFrame | None = None) -> DataF
     )
 
 
-def voted_aliases(evidence: DataFrame, least: int = 2) -> DataFrame:
+def voted_aliases(evidence: DataFrame, least: int = 1) -> DataFrame:
     """(alias, canonical) of aliases for which ``least`` or more sources name one and the
     same model, and none another."""
     votes = evidence.select(F.lower(F.trim("alias")).alias("alias"), F.lower(F.trim("canonical")).alias("canonical"), "source").distinct()

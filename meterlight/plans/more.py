@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlight.functions import expressions as E
 from meterlight.functions import identity, records
-from meterlight.operators import attribution, derive, merge, pricing, rescan, usage, writes
+from meterlight.operators import attribution, catalogs, derive, merge, pricing, rescan, usage, writes
 from meterlight.plans.queries import ALL, EV, IN, KEYS, MODEL, PATH, RATE, ROOT, SPAN, TREE, TURNS, TWO_YEARS, U, ZONE, _attributed, _tree, query
 from meterlight.plans.queries import ATTR, DAYS, PROJECTS, TOOLS
 from meterlight.plans.tables import save
@@ -429,7 +429,44 @@ def catalog_build(m):
 @query(f"WITH {EV}, v AS (SELECT DISTINCT 'a' || (p % 200) AS alias, 'm' || (p % CASE WHEN p % 200 < 50 THEN 3 ELSE 200 END) AS canonical, 's' || (s % 4) AS source FROM ev) SELECT alias, min(canonical) AS canonical FROM v GROUP BY 1 HAVING count(DISTINCT canonical) = 1 AND count(DISTINCT source) >= 2")
 def alias_votes(m):
     p = "source_revision"
-    return writes.voted_aliases(m.events.selectExpr(f"concat('A', {p} % 200) alias", f"concat('m', {p} % if({p} % 200 < 50, 3, 200)) canonical", "concat('s', arrival_s % 4) source"))
+    return writes.voted_aliases(m.events.selectExpr(f"concat('A', {p} % 200) alias", f"concat('m', {p} % if({p} % 200 < 50, 3, 200)) canonical", "concat('s', arrival_s % 4) source"), least=2)
+
+
+@query(
+    "WITH f AS (SELECT p_partkey AS k, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part), one AS (SELECT 'gpt-' || (k // 2) AS model, CASE WHEN k % 2 = 0 THEN 'openai' ELSE 'azure' END AS origin, c, k % 5 AS t FROM f WHERE k % 3 > 0), "
+    "a AS (SELECT model, 'models.dev:' || origin || '/' || model AS rule_id, c AS input_cents, CASE WHEN t = 1 THEN 1000 END AS long_threshold FROM one WHERE t IN (0, 1, 4) QUALIFY row_number() OVER (PARTITION BY model ORDER BY origin DESC) = 1), "
+    "two AS (SELECT 'gpt-' || (k // 2) AS model, CASE WHEN k % 2 = 0 THEN '' ELSE 'openai/' END AS route, c + 1 AS c, k % 5 AS t FROM f WHERE k % 7 > 0 AND k % 6 <> 5), "
+    "b AS (SELECT model, 'litellm:' || route || model, c, CASE WHEN t = 4 THEN 128000 END FROM two WHERE model NOT IN (SELECT model FROM one) OR model IN (SELECT model FROM one WHERE origin = 'openai') QUALIFY row_number() OVER (PARTITION BY model ORDER BY route) = 1) "
+    "SELECT * FROM a UNION ALL SELECT * FROM b WHERE model NOT IN (SELECT model FROM a)"
+)
+def ranked_rules(m):
+    """Two sources price parts: models of two parts each, some known to one source alone, under
+    other origins, in other modes or with tiers that don't fit."""
+    spark = m.orders.sparkSession
+    parts = spark.read.parquet(m.path + "/part.parquet").selectExpr("p_partkey k", "cast(round(p_retailprice * 100) as bigint) c", "concat('gpt-', p_partkey div 2) model")
+    money = lambda cents: f"cast(cast({cents} as decimal(18,9)) / 100 as decimal(18,9))"
+    none = "cast(null as decimal(18,9))"
+    tier = lambda i, o: f"named_struct('kind', 'context', 'threshold', 1000L, 'input', {money(i)}, 'output', {money(o)}, 'cached', {none}, 'write', {none})"
+    first = parts.where("k % 3 > 0").selectExpr("concat(if(k % 2 = 0, 'OpenAI/', 'azure/'), model) key", f"{money('c')} input", f"{none} cached", f"{none} write", f"{money('c * 3')} output",
+        f"case k % 5 when 1 then array({tier('c * 2', 'c * 6')}) when 2 then array({tier('c', 'c * 3')}, {tier('c * 2', 'c * 6')}) when 3 then array({tier('c - 1', 'c * 3')}) end tiers")
+    low = f"named_struct('threshold', 128000L, 'input', {money('c + 1')} * 2, 'output', {money('c * 3')} * 2)"
+    second = parts.selectExpr("concat(if(k % 2 = 0, '', 'openai/'), model) key", "if(k % 7 = 0, 'other', 'openai') provider", "if(k % 6 = 5, 'embedding', 'chat') mode", f"{money('c + 1')} input", f"{none} cached", f"{none} write", f"{money('c * 3')} output", f"case when k % 5 = 4 then array({low}) end tiers")
+    rules = catalogs.market_rules(save(first, "first"), save(second, "second"), spark.createDataFrame([], "alias string, canonical string"))["rules"]
+    return rules.select("model", "rule_id", F.round(F.col("input_rate") * 100).cast("bigint").alias("input_cents"), "long_threshold")
+
+
+@query(
+    f"WITH {EV}, v AS (SELECT DISTINCT 'a' || (p % 200) AS alias, 'm' || CASE WHEN p % 200 < 50 THEN k % 3 WHEN p % 200 < 120 AND k % 2 = 1 THEN 7 WHEN p % 200 < 120 THEN 6 ELSE p % 200 END AS canonical, 's' || (s % 4) AS source, k % 2 AS h, k % 3 AS g FROM ev WHERE k % 2 = 0 OR p % 200 > 60), "
+    "o AS (SELECT alias, min(canonical) AS c, string_agg(DISTINCT source, ',' ORDER BY source) AS src FROM v WHERE h = 0 GROUP BY 1 HAVING count(DISTINCT canonical) = 1), n AS (SELECT alias, min(canonical) AS c, string_agg(DISTINCT source, ',' ORDER BY source) AS src FROM v WHERE h = 1 OR g = 1 AND alias > 'a12' GROUP BY 1 HAVING count(DISTINCT canonical) = 1) "
+    "SELECT alias, CASE WHEN o.alias IS NULL THEN 'added' WHEN n.alias IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'retargeted' ELSE 'evidence' END AS change FROM (SELECT alias FROM o UNION SELECT alias FROM n) LEFT JOIN o USING (alias) LEFT JOIN n USING (alias) WHERE o.c IS DISTINCT FROM n.c OR o.src IS DISTINCT FROM n.src"
+)
+def alias_update(m):
+    """Aliases that the events of even orders and those of later ones give, and how they changed."""
+    p, k = "source_revision", "cast(substring(session_id, 2) as bigint)"
+    canonical = f"concat('m', case when {p} % 200 < 50 then {k} % 3 when {p} % 200 < 120 and {k} % 2 = 1 then 7 when {p} % 200 < 120 then 6 else {p} % 200 end)"
+    said = m.events.where(f"{k} % 2 = 0 or {p} % 200 > 60").selectExpr(f"concat('A', {p} % 200) alias", f"{canonical} canonical", "concat('s', arrival_s % 4) source", f"{k} % 2 h", f"{k} % 3 g")
+    old, new = (catalogs.alias_catalog(said.where(x))[0] for x in ("h = 0", "h = 1 or (g = 1 and alias > 'A12')"))
+    return catalogs.alias_changes(old, new)
 
 
 # --- details and figures -------------------------------------------------------------
