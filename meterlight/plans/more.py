@@ -40,13 +40,31 @@ def claude_calls(m):
 
 
 @query(
-    f"WITH {NUM}, t AS (SELECT 's' || k AS session_id, {_hash('claude-code-prompt', chr(39) + 'p' + chr(39) + ' || k || ' + chr(39) + '-' + chr(39) + ' || (i - (i - 1) % 3)')} AS turn_id, i, q, s, day_ms + i * 1000 AS ts FROM nm) "
-    "SELECT session_id, turn_id, max(ts) FILTER (i % 3 = 1) AS start_ms, max(ts) FILTER (s % 11 <> 0 AND (q % 4 <> 0 OR s % 5 = 0)) AS completed_ms, max('Say ' || q || ' please') FILTER (i % 3 = 1 AND s % 3 <> 0) AS preview, count_if(i % 3 = 1 AND s % 3 <> 0) AS user_messages FROM t GROUP BY 1, 2"
+    f"WITH {NUM}, t AS (SELECT 's' || k AS session_id, {_hash('claude-code-prompt', chr(39) + 'p' + chr(39) + ' || k || ' + chr(39) + '-' + chr(39) + ' || (i - (i - 1) % 3)')} AS turn_id, i, q, p, s, day_ms + i * 1000 AS ts FROM nm) "
+    "SELECT session_id, turn_id, max(ts) FILTER (i % 3 = 1) AS start_ms, max(ts) FILTER (s % 11 <> 0 AND p % 13 <> 0 AND p % 17 <> 0 AND (q % 4 <> 0 OR s % 5 = 0)) AS completed_ms, max('Say ' || q || ' please') FILTER (i % 3 = 1 AND s % 3 <> 0) AS preview, count_if(i % 3 = 1 AND s % 3 <> 0) AS user_messages FROM t GROUP BY 1, 2"
 )
 def claude_turns(m):
+    """Turns end with the last call that counts: lines without whole counters end none."""
     return transcripts.claude_turns(samples.claude(m.numbered)).drop("entity")
 
 
+@query(
+    f"WITH {NUM} SELECT 's' || k AS session_id, CASE WHEN bool_or(s % 11 <> 0 AND (p % 13 = 0 OR p % 17 = 0)) THEN 2 ELSE 1 END AS compatibility, CASE WHEN bool_or(s % 11 <> 0) THEN substr(sha256(upper('/work/p' || (k % 7))), 1, 24) END AS project_id, "
+    "min(day_ms + i * 1000) FILTER (i % 3 = 1 OR s % 11 <> 0) AS first_ms, max(day_ms + i * 1000) FILTER (i % 3 = 1 OR s % 11 <> 0) AS last_ms FROM nm GROUP BY k"
+)
+def claude_sessions(m):
+    """A session is partial until its project is known, and incompatible if a call can't be used."""
+    return transcripts.claude_tables(samples.claude(m.numbered))["sessions"].select("session_id", "compatibility", "project_id", "first_ms", "last_ms")
+
+
+@query(
+    f"WITH {NUM} SELECT {_hash('claude-code-message', chr(39) + 'm' + chr(39) + ' || k || ' + chr(39) + '-' + chr(39) + ' || (i // 2)')} AS dedup_key, arg_max('Tool' || (p % 5), i) AS tool_name, max(i * 2) AS source_revision FROM nm WHERE s % 11 <> 0 AND p % 13 <> 0 AND p % 17 <> 0 GROUP BY k, i // 2, s % 2"
+)
+def claude_tools(m):
+    """Tools of the lines of one message come together, of each id the last."""
+    return transcripts.claude_tables(samples.claude(m.numbered))["tools"].select("dedup_key", "tool_name", "source_revision")
+
+
 @query(
     f"WITH {NUM} SELECT {_hash('qwen-code-call', chr(39) + 's' + chr(39) + ' || k', chr(39) + 'a' + chr(39) + ' || k || ' + chr(39) + '-' + chr(39) + ' || i')} AS dedup_key, {_hash('qwen-code-turn', chr(39) + 's' + chr(39) + ' || k', chr(39) + 'u' + chr(39) + ' || k || ' + chr(39) + '-' + chr(39) + ' || (i - (i - 1) % 4)')} AS turn_id, "
     "CASE WHEN s % 7 = 0 THEN 'unknown' ELSE 'qwen-x' END AS raw_model, q * 2 AS uncached_input_value, q AS cache_read_value, q AS output_value, s % 5 AS reasoning_value, q * 4 + s % 5 AS normalized_total_value FROM nm WHERE i % 4 <> 1 AND s % 9 <> 0 AND p % 10 <> 0"

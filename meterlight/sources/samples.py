@@ -24,11 +24,11 @@ _AT = "date_format(timestamp_millis(day_ms + i * 1000), \"yyyy-MM-dd'T'HH:mm:ss.
 
 
 def claude(rows: DataFrame) -> DataFrame:
-    """A prompt before every third call; the session is named in the first line alone. Some
+    """A prompt before every third call, and a tool in each call's line; the session is named in the first line alone. Some
     lines are not JSON, lack a counter or have one that isn't whole."""
     prompt = f"""to_json(named_struct('type', 'user', 'sessionId', if(i = 1, concat('s', k), null), 'timestamp', {_AT}, 'promptId', concat('p', k, '-', i), 'isSidechain', s % 3 = 0,
       'message', named_struct('role', 'user', 'content', concat(' Say  ', q, '\\n\\t please '))))"""
-    call = f"""case when s % 11 = 0 then '{{broken' else regexp_replace(to_json(named_struct('type', 'assistant', 'timestamp', {_AT}, 'cwd', concat('/work/p', k % 7, '/'), 'message', named_struct('role', 'assistant', 'id', concat('m', k, '-', i div 2), 'model', ' Model-A', 'stop_reason', if(s % 5 = 0, 'end', null),
+    call = f"""case when s % 11 = 0 then '{{broken' else regexp_replace(to_json(named_struct('type', 'assistant', 'timestamp', {_AT}, 'cwd', concat('/work/p', k % 7, '/'), 'message', named_struct('role', 'assistant', 'id', concat('m', k, '-', i div 2), 'model', ' Model-A', 'stop_reason', if(s % 5 = 0, 'end', null), 'content', array(named_struct('type', 'tool_use', 'id', concat('t', k, '-', s % 2), 'name', concat('Tool', p % 5))),
       'usage', named_struct('input_tokens', q * 10, 'cache_read_input_tokens', s, 'cache_creation_input_tokens', if(p % 13 = 0, null, p % 7), 'output_tokens', if(q % 4 = 0, 0, q))))), if(p % 17 = 0, '"input_tokens":([0-9]+)', 'no such'), '"input_tokens":$1.5') end"""
     users = _lines(rows.where("i % 3 = 1"), prompt, "i * 2 - 1")
     return users.union(_lines(rows, call, "i * 2"))

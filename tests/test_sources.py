@@ -59,6 +59,32 @@ def test_streamed_message_is_one_call_and_wrong_counters_are_none(spark):
     assert [(t["preview"], t["user_messages"], t["start_ms"]) for t in turn] == [("Look at [图片]", 1, 1784160000000)]
 
 
+def test_claude_sessions_turns_and_tools(spark):
+    usage = {"input_tokens": 10, "cache_read_input_tokens": 4, "cache_creation_input_tokens": 2, "output_tokens": 7}
+    at = lambda n: f"2026-07-16T00:00:{n:02}Z"
+    user = lambda n, id_, content, **more: {"type": "user", "timestamp": at(n), "promptId": id_, "message": {"role": "user", "content": content}} | more
+    tool = lambda id_, name: {"type": "tool_use", "id": id_, "name": name}
+    reply = lambda n, content, of="m1", **more: assistant(usage | more.pop("usage", {}), id=of, content=content, **more) | {"timestamp": at(n)}
+    rows = [
+        user(0, "p1", "First", sessionId="s", cwd="/work/p"), reply(1, [tool("t1", "Bash"), tool("t1", "Again"), tool(None, "x"), "text"], usage={"output_tokens": 0}), reply(2, [tool("t2", "Read"), tool("t1", "Bash2")]),
+        user(3, "p1", [{"type": "tool_result", "content": "x"}, {"type": "text", "text": "more"}]), user(4, "p1", [{"type": "text", "text": " "}]), user(5, "p1", "aside", isSidechain=True), user(6, "p2", [{"type": "image"}], cwd="relative"),
+        reply(7, [tool("t3", "None")], of="m2", usage={"input_tokens": None}), user(8, "p1", "Second time"), {"type": "ai-title", "timestamp": at(9), "aiTitle": " A  title "}, {"type": "ai-title", "timestamp": at(10), "aiTitle": ""},
+        reply(11, "done", of="m3"), {"type": "summary", "timestamp": at(12)}, "{broken",
+    ]
+    made = transcripts.claude_tables(file_of(spark, rows))
+    base = 1784160000000
+    turns = {r["preview"]: (r["start_ms"] - base, r["completed_ms"] and r["completed_ms"] - base, r["user_messages"]) for r in made["turns"].collect()}
+    assert turns == {"First": (0, 11000, 1), "[图片]": (6000, None, 1)}
+    session = made["sessions"].collect()[0]
+    assert (session["session_id"], session["compatibility"], session["project_path"], session["session_name"], session["name_ms"] - base, session["first_ms"] - base, session["last_ms"] - base) == ("s", 2, "/work/p", "A title", 9000, 0, 11000)
+    assert sorted((r["tool_name"], r["source_revision"]) for r in made["tools"].collect()) == [("Bash2", 3), ("Read", 3)]
+    assert made["events"].count() == 3 and {r["project_path"] for r in made["events"].collect()} == {"/work/p"}
+    bare = transcripts.claude_tables(file_of(spark, [{"type": "user", "sessionId": "s", "message": {"role": "user", "content": "no prompt id"}}, assistant(usage, model="<synthetic>", error="x") | {"sessionId": "s"}]))
+    assert [(r["compatibility"], r["project_id"]) for r in bare["sessions"].collect()] == [(1, None)] and not bare["turns"].count()
+    assert not any(t.count() for t in transcripts.claude_tables(file_of(spark, rows).limit(0)).values())
+    assert [tuple(r) for r in transcripts.claude_titles(file_of(spark, rows)).collect()] == [("s", "A title", base + 9000)]
+
+
 def test_turns_follow_chains_of_parents(spark):
     """Branches, orphans, long chains and late parents, by brute force."""
     rng = random.Random(6)
