@@ -62,16 +62,38 @@ def source_models(rows: DataFrame, source_aliases: DataFrame, *, alias: str = "r
     return rows.join(F.broadcast(one), on, "left").drop("__agent", "__alias")
 
 
-def display_model(provider: Column, message: Column, route: Column, display: Column, aliased: Column) -> Column:
-    """(raw, name, origin) of a call that names its model up to four ways: a display
-    name counts as confirmed (2) if it equals the raw or route name, as it is or in
-    letters and digits alone, or has an alias; else it is a pair with the route (1)."""
-    raw = F.coalesce(provider, message, route, display)
-    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]", ""))
-    same = (plain_name(display) == plain_name(raw)) | (plain_name(display) == plain_name(route)) | (bare(display) == bare(raw)) | (bare(display) == bare(route))
-    name = F.when(aliased.isNotNull(), aliased).when(F.coalesce(same, F.lit(False)), plain_name(raw)).otherwise(plain_name(raw))
-    origin = F.when(aliased.isNotNull() | F.coalesce(same, F.lit(False)), 2).when(route.isNotNull() & (plain_name(route) != plain_name(raw)), 1).otherwise(0)
-    return F.struct(raw.alias("raw"), name.alias("name"), origin.alias("origin"))
+#: How a call's model is known.
+MODEL_LOGGED, MODEL_OF_PROVIDER, MODEL_ALIASED, MODEL_UNKNOWN = 0, 1, 2, 5
+
+
+def _bare(name: Column) -> Column:
+    """A name's letters and digits alone, null if it has none."""
+    return F.nullif(F.regexp_replace(name, r"[^\p{L}\p{Nd}]", ""), F.lit(""))
+
+
+def shown_models(rows: DataFrame, source_aliases: DataFrame, global_aliases: DataFrame, market_aliases: DataFrame, *, agent: str) -> DataFrame:
+    """``rows`` of an agent's calls (raw_model, route_model_id, display_name, provider_id) with
+    normalized_model and resolution_origin. A display name, or the route where both have the same letters and digits,
+    stands for the raw name if it is, as written or in letters and digits, the raw name or the route, or
+    the agent's own alias of one of them. What is left is named by ``canonical_models``. Nulls and
+    blanks name nothing; rows that have no name keep null and an unknown origin."""
+    out = rows.withColumns({"agent_id": F.lit(agent), "__raw": plain_name(F.col("raw_model")), "__route": plain_name(F.col("route_model_id")), "__shown": plain_name(F.col("display_name"))})
+    for name in ("__raw", "__route"):
+        out = source_models(out, source_aliases, alias=name).withColumnRenamed("source_model", f"{name}_alias")
+    bare = {n: _bare(F.col(n)) for n in ("__raw", "__route", "__shown")}
+    meant = F.when(F.col("__shown").isNotNull() & F.col("__route").isNotNull() & bare["__shown"].eqNullSafe(bare["__route"]), F.col("__route")).otherwise(F.col("__shown"))
+    out = out.withColumn("__meant", meant)
+    known = F.lit(False)
+    for other in ("__raw", "__route", "__raw_alias", "__route_alias"):
+        known |= F.coalesce(F.col(other) == F.col("__meant"), F.lit(False))
+    for other in ("__raw", "__route"):
+        known |= F.coalesce(bare[other] == _bare(F.col("__meant")), F.lit(False))
+    out = out.withColumn("__name", F.when(known & F.col("__raw").isNotNull(), F.col("__meant")).otherwise(F.col("__raw")))
+    aliased = F.col("__name") != F.col("__raw")
+    origin = F.when(F.col("__raw").isNull(), MODEL_UNKNOWN).when(aliased, MODEL_ALIASED).when(plain_name(F.col("provider_id")).isNotNull(), MODEL_OF_PROVIDER).otherwise(MODEL_LOGGED)
+    out = out.withColumn("resolution_origin", origin).withColumnRenamed("__name", "__own")
+    named = canonical_models(out, global_aliases, market_aliases, model="__own")
+    return named.withColumn("normalized_model", F.col("canonical_model")).drop("canonical_model", "__own", "__raw", "__route", "__shown", "__meant", "__raw_alias", "__route_alias")
 
 
 def dated_model(model: Column) -> Column:

@@ -251,6 +251,25 @@ def canonical_model(m):
     return identity.canonical_models(rows, *aliases).select("k", "i", "canonical_model")
 
 
+@query(
+    f"WITH {NUM} SELECT k, i, CASE WHEN s % 11 = 0 THEN NULL WHEN p % 5 = 0 THEN 'wb 1' WHEN p % 5 = 1 THEN 'route-' || (k % 4) WHEN p % 5 = 2 THEN CASE WHEN k % 4 = 0 THEN 'shown zero' ELSE 'raw-x' END WHEN p % 5 = 3 THEN 'named' ELSE 'raw-x' END AS normalized_model, "
+    "CASE WHEN s % 11 = 0 THEN 5 WHEN p % 5 < 2 OR p % 5 = 2 AND k % 4 = 0 THEN 2 WHEN q % 2 = 0 THEN 1 ELSE 0 END AS resolution_origin FROM nm"
+)
+def shown_model(m):
+    """By p: a display name that is the raw one in other signs, that is the route in other signs, that the agent's alias of
+    a route confirms or doesn't, that is the market's alias, and that nothing confirms."""
+    spark = m.numbered.sparkSession
+    named = lambda *rows, more="": spark.createDataFrame(list(rows), more + "alias string, canonical string")
+    none = "when s % 11 = 0 then null"
+    rows = m.numbered.selectExpr(
+        "k", "i", f"case {none} when p % 5 = 0 then ' WB-1' when p % 5 = 3 then 'Alias-N' else 'Raw-X' end raw_model", f"case {none} when p % 5 in (1, 2) then concat('Route-', k % 4) end route_model_id",
+        f"case {none} when p % 5 = 0 then 'wb 1' when p % 5 = 1 then concat('ROUTE ', k % 4) when p % 5 = 2 then 'Shown Zero' when p % 5 = 4 then 'Else' end display_name", "if(q % 2 = 0, 'P', null) provider_id",
+    )
+    own = named(("WorkBuddy", "route-0", "shown zero"), ("other", "route-1", "shown zero"), more="agent_id string, ")
+    found = identity.shown_models(rows, own, named(("alias-n", "named")), named(("nothing", "nobody")), agent="workbuddy")
+    return found.select("k", "i", "normalized_model", "resolution_origin")
+
+
 @query(
     f"WITH x AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'HOST.EXAMPLE/Team/p' || (o_orderkey % 9) WHEN 1 THEN 'HOST.EXAMPLE:8443/Team/p' || (o_orderkey % 9) WHEN 2 THEN 'HOST.EXAMPLE/Team/p' || (o_orderkey % 9) WHEN 3 THEN 'HOST.EXAMPLE/Team/p' || (o_orderkey % 9) END AS repo, '/work/P' || (o_orderkey % 5) AS path FROM orders) "
     f"SELECT k, CASE WHEN k % 7 > 0 THEN path END AS path, CASE WHEN k % 7 > 0 AND repo IS NOT NULL THEN {_hash('repository', 'repo')} END AS repository_hash, CASE WHEN k % 7 > 0 THEN substr(CASE WHEN repo IS NOT NULL THEN {_hash('repository', 'repo')} ELSE sha256(upper(path)) END, 1, 24) END AS id FROM x"

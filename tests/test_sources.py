@@ -187,3 +187,29 @@ def test_backup_and_restore(spark, tmp_path):
     spark.range(4).selectExpr("id", "id x").write.mode("overwrite").parquet(f"{folder}/a")
     with pytest.raises(ValueError):
         writes.restore(spark, folder)
+
+
+def test_shown_models_count_where_something_confirms_them(spark):
+    names = "n int, raw_model string, route_model_id string, display_name string, provider_id string"
+    rows = [
+        (0, "Raw", None, None, None), (1, "Raw", None, None, "P"), (2, "Raw", None, "raw", None), (3, "GLM-5.1", None, "glm 5.1", None), (4, "x", "GLM-5.1", "glm 5.1", "P"), (5, "x", "r1", "Shown", None), (6, "x", "r2", "Shown", None),
+        (7, None, None, None, "P"), (8, " ", None, "Shown", None), (9, "x", "--", "..", None), (10, "r1", None, "Shown", None), (11, "x", "other", "Else", None),
+    ]
+    own = spark.createDataFrame([(" WorkBuddy", "R1", "shown"), ("else", "r2", "shown")], "agent_id string, alias string, canonical string")
+    none = spark.createDataFrame([], "alias string, canonical string")
+    got = identity.shown_models(spark.createDataFrame(rows, names), own, none, none, agent="workbuddy").orderBy("n").collect()
+    assert [(r["normalized_model"], r["resolution_origin"]) for r in got] == [
+        ("raw", 0), ("raw", 1), ("raw", 0), ("glm 5.1", 2), ("glm-5.1", 2), ("shown", 2), ("x", 0), (None, 5), (None, 5), ("--", 2), ("shown", 2), ("x", 0),
+    ]
+
+
+def test_qoder_prompts_and_their_ends(spark):
+    at = lambda n: f"2026-07-16T00:00:{n:02}Z"
+    rows = [
+        {"type": "user", "uuid": "u1", "sessionId": "s", "timestamp": at(5), "message": {"content": " One\n two "}}, {"type": "assistant", "timestamp": at(7)}, {"type": "assistant", "timestamp": at(6)},
+        {"type": "user", "uuid": "u2", "timestamp": at(9), "message": {"content": [{"type": "image"}]}}, {"type": "assistant", "timestamp": at(8)}, "{broken",
+    ]
+    got = transcripts.qoder_cli_turns(file_of(spark, [{"type": "assistant", "timestamp": at(1)}, *rows])).orderBy("start_ms").collect()
+    base = 1784160000000
+    assert [(r["session_id"], r["preview"], r["start_ms"] - base, r["completed_ms"] and r["completed_ms"] - base) for r in got] == [("s", "One two", 5000, 7000), ("s", "[图片]", 9000, None)]
+    assert not transcripts.qoder_cli_turns(file_of(spark, rows).limit(0)).count()
