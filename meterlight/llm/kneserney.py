@@ -1,11 +1,13 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams of trusted text.
 
-The model is fitted on a bounded sample of documents that labels call good; all
-others that they call good set the thresholds. Trigram counts, continuation
-counts, counts of counts and context sums are grouped tables; joined, they give
-the discounted probability of every n-gram and the weight of every context. The
-table of them, bounded like the sample, is broadcast as sorted arrays, and tasks
-join it with the n-grams of their whole texts.
+Half of the documents that labels call good are counted, whole; all others that they
+call good set the thresholds. Trigram counts, continuation counts, counts of counts
+and context sums are grouped tables. The loss of a word, -log p(c | a, b), is a sum of
+terms that depend on one n-gram each: a term of c, one of b, c and one of a, b, c where
+these were counted, and one of each context that was. So the model is one table of
+n-grams and terms, and a text's loss the sum of the terms of its n-grams: both sides
+are dealt into shards by the n-gram's key, looked up there, and summed by text. No model
+passes through the driver.
 
 A few insults hardly move a perplexity, so toxic documents are told by marked
 words: those found in more of the documents that labels call toxic than their
@@ -21,10 +23,8 @@ from pyspark.sql import types as T
 from meterlight.llm import scratch
 from meterlight.llm.words import ALNUM, NONSPACE, U64, WORD_BASE, Powers, groups, hashes, mix, split
 
-#: The sample for fitting: about so many bytes of a language, and of all (many languages get less each).
-SAMPLE_BYTES, TOTAL_BYTES = 3 << 20, 96 << 20
-#: Characters of a text that are counted in fitting; texts are judged whole.
-LONGEST = 1 << 18
+#: Rows of the model's table in a shard, and bytes of texts whose n-grams are sorted and sent together.
+SHARD_ROWS, CHUNK_BYTES = 1_000_000, 4 << 20
 #: Ranks that an approximate quantile tells apart.
 RANKS = 100_000
 #: Documents whose perplexity is above this quantile of held-out trusted ones are rejected.
@@ -77,8 +77,9 @@ def before(c, owner):
     return a, b
 
 
-def _discounted(counts: DataFrame, context: list[str], word: str) -> tuple[DataFrame, DataFrame]:
-    """(language, context, word, p) and (language, context, weight) from counts n."""
+def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``counts`` n with value, the discounted share of the context's sum, and weight, what
+    the context leaves to lower orders; and (language, context, weight)."""
     n = F.col("n")
     of = counts.groupBy("language").agg(*[F.count_if(n == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
@@ -87,30 +88,44 @@ def _discounted(counts: DataFrame, context: list[str], word: str) -> tuple[DataF
     off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
     taken = counts.join(F.broadcast(of.select("language", *d)), "language").withColumn("off", off)  # a row for each language
     sums = taken.groupBy("language", *context).agg(F.sum("n").alias("all"), F.sum("off").alias("taken"))
-    probable = taken.join(sums.drop("taken"), ["language", *context]).select("language", *context, word, ((n - F.col("off")) / F.col("all")).alias("value"))
-    return probable, sums.select("language", *context, (F.col("taken") / F.col("all")).alias("value"))
+    weights = sums.select("language", *context, "all", (F.col("taken") / F.col("all")).alias("weight"))
+    near = F.broadcast(weights) if not context else weights
+    valued = taken.join(near, ["language", *context]).withColumn("value", (n - F.col("off")) / F.col("all"))
+    return valued.select(*counts.columns, "value", "weight"), weights.drop("all")
 
 
-def fit(sample: DataFrame) -> dict:
-    """The model of (language, text): arrays of keys and values by kind of n-gram."""
-    import numpy as np
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model of (language, text): (language, a, b, c, order, whole, last), the terms of
+    n-grams, and (language, base), the loss of a word that was not counted, by language.
 
-    tri = scratch.save(trigrams(sample).groupBy("language", "a", "b", "c").agg(F.count("*").alias("n")), "trigrams")
+    ``whole`` is the term of an n-gram that another word follows, as whose context it serves
+    too; ``last`` that of one that ends a text. Rows of the same n-gram add up.
+    """
+    tri = scratch.save(trigrams(docs).groupBy("language", "a", "b", "c").agg(F.count("*").alias("n")), "trigrams")
     bi = scratch.save(tri.groupBy("language", "b", "c").agg(F.count("*").alias("n")), "bigrams")
     uni = scratch.save(bi.groupBy("language", "c").agg(F.count("*").alias("n")), "unigrams")
-    model = {}
-    for order, (counts, context) in {3: (tri, ["a", "b"]), 2: (bi, ["b"]), 1: (uni, [])}.items():
-        for kind, table in zip("pw", _discounted(counts, context, "c")):
-            names = [x for x in table.columns if x in ("a", "b", "c")]
-            got = table.toArrow()
-            columns = [got.column(x).to_numpy() for x in names]
-            key, value = keys(got.column("language").to_numpy(), *columns), got.column("value").to_numpy().astype(np.float32)
-            order_ = np.argsort(key)
-            model[f"{kind}{order}"] = (key[order_], value[order_])
-    model["words"] = dict(uni.groupBy("language").agg(F.count("*")).collect())
-    for table in (tri, bi, uni):
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    rows = lambda df, order, a, b, c, whole, last: df.select("language", a.alias("a"), b.alias("b"), c.alias("c"), F.lit(order).alias("order"), whole.cast("float").alias("whole"), last.cast("float").alias("last"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+
+    words = uni.groupBy("language").agg((F.count("*") + 1.0).alias("words"))
+    one, left = _discounted(uni, [])
+    bases = scratch.save(words.join(left, "language").select("language", (-F.log(F.col("weight") / F.col("words"))).alias("base")), "bases")
+    one = scratch.save(one.join(F.broadcast(bases), "language").select("language", "c", (F.col("value") + F.exp(-F.col("base"))).alias("p"), "base"), "p1")
+    two, left2 = _discounted(bi, ["b"])
+    p2 = F.col("value") + F.col("weight") * F.col("p")
+    term = lambda p: -F.log(p) + F.log("p") + F.log("weight")  # noqa: E731  what a counted n-gram adds to its context's weight and the lower order
+    two = scratch.save(two.join(one.select("language", "c", "p"), ["language", "c"]).select("language", "b", "c", p2.alias("p"), term(p2).alias("term")), "p2")
+    three, left3 = _discounted(tri, ["a", "b"])
+    three = three.join(two.select("language", "b", "c", "p"), ["language", "b", "c"])
+    lost = -F.log("weight")
+    model = rows(one, 1, none, none, c, -F.log("p") - F.col("base"), -F.log("p") - F.col("base"))
+    model = model.unionAll(rows(left2, 1, none, none, b, lost, zero)).unionAll(rows(two, 2, none, b, c, F.col("term"), F.col("term")))
+    model = model.unionAll(rows(left3, 2, none, a, b, lost, zero)).unionAll(rows(three, 3, a, b, c, term(p2), term(p2)))
+    model = scratch.save(model, "model")
+    for table in (tri, bi, uni, one, two):
         scratch.discard(table)
-    return model
+    return model, bases
 
 
 def marked(sample: DataFrame) -> tuple:
@@ -156,64 +171,205 @@ def toxicity(data, offsets, known, cache):
     return np.bincount(own, weights[at], minlength=len(offsets) - 1)
 
 
-class Scorer:
-    def __init__(self, model: dict) -> None:
-        self.model = model
+def packed(values) -> bytes:
+    """Integers, byte plane by byte plane, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, kind):
+    import numpy as np
+    import pyarrow as pa
+
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * width, "zstd"), np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+def dealt(key, shards: int):
+    """Where the sorted keys of each shard begin, and their end; a shard is a range of keys."""
+    import numpy as np
+
+    return np.searchsorted(key, np.array([-(-(k << 64) // shards) for k in range(shards)], U64)).tolist() + [len(key)]
 
-    def look(self, kind: str, key, default: float):
+
+class Terms:
+    """Rows of a model's table, sorted by key."""
+
+    def __init__(self, key, whole, last) -> None:
+        import numpy as np
+
+        self.key, at = np.unique(key, return_inverse=True)
+        self.values = np.stack([np.bincount(at, x, len(self.key)) for x in (whole, last)]) if len(key) else np.zeros((2, 0))
+
+    def look(self, key, last):
+        """The terms of n-grams, 0 where there are none; last: 1 for those that end a text."""
         import numpy as np
 
-        known, value = self.model[kind]
-        if not len(known):
-            return np.full(len(key), default)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        return np.where(known[at] == key, value[at], default)
+        if not len(self.key):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.values[last, at], 0.0)
+
+
+def model_keys(batch):
+    import numpy as np
+
+    language, a, b, c, order = (batch.column(x).to_numpy() for x in ("language", "a", "b", "c", "order"))
+    key = keys(language, c)
+    for n, words in ((2, (b, c)), (3, (a, b, c))):
+        own = order == n
+        key[own] = keys(language[own], *[w[own] for w in words])
+    return key, *(batch.column(x).to_numpy().astype(np.float64) for x in ("whole", "last"))
+
+
+class Scorer:
+    """The losses of words one by one, by a small model held whole; ``losses`` sums them by text."""
+
+    def __init__(self, model: tuple[DataFrame, DataFrame]) -> None:
+        self.terms, self.bases = Terms(*model_keys(model[0].toArrow())), dict(model[1].collect())
 
     def losses(self, language, a, b, c):
         """Negative log-probability of each word c after a, b."""
         import numpy as np
 
-        listed = sorted(self.model["words"].items()) or [(0, 0)]
-        names, sizes = np.array([k for k, _ in listed], np.int64), np.array([n + 1.0 for _, n in listed])
-        at = np.minimum(np.searchsorted(names, language), len(names) - 1)
-        words = np.where(names[at] == language, sizes[at], 1.0)
-        p = self.look("p1", keys(language, c), 0.0) + self.look("w1", keys(language), 1.0) / words
-        weight = self.look("w2", keys(language, b), -1.0)
-        seen = np.flatnonzero(weight >= 0)
-        p[seen] = self.look("p2", keys(language[seen], b[seen], c[seen]), 0.0) + weight[seen] * p[seen]
-        weight = self.look("w3", keys(language[seen], a[seen], b[seen]), -1.0)
-        deep = seen[weight >= 0]
-        p[deep] = self.look("p3", keys(language[deep], a[deep], b[deep], c[deep]), 0.0) + weight[weight >= 0] * p[deep]
-        return -np.log(np.maximum(p, 1e-12))
-
-
-def losses(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` (with __language: a number) with __words, __loss, summed
-    over the words (0 in a language without a model), and __toxicity."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__loss", T.DoubleType()), T.StructField("__toxicity", T.DoubleType())])
+        out = np.array([self.bases.get(int(x), 0.0) for x in language])
+        out += self.terms.look(keys(language, c), 1) + self.terms.look(keys(language, b, c), 1) + self.terms.look(keys(language, a, b, c), 1)
+        for context in ((b,), (a, b)):
+            key = keys(language, *context)
+            out += self.terms.look(key, 0) - self.terms.look(key, 1)
+        return out
+
+
+def losses(docs: DataFrame, model: tuple[DataFrame, DataFrame], toxic: tuple) -> DataFrame:
+    """(key, __language, __words, __loss, __toxicity) of each row (key, __language: a number, text):
+    losses are summed over the words (0 in a language without a model)."""
+    terms, bases = model
+    shards = max(6, -(-terms.count() // SHARD_ROWS))
+    marks = docs.sparkSession.sparkContext.broadcast(toxic)
+    # kind 0: terms of the model, 1: n-grams of a chunk of texts, 2: the texts of a chunk.
+    sent = "shard int, kind int, chunk long, n long, keys binary, more binary"
+    names = [x.split()[0] for x in sent.split(", ")]
+
+    def row(shard, kind, chunk, n, keys_, more):
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, kind, chunk, n, keys_, more), kinds)], names=names)
 
-    def run(batches):
+    def slices(kind, chunk, key, more):
         import numpy as np
-        import pyarrow as pa
 
-        scorer, cache = Scorer(known.value), Powers()
-        fitted = np.array(sorted(known.value["words"]), np.int64)
+        bounds = dealt(key, shards)
+        for shard, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if low < high:
+                yield row(shard, kind, chunk, high - low, packed(np.diff(key[low:high], prepend=U64(0))), packed(more[low:high]))
+
+    def model_rows(batches):
+        import numpy as np
+
+        held, n = [], 0
+
+        def out():
+            key, whole, last = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            yield from slices(0, 0, key[order], np.stack([whole, last], axis=1).astype(np.float32)[order])
+
+        for batch in batches:
+            held.append(model_keys(batch))
+            n += batch.num_rows
+            if n >= 500_000:
+                yield from out()
+                held, n = [], 0
+        if held:
+            yield from out()
+
+    def text_rows(batches):
+        import pickle
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        cache, chunk = Powers(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            counts, sums, toxic = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             language = batch.column("__language").to_numpy(zero_copy_only=False)
-            for first, data, offsets in groups(batch.column(text_col)):
+            for first, data, offsets in groups(batch.column("text"), CHUNK_BYTES):
                 starts, ends, owner = split(data, offsets, NONSPACE)
-                c = hashes(data, starts, ends, cache).view(np.int64)
+                c, n = hashes(data, starts, ends, cache).view(np.int64), len(offsets) - 1
                 a, b = before(c, owner)
-                n, own = len(offsets) - 1, language[first + owner]
-                counts[first : first + n] = np.bincount(owner, minlength=n)
-                toxic[first : first + n] = toxicity(data, offsets, known.value["toxic"], cache)
-                judged = np.isin(own, fitted)
-                sums[first : first + n] = np.bincount(owner[judged], scorer.losses(own[judged], a[judged], b[judged], c[judged]), minlength=n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums), pa.array(toxic)], names=schema.names)
+                own, words, some = language[first + owner], np.bincount(owner, minlength=n), np.unique(owner)
+                spoken, start = language[first + some], np.full(len(some), START)
+                # All but a text's last word are contexts, and so are the marks before its first.
+                last = np.ones(len(owner), np.int64)
+                last[:-1] = owner[1:] != owner[:-1]
+                key = np.concatenate([keys(own, c), keys(own, b, c), keys(own, a, b, c), keys(spoken, start), keys(spoken, start, start)])
+                ref = np.concatenate([2 * owner + last, 2 * owner + last, 2 * owner + 1, 2 * some, 2 * some]).astype(np.uint32)
+                order = np.argsort(key)
+                yield from slices(1, chunk, key[order], ref[order])
+                facts = (batch.column("key").slice(first, n).to_pylist(), language[first : first + n], words, toxicity(data, offsets, marks.value, cache))
+                yield row(chunk % shards, 2, chunk, n, pickle.dumps(facts), None)
+                chunk += 1
+
+    def look(batches):
+        import numpy as np
+
+        shard, held, terms_ = None, [], None
+        for batch in batches:
+            for got, kind, chunk, n, raw, more in zip(*[x.to_pylist() for x in batch.columns]):
+                if got != shard:
+                    shard, held, terms_ = got, [], None
+                if kind == 2:
+                    yield row(got, kind, chunk, n, raw, None)
+                    continue
+                key = np.cumsum(unpacked(raw, n, U64), dtype=U64)
+                if kind == 0:
+                    held.append((key, *unpacked(more, n, np.complex64).view(np.float32).reshape(n, 2).T))
+                    continue
+                if terms_ is None:
+                    terms_, held = Terms(*(np.concatenate(x) for x in zip(*held))) if held else Terms(*[np.zeros(0, U64)] * 3), []
+                ref = unpacked(more, n, np.uint32)
+                sums = np.bincount(ref >> 1, terms_.look(key, ref & 1))
+                yield row(got, kind, chunk, len(sums), sums.tobytes(), None)
+
+    schema = T.StructType([docs.schema["key"], T.StructField("__language", T.LongType()), T.StructField("__words", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("__toxicity", T.DoubleType())])
+
+    def add(batches):
+        import pickle
 
-    return docs.mapInArrow(run, schema)
+        import numpy as np
+        import pyarrow as pa
+
+        chunk, total, facts = None, None, None
+
+        def out():
+            key, language, words, toxic_ = facts
+            sums = np.zeros(len(key))
+            sums[: len(total)] = total
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(language, pa.int64()), pa.array(words, pa.int64()), pa.array(sums), pa.array(toxic_, pa.float64())], names=schema.names)
+
+        for batch in batches:
+            for got, kind, n, raw in zip(*[batch.column(x).to_pylist() for x in ("chunk", "kind", "n", "keys")]):
+                if got != chunk:
+                    if facts:
+                        yield out()
+                    chunk, total, facts = got, np.zeros(0), None
+                if kind == 2:
+                    facts = pickle.loads(raw)
+                    continue
+                more = np.zeros(max(n, len(total)))
+                more[: len(total)] = total
+                more[:n] += np.frombuffer(raw)
+                total = more
+        if facts:
+            yield out()
+
+    both = terms.mapInArrow(model_rows, sent).unionAll(docs.select("key", "__language", "text").mapInArrow(text_rows, sent))
+    summed = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, sent)
+    scored = summed.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(add, schema)
+    loss = F.when(F.col("base").isNull(), 0.0).otherwise(F.col("sum") + F.col("__words") * F.col("base"))
+    known = F.broadcast(bases.withColumnRenamed("language", "__language"))  # a row for each language
+    return scored.join(known, "__language", "left").select("key", "__language", "__words", loss.alias("__loss"), "__toxicity")
 
 
 def classify(
@@ -233,15 +389,14 @@ def classify(
     Trusted documents are those with a label of quality 1 and none of another
     value, and with toxic 0 in all their labels; a document with a null toxic is
     not trusted, and toxic only if another label says 1. Labels without that
-    column call no document toxic. At most half of a language's trusted documents,
-    about ``SAMPLE_BYTES`` of them by hash of id, are the sample that is counted; all
-    others are held out. Words are blank-free runs, A-Z lower-cased. A document's
-    perplexity includes ``PRIOR_WORDS`` words of the mean loss of its language; it is
-    kept unless above the ``quantile`` of the held-out documents of its language (where
-    they are too few to have that quantile: or of those of all languages, as the excess
-    over the mean loss), or its marked words weigh more than the ``quantile`` of the
-    held-out documents of all languages. Words are marked by as large a sample of toxic
-    documents, of any quality, against the sample.
+    column call no document toxic. Every trusted document takes part, whole: half of them,
+    by hash of id, are counted, all others are held out. Words are blank-free runs, A-Z
+    lower-cased. A document's perplexity includes ``PRIOR_WORDS`` words of the mean loss of
+    its language; it is kept unless above the ``quantile`` of the held-out documents of its
+    language (where they are too few to have that quantile: or of those of all languages, as
+    the excess over the mean loss), or its marked words weigh more than the ``quantile`` of the
+    held-out documents of all languages. Words are marked by all toxic documents, of any
+    quality, against the counted ones. Rows that repeat an id count each time.
 
     Null and empty texts, and languages (null is one) without held-out trusted
     documents, have no perplexity and are kept. Rows that repeat are judged each
@@ -253,30 +408,23 @@ def classify(
     voted = labels.groupBy(F.col(label_id_col).alias("id")).agg(F.min(quality_col).alias("low"), F.max(quality_col).alias("high"), F.max(toxic).alias("toxic"), F.max(toxic.isNull()).alias("unsure"))
     bad = F.when(F.col("toxic") == 1, 1).when(F.expr("low = 1 and high = 1 and toxic = 0 and not unsure"), 0)
     known = voted.where("id is not null").select("id", bad.alias("bad")).where("bad is not null")
-    language = F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    plain = docs.select(F.col(id_col).alias("id"), language.alias("language"), F.col(text_col).alias("text"))
-    # A text counts with its first LONGEST characters, and with what its row takes at least.
-    size = F.least(F.octet_length("text"), F.lit(LONGEST)) + 64
-    trusted = scratch.save(plain.where("text is not null").select("id", "language", size.alias("size")).join(known, "id"), "trusted")
-    sums = trusted.groupBy("bad", "language").agg(F.sum("size").alias("all"))
-    per = trusted.select("language").distinct().count()
-    share = min(SAMPLE_BYTES, TOTAL_BYTES // max(per, 1))
-    # Half of the trusted documents set the bars, however few there are.
-    rates = scratch.save(sums.select("bad", "language", F.least(F.lit(share) / F.col("all"), F.when(F.col("bad") == 0, 0.5).otherwise(1.0)).alias("rate")), "rates")
-    place = (F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    rated = trusted.join(F.broadcast(rates), ["bad", "language"])
-    # About TOTAL_BYTES of texts at most, 64 bytes each at least; rows that repeat an id count once.
-    chosen = rated.where(place < F.col("rate")).select("id", "bad").distinct()
-    found = plain.where("text is not null").withColumn("text", F.substring("text", 1, LONGEST)).join(F.broadcast(chosen), "id")
-    found = found.groupBy("id").agg(F.min(F.struct("language", "text", "bad")).alias("x"))
-    sample = scratch.save(found.select("id", "x.language", "x.text", "x.bad"), "sample")
-    model = fit(sample.where("bad = 0"))
-    model["toxic"] = marked(sample)
-
-    columns = ["__language", "__words", "__loss", "__toxicity"]
-    first = losses(plain.withColumnRenamed("language", "__language"), model).select("id", *columns)
-    held = scratch.save(first.where("__words > 0").join(known.where("bad = 0"), "id", "left_semi").join(F.broadcast(chosen), "id", "left_anti").select(*columns), "held_out")
-    models = sample.where("bad = 0").select(F.col("language").alias("__language")).distinct()
+    known = scratch.save(known, "labels")
+    near = scratch.Near(known)
+    # Equal texts of a language have one key and are scored once.
+    spoken = lambda lang: F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("")))
+    named = lambda lang, text: F.unhex(F.sha2(F.concat_ws(":", spoken(lang).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256))
+    plain = docs.select(F.col(id_col).alias("id"), spoken(lang_col).alias("language"), F.col(text_col).alias("text"), named(lang_col, text_col).alias("key"))
+    counted = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(2)) == 0
+    sample = plain.where("text is not null").join(near(known.where((F.col("bad") == 1) | counted)), "id").select("language", "text", "bad")
+    model = fit(sample.where("bad = 0").select("language", "text"))
+    toxic_words = marked(sample)
+
+    scored = losses(plain.select("key", F.col("language").alias("__language"), "text"), model, toxic_words)
+    scored = scratch.save(scored.groupBy("key").agg(*[F.max(c).alias(c) for c in ("__language", "__words", "__loss", "__toxicity")]), "losses")
+    scratch.discard(model[0])
+    apart = plain.select("id", "key").join(near(known.where((F.col("bad") == 0) & ~counted)), "id").select("key")
+    held = scratch.save(apart.join(scored.where("__words > 0"), "key").drop("key"), "held_out")
+    models = model[1].select(F.col("language").alias("__language"))
     of = held.join(F.broadcast(models), "__language").groupBy("__language").agg((F.sum("__loss") / F.sum("__words")).alias("__mean"), F.count("*").alias("n"))
     per_word = (F.col("__loss") + PRIOR_WORDS * F.col("__mean")) / (F.col("__words") + PRIOR_WORDS)
     spread = scratch.save(held.join(F.broadcast(of), "__language").select("__language", "__mean", "n", (per_word - F.col("__mean")).alias("over")), "spread")
@@ -289,8 +437,8 @@ def classify(
     bars = scratch.save(own.select(F.col("__language").alias("__of"), "__mean", bar.alias("__threshold")), "bars")
     most = held.agg(at("__toxicity")).first()[0] or 0.0
 
-    scored = losses(own_docs.withColumn("__language", F.xxhash64(F.coalesce(F.col(own_lang).cast("string"), F.lit("")))), model, own_text)
-    judged = scored.join(F.broadcast(bars), F.col("__language") == F.col("__of"), "left")
+    judged = own_docs.withColumn("__key", named(own_lang, own_text)).join(scored.withColumnRenamed("key", "__key"), "__key")
+    judged = judged.join(F.broadcast(bars), F.col("__language") == F.col("__of"), "left")
     n = F.col("__words")
     perplexity = F.when((n > 0) & F.col("__mean").isNotNull(), F.exp((F.col("__loss") + PRIOR_WORDS * F.col("__mean")) / (n + PRIOR_WORDS)))
     kept = judged.select(*own_docs.columns, "__words", perplexity.alias("__perplexity"), "__threshold", "__toxicity").withColumn(

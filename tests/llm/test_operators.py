@@ -271,6 +271,36 @@ def test_quality_covers_every_language_and_long_texts(spark):
     assert sum(got[100 * k + i] for k in range(40) for i in range(8, 12)) >= 156
 
 
+def test_losses_by_text_against_plain_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(kneserney, "SHARD_ROWS", 40)
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice("aaaabbbccdefgh") + rng.choice(("", "", "x", "y")) for _ in range(50)) for _ in range(30)]
+    model = kneserney.fit(spark.createDataFrame([(0, t) for t in texts], "language long, text string"))
+    p = plain_kneser_ney(texts)
+    asked = ["a b c never seen cx a", "zz zz", "a", "", texts[3], f"{texts[4]} new", texts[3]]
+    rows = [(bytes([i]), int(i == 6), t) for i, t in enumerate(asked)] + [(bytes([99]), 0, None)]  # language 1 has no model
+    frame = spark.createDataFrame(rows, "key binary, __language long, text string").repartition(3)
+    got = {r["key"][0]: r for r in kneserney.losses(frame, model, (np.zeros(0, np.int64), np.zeros(0))).collect()}
+    assert len(got) == len(rows) and got[6]["__loss"] == 0 and got[99]["__words"] == 0
+    for i, text in enumerate(asked[:6]):
+        words = ["<", "<", *text.split()]
+        assert got[i]["__words"] == len(words) - 2
+        assert abs(got[i]["__loss"] - sum(-np.log(p(*x)) for x in zip(words, words[1:], words[2:]))) < 1e-3
+
+
+def test_quality_counts_trusted_texts_whole(spark):
+    """All words of trusted texts are counted, however long these are."""
+    rng = random.Random(19)
+    words = ["the", "of", "and", "river", "stone", "light", "old", "house"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    tail = lambda: " ".join(f"late{rng.randrange(9)}" for _ in range(60))
+    rows = [(i, f"{text(60_000)} {tail()}", "en") for i in range(8)] + [(i, text(80), "en") for i in range(8, 40)]
+    rows += [(50, tail(), "en"), (51, " ".join(f"none{rng.randrange(9)}" for _ in range(60)), "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["__perplexity"] for r in kneserney.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert got[50] < 0.7 * got[51]
+
+
 def test_language_model_learns_from_both_sides(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"left{k} mid{k} right{k}" for k in (rng.randrange(5) for _ in range(80)))) for i in range(120)]
