@@ -55,44 +55,55 @@ class Network:
     def hidden(self, context):
         import numpy as np
 
-        x = self.parts["b"] + sum(self.parts["e"][j][context[:, j]] for j in range(2 * SIDE))
-        return np.concatenate([np.tanh(x), np.ones((len(context), 1), np.float32)], axis=1)
+        h = np.ones((len(context), WIDTH + 1), np.float32)
+        x = self.parts["e"][0].take(context[:, 0], axis=0)
+        for j in range(1, 2 * SIDE):
+            x += self.parts["e"][j].take(context[:, j], axis=0)
+        x += self.parts["b"]
+        np.tanh(x, out=h[:, :WIDTH])
+        return h
 
     @staticmethod
-    def log_softmax(z):
+    def softmax(z, target):
+        """log p(target) of each row; turns z into all probabilities times their sum, which it returns too."""
         import numpy as np
 
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        own = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return own - np.log(total), total
 
     def log_probabilities(self, context, target, learn: bool = False):
         """log p(target | context) of each row; with ``learn``, one step of descent."""
         import numpy as np
 
+        # Rows by class, so that those of a class are a slice.
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+        context, target = context[order], target[order]
         h, kind, member = self.hidden(context), target // MEMBERS, target % MEMBERS
         rows = np.arange(len(target))
-        by_class = self.log_softmax(h @ self.parts["c"])
-        out = by_class[rows, kind].copy()
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        by_class = h @ self.parts["c"]
+        by_member = np.empty((len(target), MEMBERS), np.float32)
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        slices = [(k, slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
+        for k, own in slices:
+            np.matmul(h[own], self.parts["m"][k], out=by_member[own])
+        (of_class, sums), (of_member, sums_) = self.softmax(by_class, kind), self.softmax(by_member, member)
+        out = np.empty_like(of_class)
+        out[order] = of_class + of_member
         if learn:
-            d = np.exp(by_class)
-            d[rows, kind] -= 1
-            dh = d @ self.parts["c"].T
-            self.step("c", h.T @ d / len(target))
+            by_class /= sums[:, None]
+            by_class[rows, kind] -= 1
+            by_member /= sums_[:, None]
+            by_member[rows, member] -= 1
+            dh = by_class @ self.parts["c"].T
+            self.step("c", h.T @ by_class / len(target))
             dm = np.zeros_like(self.parts["m"])
-        for k in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[k] : bounds[k + 1]]
-            z = self.log_softmax(h[own] @ self.parts["m"][k])
-            at = np.arange(len(own))
-            out[own] += z[at, member[own]]
-            if learn:
-                d = np.exp(z)
-                d[at, member[own]] -= 1
-                dm[k] = h[own].T @ d / len(target)
-                dh[own] += d @ self.parts["m"][k].T
-        if learn:
+            for k, own in slices:
+                np.matmul(h[own].T, by_member[own], out=dm[k])
+                dh[own] += by_member[own] @ self.parts["m"][k].T
+            dm /= len(target)
             self.step("m", dm)
             dx = dh[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2) / len(target)
             self.step("b", dx.sum(axis=0))
@@ -101,8 +112,8 @@ class Network:
                 ids = context[order, j]
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 seen = ids[first]
-                grad = np.add.reduceat(dx[order], first, axis=0)
-                self.squares["e"][j][seen] += (grad**2).mean(axis=1)
+                grad = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+                self.squares["e"][j][seen] += np.einsum("ij,ij->i", grad, grad) / WIDTH
                 self.parts["e"][j][seen] -= RATE * grad / np.sqrt(self.squares["e"][j][seen])[:, None]
         return out
 
@@ -213,7 +224,7 @@ def encode(docs: DataFrame, words: list[int], pairs: list[tuple[int, int]]) -> D
                 bounds = np.searchsorted(owner, np.arange(len(offsets)))
                 out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 total = np.zeros(len(data) + 1)
-                np.cumsum(letters[byte_pairs(data, starts, ends), data] if len(starts) else np.zeros(len(data)), out=total[1:])
+                np.cumsum(letters.take(byte_pairs(data, starts, ends) * MARKS + data) if len(starts) else np.zeros(len(data)), out=total[1:])
                 rare = ids < SHARED
                 own = total[ends[rare]] - total[starts[rare]] + letters[data[ends[rare] - 1], MARKS - 1] + np.log(SHARED)
                 spelled.append(np.bincount(owner[rare], np.minimum(own, 0), len(offsets) - 1))

@@ -309,6 +309,15 @@ def test_language_model_learns_from_both_sides(spark):
     assert mean(4) > mean(0) + 3
 
 
+def test_one_pass_softmax_against_a_plain_one():
+    rng = np.random.default_rng(1)
+    z, target = (rng.standard_normal((50, 64)) * 30).astype(np.float32), rng.integers(0, 64, 50)
+    plain = z.astype(float) - z.max(axis=1, keepdims=True)
+    plain -= np.log(np.exp(plain).sum(axis=1, keepdims=True))
+    got, total = pseudolikelihood.Network.softmax(z, target)
+    assert np.allclose(got, plain[np.arange(50), target], atol=1e-4) and np.allclose(z / total[:, None], np.exp(plain), atol=1e-5)
+
+
 def test_network_probabilities_sum_to_one():
     network, rng = pseudolikelihood.Network(), np.random.default_rng(0)
     context, target = rng.integers(0, pseudolikelihood.VOCABULARY, (64, 4)), rng.integers(0, 200, 64)
