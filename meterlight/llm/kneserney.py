@@ -16,7 +16,7 @@ languages lead to expect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,9 @@ from meterlight.llm import scratch
 from meterlight.llm.words import ALNUM, NONSPACE, U64, WORD_BASE, Powers, groups, hashes, mix, split
 
 #: Rows of the model's table in a shard, and bytes of texts whose n-grams are sorted and sent together.
-SHARD_ROWS, CHUNK_BYTES = 1_000_000, 4 << 20
+SHARD_ROWS, CHUNK_BYTES = 1_000_000, 2 << 20
+#: Parts of the texts that are scored one after another, as the n-grams of all would fill the disk.
+PASSES = 6
 #: Ranks that an approximate quantile tells apart.
 RANKS = 100_000
 #: Documents whose perplexity is above this quantile of held-out trusted ones are rejected.
@@ -77,23 +79,41 @@ def before(c, owner):
     return a, b
 
 
-def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``counts`` n with value, the discounted share of the context's sum, and weight, what
-    the context leaves to lower orders; and (language, context, weight)."""
-    n = F.col("n")
-    of = counts.groupBy("language").agg(*[F.count_if(n == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(language, d1, d2, d3): what is taken off counts n of one, two and more; a row for each language."""
+    of = counts.groupBy("language").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     # Without counts of counts to go by, half of a count is taken off.
     d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.greatest(F.least(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(i - 0.05)), F.lit(0.05))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
-    off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-    taken = counts.join(F.broadcast(of.select("language", *d)), "language").withColumn("off", off)  # a row for each language
+    return of.select("language", *d)
+
+
+def _off():
+    return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``counts`` n with value, the discounted share of the context's sum, and weight, what
+    the context leaves to lower orders; and (language, context, weight)."""
+    taken = counts.join(F.broadcast(_discounts(counts)), "language").withColumn("off", _off())
     sums = taken.groupBy("language", *context).agg(F.sum("n").alias("all"), F.sum("off").alias("taken"))
     weights = sums.select("language", *context, "all", (F.col("taken") / F.col("all")).alias("weight"))
     near = F.broadcast(weights) if not context else weights
-    valued = taken.join(near, ["language", *context]).withColumn("value", (n - F.col("off")) / F.col("all"))
+    valued = taken.join(near, ["language", *context]).withColumn("value", (F.col("n") - F.col("off")) / F.col("all"))
     return valued.select(*counts.columns, "value", "weight"), weights.drop("all")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(language, a, b, c, n, all, m1, m2, m3, first): trigrams with their counts, and of their
+    context a, b the sum of counts and the trigrams of one, two and more; first marks one of a context.
+
+    Trigrams are dealt by their context, so that one shuffle serves both."""
+    tri = trigrams(docs).repartition("language", "a", "b").groupBy("language", "a", "b", "c").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("language", "a", "b")
+    kinds = (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)
+    return tri.select("*", F.sum("n").over(of).alias("all"), *[F.sum(k.cast("int")).over(of).alias(f"m{i + 1}") for i, k in enumerate(kinds)], (F.min("c").over(of) == F.col("c")).alias("first"))
+
+
 def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model of (language, text): (language, a, b, c, order, whole, last), the terms of
     n-grams, and (language, base), the loss of a word that was not counted, by language.
@@ -101,7 +121,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``whole`` is the term of an n-gram that another word follows, as whose context it serves
     too; ``last`` that of one that ends a text. Rows of the same n-gram add up.
     """
-    tri = scratch.save(trigrams(docs).groupBy("language", "a", "b", "c").agg(F.count("*").alias("n")), "trigrams")
+    tri = scratch.save(counted(docs), "trigrams")
     bi = scratch.save(tri.groupBy("language", "b", "c").agg(F.count("*").alias("n")), "bigrams")
     uni = scratch.save(bi.groupBy("language", "c").agg(F.count("*").alias("n")), "unigrams")
     zero, none = F.lit(0.0), F.lit(0).cast("long")
@@ -113,18 +133,24 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = scratch.save(words.join(left, "language").select("language", (-F.log(F.col("weight") / F.col("words"))).alias("base")), "bases")
     one = scratch.save(one.join(F.broadcast(bases), "language").select("language", "c", (F.col("value") + F.exp(-F.col("base"))).alias("p"), "base"), "p1")
     two, left2 = _discounted(bi, ["b"])
+    left2 = scratch.save(left2, "weights2")
     p2 = F.col("value") + F.col("weight") * F.col("p")
     term = lambda p: -F.log(p) + F.log("p") + F.log("weight")  # noqa: E731  what a counted n-gram adds to its context's weight and the lower order
-    two = scratch.save(two.join(one.select("language", "c", "p"), ["language", "c"]).select("language", "b", "c", p2.alias("p"), term(p2).alias("term")), "p2")
-    three, left3 = _discounted(tri, ["a", "b"])
-    three = three.join(two.select("language", "b", "c", "p"), ["language", "b", "c"])
+    two = scratch.save(two.join(one.select("language", "c", "p"), ["language", "c"]).select("language", "b", "c", p2.alias("p"), term(p2).cast("float").alias("term")), "p2")
+    scratch.discard(bi)
+    scratch.discard(uni)
+    off = scratch.save(_discounts(tri), "discounts")
+    weight = (F.col("m1") * F.col("d1") + F.col("m2") * F.col("d2") + F.col("m3") * F.col("d3")) / F.col("all")
     lost = -F.log("weight")
+    left3 = scratch.save(tri.where("first").join(F.broadcast(off), "language").select("language", "a", "b", weight.alias("weight")).select("language", "a", "b", lost.cast("float").alias("lost")), "weights3")
+    # Counts are small and go through the shuffle better than what is worked out of them.
+    three = tri.drop("first").join(two.select("language", "b", "c", "p"), ["language", "b", "c"]).join(F.broadcast(off), "language")
+    three = three.withColumn("weight", weight).withColumn("value", (F.col("n") - _off()) / F.col("all"))
+    three = scratch.save(three.select("language", "a", "b", "c", term(p2).cast("float").alias("term")), "p3")
+    scratch.discard(tri)
     model = rows(one, 1, none, none, c, -F.log("p") - F.col("base"), -F.log("p") - F.col("base"))
     model = model.unionAll(rows(left2, 1, none, none, b, lost, zero)).unionAll(rows(two, 2, none, b, c, F.col("term"), F.col("term")))
-    model = model.unionAll(rows(left3, 2, none, a, b, lost, zero)).unionAll(rows(three, 3, a, b, c, term(p2), term(p2)))
-    model = scratch.save(model, "model")
-    for table in (tri, bi, uni, one, two):
-        scratch.discard(table)
+    model = model.unionAll(rows(left3, 2, none, a, b, F.col("lost"), zero)).unionAll(rows(three, 3, a, b, c, F.col("term"), F.col("term")))
     return model, bases
 
 
@@ -244,9 +270,13 @@ class Scorer:
 
 def losses(docs: DataFrame, model: tuple[DataFrame, DataFrame], toxic: tuple) -> DataFrame:
     """(key, __language, __words, __loss, __toxicity) of each row (key, __language: a number, text):
-    losses are summed over the words (0 in a language without a model)."""
+    losses are summed over the words (0 in a language without a model). The model's tables
+    of terms are deleted once they are dealt into shards.
+
+    All texts are scored, in up to ``PASSES`` parts by hash, each with the whole model."""
     terms, bases = model
-    shards = max(6, -(-terms.count() // SHARD_ROWS))
+    size = terms.count()
+    shards, parts = max(6, -(-size // SHARD_ROWS)), max(1, min(PASSES, size // SHARD_ROWS))
     marks = docs.sparkSession.sparkContext.broadcast(toxic)
     # kind 0: terms of the model, 1: n-grams of a chunk of texts, 2: the texts of a chunk.
     sent = "shard int, kind int, chunk long, n long, keys binary, more binary"
@@ -364,9 +394,16 @@ def losses(docs: DataFrame, model: tuple[DataFrame, DataFrame], toxic: tuple) ->
         if facts:
             yield out()
 
-    both = terms.mapInArrow(model_rows, sent).unionAll(docs.select("key", "__language", "text").mapInArrow(text_rows, sent))
-    summed = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, sent)
-    scored = summed.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(add, schema)
+    dealt_terms = scratch.save(terms.mapInArrow(model_rows, sent), "dealt")
+    scratch.discard(terms)
+    scored = None
+    for part in range(parts):
+        own = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        both = dealt_terms.unionAll(own.select("key", "__language", "text").mapInArrow(text_rows, sent))
+        summed = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(look, sent)
+        found = scratch.save(summed.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(add, schema), "losses")
+        scored = scored.unionAll(found) if scored is not None else found
+    scratch.discard(dealt_terms)
     loss = F.when(F.col("base").isNull(), 0.0).otherwise(F.col("sum") + F.col("__words") * F.col("base"))
     known = F.broadcast(bases.withColumnRenamed("language", "__language"))  # a row for each language
     return scored.join(known, "__language", "left").select("key", "__language", "__words", loss.alias("__loss"), "__toxicity")
@@ -421,7 +458,6 @@ def classify(
 
     scored = losses(plain.select("key", F.col("language").alias("__language"), "text"), model, toxic_words)
     scored = scratch.save(scored.groupBy("key").agg(*[F.max(c).alias(c) for c in ("__language", "__words", "__loss", "__toxicity")]), "losses")
-    scratch.discard(model[0])
     apart = plain.select("id", "key").join(near(known.where((F.col("bad") == 0) & ~counted)), "id").select("key")
     held = scratch.save(apart.join(scored.where("__words > 0"), "key").drop("key"), "held_out")
     models = model[1].select(F.col("language").alias("__language"))

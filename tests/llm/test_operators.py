@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-
-from meterlight.llm import decontam, graph, images, kneserney, linededup, neardup, packing, pseudolikelihood, secrets, sharding, urlfilter
+from meterlight.llm import decontam, graph, images, kneserney, linededup, neardup, packing, pseudolikelihood, scratch, secrets, sharding, urlfilter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, root string, h int"
@@ -288,6 +289,48 @@ def test_losses_by_text_against_plain_kneser_ney(spark, monkeypatch):
         assert abs(got[i]["__loss"] - sum(-np.log(p(*x)) for x in zip(words, words[1:], words[2:]))) < 1e-3
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a saved table go at once, not when the driver collects its garbage."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.\w+", manager.getAllFiles().mkString(" "))}
+    before = files()
+    saved = scratch.save(spark.range(10_000).withColumn("k", F.col("id") % 100).groupBy("k").count(), "sums")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert saved.count() == 100 and saved.agg(F.sum("count")).first()[0] == 10_000
+
+
+def test_saved_tables_go_to_python_in_bounded_batches(spark):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    large = spark.range(0, 3000, 1, 1).select(F.expr("cast(repeat(cast(id % 10 as string), 20000) as binary)").alias("x"))
+    rows = scratch.save(large.mapInArrow(run, "n long, size long"), "batches").collect()
+    assert sum(r["n"] for r in rows) == 3000 and max(r["size"] for r in rows) <= 17 << 20
+
+
+def test_texts_are_scored_in_parts(spark, monkeypatch):
+    """In parts by hash every text is scored once, and nothing of the model stays behind."""
+    monkeypatch.setattr(kneserney, "SHARD_ROWS", 20)
+    texts = [f"a b{i % 3} c{i % 5} d" for i in range(30)]
+    model = kneserney.fit(spark.createDataFrame([(0, t) for t in texts], "language long, text string"))
+    asked = [f"{t} a c{i}" for i, t in enumerate(texts)] + [None, ""]
+    scorer, saves, save = kneserney.Scorer(model), [], scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, name: saves.append(name) or save(df, name))
+    got = kneserney.losses(spark.createDataFrame([(bytes([i]), 0, t) for i, t in enumerate(asked)], "key binary, __language long, text string"), model, (np.zeros(0, np.int64), np.zeros(0))).collect()
+    assert saves.count("losses") > 1
+    assert sorted(r["key"][0] for r in got) == list(range(len(asked)))
+    words = kneserney.trigrams(spark.createDataFrame([(0, asked[7])], "language long, text string")).toPandas()
+    want = scorer.losses(np.zeros(len(words), np.int64), *[words[c].to_numpy() for c in "abc"]).sum()
+    assert abs(next(r["__loss"] for r in got if r["key"][0] == 7) - want) < 1e-4
+
+
 def test_quality_counts_trusted_texts_whole(spark):
     """All words of trusted texts are counted, however long these are."""
     rng = random.Random(19)
