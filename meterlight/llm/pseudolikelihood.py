@@ -30,6 +30,8 @@ SIDE, WIDTH, ROUNDS = 2, 32, 2
 #: Every word is context; a round predicts one word in STRIDE, each round others.
 STRIDE = 2
 BATCH, RATE = 4096, 0.15
+#: Bound on values below which float32 holds their exponentials, sums and inverses.
+SAFE = 75.0
 #: Bytes, and the mark of a word's start or end.
 MARKS = 257
 #: Distinct words that a task counts together, floats of a chunk of parameters, copies summed together.
@@ -64,16 +66,24 @@ class Network:
         return h
 
     @staticmethod
-    def softmax(z, target):
-        """log p(target) of each row; turns z into all probabilities times their sum, which it returns too."""
+    def softmax(z, target, bound=None):
+        """log p(target) of each row; turns z into all probabilities times their sum, which it returns
+        too. ``bound``: what no value of z exceeds either way; where it is small, exp needs no maximum."""
         import numpy as np
 
-        z -= z.max(axis=1, keepdims=True)
+        if bound is None or not bound < SAFE:
+            z -= z.max(axis=1, keepdims=True)
         own = z[np.arange(len(z)), target]
         np.exp(z, out=z)
         total = z @ np.ones(z.shape[1], z.dtype)
         return own - np.log(total), total
 
+    def bound(self, name: str) -> float:
+        """The most that a product with hidden units, which are at most 1, comes to."""
+        import numpy as np
+
+        return float(np.abs(self.parts[name]).sum(axis=-2).max())
+
     def log_probabilities(self, context, target, learn: bool = False):
         """log p(target | context) of each row; with ``learn``, one step of descent."""
         import numpy as np
@@ -89,7 +99,7 @@ class Network:
         slices = [(k, slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
         for k, own in slices:
             np.matmul(h[own], self.parts["m"][k], out=by_member[own])
-        (of_class, sums), (of_member, sums_) = self.softmax(by_class, kind), self.softmax(by_member, member)
+        (of_class, sums), (of_member, sums_) = self.softmax(by_class, kind, self.bound("c")), self.softmax(by_member, member, self.bound("m"))
         out = np.empty_like(of_class)
         out[order] = of_class + of_member
         if learn:
@@ -158,7 +168,12 @@ def counts(docs: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
         def rows(kind, words, counted):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, np.int32)), pa.array(words), pa.array(counted)], names=["kind", "word", "n"])
 
-        cache, words, counted, pairs = Powers(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(MARKS * MARKS, np.int64)
+        cache, held, pairs = Powers(), [], np.zeros(MARKS * MARKS, np.int64)
+
+        def merged(held):
+            words, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *[w for w, _ in held]]), return_inverse=True)
+            return words, np.bincount(inverse, np.concatenate([np.zeros(0), *[n for _, n in held]]), len(words)).astype(np.int64)
+
         for batch in batches:
             for _, data, offsets in groups(batch.column("text")):
                 starts, ends, _ = split(data, offsets, NONSPACE)
@@ -167,14 +182,14 @@ def counts(docs: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
                 inside = np.flatnonzero(NONSPACE[data])
                 pairs += np.bincount(byte_pairs(data, starts, ends)[inside] * MARKS + data[inside], minlength=MARKS * MARKS)
                 pairs += np.bincount(data[ends - 1].astype(np.int64) * MARKS + MARKS - 1, minlength=MARKS * MARKS)
-                new, n = np.unique(hashes(data, starts, ends, cache).view(np.int64), return_counts=True)
-                both = np.concatenate([words, new])
-                words, inverse = np.unique(both, return_inverse=True)
-                counted = np.bincount(inverse, np.concatenate([counted, n]), len(words)).astype(np.int64)
-                if len(words) > COUNTED:
-                    yield rows(0, words, counted)
-                    words, counted = words[:0], counted[:0]
-        yield rows(0, words, counted)
+                held.append(np.unique(hashes(data, starts, ends, cache).view(np.int64), return_counts=True))
+                # Merged once there may be too many, not with each group of texts.
+                if sum(len(w) for w, _ in held) > 2 * COUNTED:
+                    held = [merged(held)]
+                    if len(held[0][0]) > COUNTED:
+                        yield rows(0, *held[0])
+                        held = []
+        yield rows(0, *merged(held))
         known = np.flatnonzero(pairs)
         yield rows(1, known, pairs[known])
 

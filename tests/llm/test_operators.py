@@ -533,6 +533,32 @@ def test_words_tell_more_than_their_counts(spark):
     assert sum(r["log_probability"] for r in got) / len(all_words) > entropy + 0.5
 
 
+def test_softmax_within_a_bound_needs_no_maximum():
+    rng = np.random.default_rng(3)
+    target = rng.integers(0, 64, 500)
+    for spread in (0.1, 40.0):
+        z = (rng.uniform(-1, 1, (500, 64)) * spread).astype(np.float32)
+        z[0] = -spread
+        want, sums = pseudolikelihood.Network.softmax(one := z.copy(), target)
+        got, sums_ = pseudolikelihood.Network.softmax(two := z.copy(), target, spread)
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-5) and np.allclose(two / sums_[:, None], one / sums[:, None], atol=1e-6)
+    # Beyond the bound the maximum is taken off.
+    large = np.array([[500.0, 0.0], [-500.0, -400.0]], np.float32)
+    assert np.allclose(pseudolikelihood.Network.softmax(large, np.array([0, 1]), 500.0)[0], 0, atol=1e-6)
+    network = pseudolikelihood.Network()
+    network.parts["m"][3, 5, 7] = -9
+    assert network.bound("m") == 9 and network.bound("c") == 0
+
+
+def test_words_counted_in_merges_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(pseudolikelihood, "COUNTED", 50)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(60)) for _ in range(300)]
+    words, pairs = pseudolikelihood.counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    known = [w for t in texts for w in t.split()]
+    assert len(words) == len(set(known)) and sum(n for at, n in pairs if at % pseudolikelihood.MARKS == pseudolikelihood.MARKS - 1) == len(known)
+
+
 def test_shards_reach_a_size(spark):
     docs = spark.range(500).selectExpr("id doc_id", "repeat('x', 92) text", "'en' lang", "'s' source", "92 n_chars")
     rows = sharding.assign(docs, target_bytes=8000).collect()
